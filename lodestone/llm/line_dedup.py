@@ -14,19 +14,20 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, keyed, real_id
+from ._spark import NO_ID, cut, real_id
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, lg_k: int = 12, newline: str = "\n") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, lg_k: int = 12, newline: str = "\n", keep: tuple = ()) -> DataFrame:
     """doc_id, n_lines, n_removed and the kept text (null stays null), a row per row of docs.
 
     Lines are split at newline and compared without the spaces and tabs around them; blank lines
     are never removed. A null site counts as one site of its own. A null id counts as the smallest
     id. Rows that repeat an id count as one document: what is removed from one, by place, is
-    removed from all. Other columns are ignored. An empty table gives an empty table.
+    removed from all. Columns named in keep are passed on, other columns are ignored. An empty
+    table gives an empty table.
     """
-    d = keyed(docs, id_col, text_col)
-    site = docs.select(F.coalesce(F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0")))).alias("site"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    site = docs.select(F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0"))).alias("site"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = site.filter("text is not null").select("doc_id", "site", F.posexplode(F.split("text", newline)).alias("place", "line"))
     lines = lines.withColumn("line", F.trim(F.translate("line", "\t", " "))).filter("line <> ''")
     # two independent hashes: 128 bits name a line
@@ -47,7 +48,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda p: p["x"]), newline))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long")
     removed = F.when(F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter("gone", lambda i: i < F.size(all_lines)))).cast("long")
-    return out.select(real_id(), n.alias("n_lines"), removed.alias("n_removed"), text.alias("text"))
+    return out.select(real_id(), n.alias("n_lines"), removed.alias("n_removed"), text.alias("text"), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)))
 
 
 #: DuckDB: the result of op2_line_dedup, by exact counts

@@ -148,8 +148,9 @@ def _score(model):
 def score_quality(docs: DataFrame, model: NbSvm, keep: tuple = ()) -> DataFrame:
     """doc_id, the columns named in keep, and score (0 to 1, higher: better), a row per row of docs.
     Empty and null texts score by the bias alone; repeated rows are scored each."""
-    extra = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    extra = [c for c in keep if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(extra)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", score double"
     out = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
-    return out.select("doc_id", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "score")
+    name = {c: f"kept_{i}" for i, c in enumerate(extra)}
+    return out.select("doc_id", *(F.col(name.get(c, c)).alias(c) for c in keep if c != "doc_id"), "score")

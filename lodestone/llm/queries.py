@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as _lines
+from ._spark import bucket_of
+from .ann import nearest
 from .bpe import decode, encode
 from .chat_format import format_chats, read_back
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
+from .langid import fit_language_samples, predict_language
 from .line_dedup import line_dedup
+from .quality import fit_quality, score_quality
 from .substring_dedup import substring_dedup
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +55,33 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _held(folds: int, fold: int):
+    return F.coalesce(bucket_of(F.col("doc_id"), folds) == fold, F.lit(False)).alias("held_out")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels"), folds=5, held=0))
+    return out.select("doc_id", _held(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"), folds=5, held=0))
+    return out.select("doc_id", _held(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "hits")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = predict_language(docs, fit_language_samples(docs, folds=4, held=2))
+    return out.select("doc_id", _held(4, 2), "lang_pred", "score")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -60,6 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality": op6_quality,
+    "op7_nearest": op7_nearest,
+    "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
