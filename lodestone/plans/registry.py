@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a function as a query under its name; sql follows the views it names."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = ("WITH RECURSIVE " + ",".join(views) + "\n" if views else "") + sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["rrf_retrieval"](spark, sf_dir)
+
+
+for _name in ("lifecycle", "ledger", "retrieval", "tokens", "quality", "graph", "text", "select", "files", "streams"):
+    try:
+        importlib.import_module(f"lodestone.plans.{_name}")
+    except ModuleNotFoundError as e:
+        if e.name != f"lodestone.plans.{_name}":
+            raise
