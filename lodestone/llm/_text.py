@@ -100,7 +100,7 @@ class Words:
         return Rolling(mix(self.hash, 11), _WORDS2)
 
 
-def pieces(text: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(text: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of documents of about ``limit`` bytes: first and last row, bytes, document edges in them."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
