@@ -6,6 +6,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +24,11 @@ def query(sql: str | None = None, *views: str):
     return add
 
 
+def exact_mean(c: str):
+    """Mean of values of two decimals, from an integer sum: the same number in any order of summation."""
+    return F.sum(F.round(F.col(c) * 100).cast("long")).cast("double") / (F.count(c) * F.lit(100.0))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rrf_retrieval"](spark, sf_dir)
 

@@ -73,7 +73,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("s"), F.floor(F.col("event_id") / 20).cast("string")).alias("session_id"),
         kind.alias("type"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
-        F.round("value", 2).alias("value"),
+        (F.floor(F.col("value") * 100) / 100.0).alias("value"),
         "props",
     )
 
@@ -82,7 +82,7 @@ LEDGER = """
 ledger AS (
   SELECT event_id, epoch_us(ts) AS t, 'u' || user_id AS actor, 'p' || (user_id % 5) AS project, 's' || (event_id // 20) AS session_id,
     CASE event_type WHEN 'signup' THEN 'TaskCreated' WHEN 'purchase' THEN 'DecisionRecorded' WHEN 'view' THEN 'MemoryRetrieved' WHEN 'click' THEN 'PatchApplied' WHEN 'error' THEN 'FailureObserved' END AS type,
-    CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, round(value, 2) AS value, props
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, floor(value * 100) / 100.0::DOUBLE AS value, props
   FROM events)"""
 
 
@@ -144,7 +144,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         chosen(("formal", "medium", "smoke"), i % 3).alias("run_type"),
         (i % 7 == 0).alias("fallback"),
         (i % 90 + 10).alias("questions"),
-        F.round(F.col("o_totalprice") / 1000, 2).alias("metric"),
+        (F.floor(F.col("o_totalprice") / 10) / 100.0).alias("metric"),
         F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)").alias("t"),
     )
 
@@ -153,7 +153,7 @@ RUNS = """
 runs AS (
   SELECT o_orderkey AS run_id, 'p' || (o_custkey % 5) AS project, o_orderpriority AS dataset,
     ['formal','medium','smoke'][(o_orderkey % 3 + 1)::INT] AS run_type, o_orderkey % 7 = 0 AS fallback, o_orderkey % 90 + 10 AS questions,
-    round(o_totalprice / 1000, 2) AS metric, (epoch_us(o_orderdate) // 1000000) AS t
+    floor(o_totalprice / 10) / 100.0::DOUBLE AS metric, (epoch_us(o_orderdate) // 1000000) AS t
   FROM orders)"""
 
 
