@@ -78,19 +78,17 @@ class Parser:
         self.code = np.zeros(1 << 16, dtype=np.int32)
         self.code[known] = np.arange(1, len(known) + 1)
         width = len(known) + 1
-        tables, at, self.root = [], 0, []
+        tables, at, self.start = [np.zeros((1, width), dtype=np.int32)], 1, []
         for t in texts:
             table = transitions(self.code[t], width)
-            # where a phrase can't go on, a new one begins with this letter: a negative state
-            first = np.where(table[1] > 0, table[1], 1)
-            table = np.where(table > 0, table + at, -(first + at)[None, :])
-            table[:, 0] = -(1 + at)
-            tables.append(table)
-            self.root.append(1 + at)
+            # Where a phrase can't go on, a new one begins with this letter: a negative state.
+            # Row 0, where no phrase goes on, is the state before the text and after unknown letters.
+            tables.append(np.where(table > 0, table + at, -(table[1] + at)[None, :]))
+            self.start.append(at)
             at += len(table)
         self.width = width
         self.table = np.concatenate(tables).ravel()
-        self.root = np.array(self.root, dtype=np.int32)
+        self.start = np.array(self.start, dtype=np.int32)
         self.scale = np.log2(np.array([max(len(t), 2) for t in texts]))
 
     def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +116,8 @@ class Parser:
         for j, i in enumerate(order):
             m[: lengths[i], j] = blocks[i]
         active = np.searchsorted(-lengths[order], -np.arange(len(m)), side="left")
-        state = np.repeat(self.root[:, None], len(blocks), axis=1)
-        breaks = np.ones((len(self.langs), len(blocks)), dtype=np.int32)  # the first phrase
+        state = np.repeat(self.start[:, None], len(blocks), axis=1)
+        breaks = np.zeros((len(self.langs), len(blocks)), dtype=np.int32)
         for t in range(len(m)):
             a = active[t]
             now = self.table[state[:, :a] * self.width + m[t, :a]]
