@@ -16,6 +16,15 @@ KINDS = ("decision", "design_rationale", "instruction", "observation", "benchmar
 LEDGER_TYPES = {"signup": "TaskCreated", "purchase": "DecisionRecorded", "view": "MemoryRetrieved", "click": "PatchApplied", "error": "FailureObserved"}
 
 
+def micros(c: str) -> Column:
+    """Epoch microseconds of a zone-less time, whatever the session's zone."""
+    return F.expr(f"datediff(cast({c} as date), date'1970-01-01') * 86400000000L + hour({c}) * 3600000000L + minute({c}) * 60000000L + cast(extract(SECOND FROM {c}) * 1000000 as bigint)")
+
+
+def seconds(c: str) -> Column:
+    return F.floor(micros(c) / 1000000)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,7 +76,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for pair in LEDGER_TYPES.items() for x in pair])[F.col("event_type")]
     return e.select(
         "event_id",
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("t"),
+        micros("ts").alias("t"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"),
         F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("project"),
         F.concat(F.lit("s"), F.floor(F.col("event_id") / 20).cast("string")).alias("session_id"),
@@ -120,7 +129,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("latency"),
         F.round(1 - F.col("l_tax") * 10, 2).alias("recall"),
         (F.col("l_quantity") > 45).alias("fallback"),
-        F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', l_shipdate)").alias("t"),
+        seconds("l_shipdate").alias("t"),
     )
 
 
@@ -145,7 +154,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 7 == 0).alias("fallback"),
         (i % 90 + 10).alias("questions"),
         (F.floor(F.col("o_totalprice") / 10) / 100.0).alias("metric"),
-        F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)").alias("t"),
+        seconds("o_orderdate").alias("t"),
     )
 
 
