@@ -24,11 +24,10 @@ def anchor_score(gap_days: Column) -> Column:
     return F.when(gap_days < 0, step * 0.45).otherwise(step)
 
 
-def hash_embedding(terms: Column, dims: int = 64) -> Column:
-    """Signed feature hashing of terms, of length 1: sha256's first 32 bits choose the place, its next byte the sign."""
-    part = F.transform(terms, lambda t: F.struct((F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % dims).alias("i"), F.when(F.conv(F.substring(F.sha2(t, 256), 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: F.aggregate(F.filter(part, lambda p: p["i"] == j), F.lit(0.0), lambda a, p: a + p["s"]))
-    return unit(raw)
+def hashed_terms(term: Column, dims: int = 64) -> tuple[Column, Column]:
+    """Signed feature hashing of a term: sha256's first 32 bits choose the place, its next byte the sign."""
+    h = F.sha2(term, 256)
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims, F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
 
 
 def unit(v: Column) -> Column:

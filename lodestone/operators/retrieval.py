@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import hashed_terms
 from ..functions.text import terms
 
 
@@ -70,6 +71,20 @@ def max_merge(channels: dict[str, DataFrame], n: int) -> DataFrame:
     return ranked(m.withColumn("score", F.col("best") + F.least(F.lit(0.2), 0.04 * (F.col("n_sources") - 1))), n)
 
 
+def hash_embeddings(term_rows: DataFrame, dims: int = 64) -> DataFrame:
+    """(id, i, v): the non-zero places of each id's signed hash embedding, of length 1, from rows (id, term)."""
+    place, sign = hashed_terms(F.col("term"), dims)
+    raw = term_rows.select("id", place.alias("i"), sign.alias("s")).groupBy("id", "i").agg(F.sum("s").alias("v"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
+    return raw.withColumn("v", F.col("v") / norm).filter("v <> 0").select("id", F.col("i").cast("int").alias("i"), "v")
+
+
+def dense(sparse: DataFrame, dims: int = 64) -> DataFrame:
+    """(id, v): the embeddings as arrays."""
+    m = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
+    return m.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: F.coalesce(F.col("m")[j], F.lit(0.0))).alias("v"))
+
+
 def window_expand(seeds: DataFrame, corpus: DataFrame, radius: int = 4, strength: float = 0.82, step: float = 0.14) -> DataFrame:
     """Turns within ``radius`` of a seed in the same parent: strength falls with distance, the best wins.
 

@@ -120,9 +120,9 @@ def object_diff(spark, d):
     return L.keyed_diff(side("id % 2 = 0"), side("id % 3 = 0"), ["k"], "v")
 
 
-@query("SELECT id, commit_id, task_id FROM (SELECT *, count(*) OVER (PARTITION BY commit_id, task_id) AS n FROM evidence) WHERE n = 1", V.EVIDENCE)
+@query("SELECT id, project, kind FROM (SELECT *, count(*) OVER (PARTITION BY project, kind, title) AS n FROM evidence) WHERE n = 1", V.EVIDENCE)
 def unique_key_index(spark, d):
-    return L.unique_only(V.evidence(spark, d), "commit_id", "task_id").select("id", "commit_id", "task_id")
+    return L.unique_only(V.evidence(spark, d), "project", "kind", "title").select("id", "project", "kind")
 
 
 @query("SELECT a.k AS dataset, a.n::INT AS occurrence, a.v AS a_value, b.v AS b_value FROM (SELECT dataset AS k, row_number() OVER (PARTITION BY dataset ORDER BY run_id) AS n, metric AS v FROM runs WHERE run_type = 'formal') a JOIN (SELECT dataset AS k, row_number() OVER (PARTITION BY dataset ORDER BY run_id) AS n, metric AS v FROM runs WHERE run_type = 'smoke') b ON a.k = b.k AND a.n = b.n", V.RUNS)

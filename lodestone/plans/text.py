@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import scores as S
 from ..functions import text as T
+from ..operators import retrieval as R
 from ..sources import views as V
 from .registry import query
 from .retrieval import sql_terms
@@ -92,12 +93,12 @@ def lexical_pairs(spark, d):
     return a.join(b, "session_id").filter("a < b").select("a", "b", F.round(T.lexical(F.col("x"), F.col("y")), 6).alias("score"))
 
 
-@query("WITH src AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 10 = 0), " + sql_terms("tm", "src", "id", "text", 24) + """, part AS (SELECT id, ('0x' || substr(sha256(term), 1, 8))::BIGINT % 64 AS i, CASE WHEN ('0x' || substr(sha256(term), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END AS s FROM tm),
+@query("WITH src AS (SELECT doc_id AS id, text FROM documents ), " + sql_terms("tm", "src", "id", "text", 24) + """, part AS (SELECT id, ('0x' || substr(sha256(term), 1, 8))::BIGINT % 64 AS i, CASE WHEN ('0x' || substr(sha256(term), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END AS s FROM tm),
   raw AS (SELECT id, i, sum(s)::DOUBLE AS v FROM part GROUP BY 1, 2), norm AS (SELECT id, sqrt(sum(v * v)) AS n FROM raw GROUP BY 1)
   SELECT id, i::INT AS i, round(v / n, 6) AS v FROM raw JOIN norm USING (id) WHERE v <> 0""")
 def hash_embedding(spark, d):
-    rows = docs(spark, d).filter("id % 10 = 0").select("id", S.hash_embedding(T.terms(F.col("text"), 24)).alias("e"))
-    return rows.select("id", F.posexplode("e").alias("i", "v")).filter("v <> 0").select("id", "i", F.round("v", 6).alias("v"))
+    rows = docs(spark, d).select("id", F.explode(T.terms(F.col("text"), 24)).alias("term"))
+    return R.hash_embeddings(rows).withColumn("v", F.round("v", 6))
 
 
 @query("SELECT event_id, round(pow(0.5, greatest(0, (1735689600000000 - t) / 1000000 / 86400.0) / 30), 6) AS recency, CASE WHEN value <= 4 THEN 1 - value / 2 ELSE 1 / (1 + value) END AS similarity FROM ledger WHERE event_id % 5 = 0", V.LEDGER)
