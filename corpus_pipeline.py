@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._spark import cut
+from lodestone.llm._spark import cut, small_batches
 from lodestone.llm.bpe import decode, encode
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.jaccard_join import jaccard_join
@@ -17,6 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (score under 0.3) go."""
+    small_batches(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, held=0)
     return score_quality(docs, model, keep=COLUMNS).filter("score >= 0.3").select(*COLUMNS)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._spark import keyed, real_id
 
-_MEMO = 1 << 18
+_MEMO = 1 << 16
 
 
 class Vocabulary:
@@ -148,8 +148,8 @@ def _encode(name: str, lines, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _vocabulary(name, lines, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 128):
+                rows = batch.slice(start, 128)
                 ids = [vocab.encode(t) if t else b"" for t in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -165,8 +165,8 @@ def _decode(lines):
         table = [byte_of.get(i) for i in range(max(byte_of) + 1)]
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 128):
+                rows = batch.slice(start, 128)
                 text = [None if not x.is_valid else b"".join([table[i] for i in np.frombuffer(x.as_buffer(), dtype="<u4").tolist()]) for x in rows.column(at)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(text, pa.binary())], names=[*rows.schema.names, "decoded"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as _lines
-from ._spark import bucket_of
+from ._spark import bucket_of, small_batches
 from .ann import nearest
 from .bpe import decode, encode
 from .chat_format import format_chats, read_back
@@ -22,6 +22,7 @@ from .toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
