@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup as _lines
+from . import oracles
 from ._spark import bucket_of, small_batches
 from .ann import nearest
 from .bpe import decode, encode
@@ -100,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": _lines.SQL}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
