@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import cut, small_batches
-from lodestone.llm.bpe import decode, encode
+from lodestone.llm.bpe import round_trip
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.jaccard_join import jaccard_join
 from lodestone.llm.line_dedup import line_dedup
@@ -45,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    out = round_trip(docs, path, public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

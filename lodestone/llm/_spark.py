@@ -47,6 +47,17 @@ def real_id(c: Column | None = None) -> Column:
     return F.when(c != NO_ID, c).alias("doc_id")
 
 
+def chained(*functions):
+    """Functions over Arrow batches as one, so that a task needs one Python worker for all of them."""
+
+    def run(batches):
+        for f in functions:
+            batches = f(batches)
+        return batches
+
+    return run
+
+
 def bucket_of(c: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a row."""
     return F.crc32(c.cast("string").cast("binary")) % n

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import keyed, real_id
+from ._spark import chained, keyed, real_id
 
 _MEMO = 1 << 16
 
@@ -194,3 +194,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns doc_id, n_tokens, ids and ``decoded``, the bytes that the ids stand for (null ids: null)."""
     own = encoded.select("doc_id", "n_tokens", "ids")
     return own.mapInArrow(_decode(_lines(encoded.sparkSession, path)), "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode() and decode() in one pass: doc_id, n_tokens, ids, decoded."""
+    lines = _lines(docs.sparkSession, path)
+    both = chained(_encode(uuid.uuid4().hex, lines, pattern), _decode(lines))
+    return keyed(docs, id_col, text_col).mapInArrow(both, "doc_id long, n_tokens long, ids binary, decoded binary").withColumn("doc_id", real_id())

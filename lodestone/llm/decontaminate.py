@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import keyed, real_id
+from ._spark import chained, keyed, real_id
 from ._text import ALNUM, LOWER, Rolling, Words, pieces
 
 _BITS = 20
@@ -198,17 +198,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         counts = np.zeros(n_tokens, dtype=np.int64)
         for r in d.select("text").mapInArrow(_count(name, block, window, gram), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).collect():
             counts[r.token] = r.c
-        found = d.mapInArrow(_hits(name, block, sc.broadcast(counts), window, gram), "doc_id long, n_words long, spans array<long>, items array<long>")
-        parts.append(found.mapInArrow(_named(names), "doc_id long, n_words long, spans array<long>, items array<string>"))
+        steps = (_hits(name, block, sc.broadcast(counts), window, gram), _named(names))
+        if blocks == 1:
+            parts.append(d.mapInArrow(chained(*steps, _measure), _MEASURED))
+        else:
+            parts.append(d.mapInArrow(chained(*steps), "doc_id long, n_words long, spans array<long>, items array<string>"))
     out = parts[0]
     if blocks > 1:
         for more in parts[1:]:
             out = out.unionByName(more)
         out = out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    out = out.mapInArrow(_measure, "doc_id long, n_words long, n_hit long, items array<string>")
+        out = out.mapInArrow(_measure, _MEASURED)
     return out.select(real_id(), "n_words", "n_hit", F.array_sort("items").alias("items"), ((F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words"))).alias("contaminated"))
 
 
+_MEASURED = "doc_id long, n_words long, n_hit long, items array<string>"
+
+
 def _named(names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(names.value or [""], pa.string())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from ._spark import bucket_of, small_batches
 from .ann import nearest
-from .bpe import decode, encode
+from .bpe import round_trip
 from .chat_format import format_chats, read_back
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
@@ -52,7 +52,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = decode(encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    out = round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm._spark import NO_ID
 from lodestone.llm.ann import hadamard, nearest
-from lodestone.llm.bpe import decode, encode
+from lodestone.llm.bpe import decode, encode, round_trip
 from lodestone.llm.chat_format import Template, format_chats, read_back
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.jaccard_join import components, jaccard_join
@@ -175,6 +175,7 @@ def test_byte_bpe(docs, spark):
     for i, t in [*texts(), *enumerate(odd, 1000)]:
         ids = enc.encode_ordinary(t or "")
         assert bytes(got[i].ids) == struct.pack(f"<{len(ids)}I", *ids) and got[i].n_tokens == len(ids) and bytes(got[i].decoded) == (t or "").encode()
+    assert got == by_id(round_trip(df, path, P.PATTERN))
 
 
 def test_jaccard_join(docs):
