@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import edge_mode_score
+from ..functions.scores import EDGE_PARTS, edge_mode_score
 
-PARTS = ("semantic", "temporal", "causal", "task", "structural", "reflective")
+PARTS = EDGE_PARTS
 
 
 def endpoints(edges: DataFrame) -> DataFrame:

@@ -67,18 +67,18 @@ def failures(samples: DataFrame, low: float = 0.2, drop: float = 0.05, top: int
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def decision(relevance: Column, duplication: Column, risk: Column, tokens: Column, budget: Column) -> Column:
+def decision(mode: Column, relevance: Column, risk: Column, references: Column, duplication: Column, novelty: Column, protected: Column, tokens: Column, budget: Column) -> Column:
     """What to do with an offered context: the first rule that holds."""
     return (
-        F.when(tokens <= 0, "skip_empty")
-        .when(risk >= 0.8, "skip_risky")
-        .when(relevance < 0.2, "skip_irrelevant")
-        .when(duplication >= 0.85, "skip_duplicate")
-        .when(budget.isNull(), "inject_full")
-        .when(budget < 120, "refs_only")
-        .when((tokens > budget * 2) & (relevance < 0.6), "refs_only")
-        .when(tokens > budget, "summary")
-        .otherwise("inject_full")
+        F.when(mode == "off", "skip")
+        .when(relevance < 0.05, "skip")
+        .when((risk > 0.70) & (references >= 0.1), "return_file_refs_only")
+        .when((duplication > 0.80) & (novelty < 0.20), F.when(protected < 0.3, "skip").otherwise("inject_summary_only"))
+        .when(tokens > budget, "inject_summary_only")
+        .when((mode == "minimal") & (references >= 0.15), "return_file_refs_only")
+        .when((mode == "benchmark") & (protected >= 0.25), "inject")
+        .when((mode == "conservative") & (risk > 0.45) & (references >= 0.1), "return_file_refs_only")
+        .otherwise("inject")
     )
 
 

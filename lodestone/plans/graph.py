@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scores import EDGE_MODES, edge_mode_score, path_score
 from ..operators import graph as G
 from ..sources import views as V
 from .registry import exact_mean, query
 
 BOTH = ", both_ends AS (SELECT *, source AS node_id, target AS other FROM edges UNION ALL SELECT *, target, source FROM edges WHERE source <> target)"
-SEMANTIC = "round(0.6 * semantic + 0.15 * task + 0.1 * structural + 0.03 * causal, 6)"
+SEMANTIC = "round(0.58 * semantic + 0.14 * task + 0.16 * structural + 0.12 * causal, 6)"
 
 
 @query(f"SELECT node_id, other, edge_id, rank::INT AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, edge_id) AS rank FROM (SELECT *, {SEMANTIC} AS score FROM both_ends) WHERE score >= 0.3) WHERE rank <= 3", V.EDGES + BOTH)
@@ -85,3 +86,20 @@ h2 AS (SELECT query_id, other AS node_id, max(score * w * 0.6) AS score FROM h1
 def propagation(spark, d):
     seeds = V.nodes(spark, d).filter("node_id % 40 = 0").select(F.col("node_id").alias("query_id"), "node_id", F.lit(1.0).alias("score"))
     return G.propagate(seeds, V.edges(spark, d), "semantic").withColumn("score", F.round("score", 6))
+
+
+MODES = " UNION ALL ".join(f"SELECT edge_id, '{m}' AS mode, round({' + '.join(f'{p} * {w}' for p, w in ws.items())}, 6) AS score FROM edges" for m, ws in {**EDGE_MODES, "all": dict.fromkeys(G.PARTS, 1.0)}.items())
+
+
+@query(f"SELECT * FROM ({MODES}) WHERE edge_id % 5 = 0", V.EDGES)
+def edge_modes(spark, d):
+    e = V.edges(spark, d).filter("edge_id % 5 = 0")
+    modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.round(edge_mode_score(m), 6).alias("score")) for m in [*EDGE_MODES, "all"])))
+    return e.select("edge_id", modes.alias("m")).select("edge_id", "m.*")
+
+
+@query("SELECT edge_id, round(greatest(0, least(1.6, 0.34 * semantic + 0.16 * creative + 0.18 * task + 0.18 * causal + 0.14 * structural - 0.2 * temporal - 0.16 * (edge_id % 10 / 10.0))), 6) AS score FROM edges WHERE edge_id % 5 = 1", V.EDGES)
+def path_scores(spark, d):
+    e = V.edges(spark, d).filter("edge_id % 5 = 1")
+    c = F.col
+    return e.select("edge_id", F.round(path_score(c("semantic"), c("creative"), c("task"), c("causal"), c("structural"), c("temporal"), c("edge_id") % 10 / 10.0), 6).alias("score"))

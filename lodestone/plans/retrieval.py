@@ -135,12 +135,11 @@ def phrase_postings(spark, d):
 
 
 @query(f"""SELECT query_id, id, round(score, 6) AS score FROM (SELECT b.query_id, b.id, greatest(0, b.score / (b.score + 3) * 1.0 * CASE e.state WHEN 'stable' THEN 1.1 ELSE 1.0 END
-  + 0.12 * pow(0.5, greatest(0, (1735689600 - e.t) / 86400.0) / 30) + 0.18 * e.importance + 0.1 * e.confidence + 0.05 * least(1, e.access_count / 10.0) - 0.2 * (b.rank - 1) / 100.0) AS score FROM bm25 b JOIN evidence e ON e.id = b.id)""", V.EVIDENCE, V.ASKS + POST)
+  + 0.12 * pow(0.5, greatest(0, (1735689600 - e.t) / 86400.0) / 30) + 0.18 * e.importance + 0.1 * e.confidence + 0.05 * least(1, e.access_count / 20.0) - 0.2 * (b.rank - 1) / 100.0) AS score FROM bm25 b JOIN evidence e ON e.id = b.id)""", V.EVIDENCE, V.ASKS + POST)
 def lifecycle_rerank(spark, d):
     ev = V.evidence(spark, d)
     bm = channels(spark, d)["bm25"]
-    weight = F.when(F.col("state") == "stable", 1.1).otherwise(1.0)
-    score = S.lifecycle_score(S.bm25_similarity(F.col("score")), F.lit(1.0), weight, S.recency(F.col("t"), 1735689600), F.col("importance"), F.col("confidence"), F.col("access_count"), (F.col("rank") - 1) / 100.0)
+    score = S.lifecycle_score(S.bm25_similarity(F.col("score")), F.lit(1.0), S.state_factor(F.col("state")), S.recency(F.col("t"), 1735689600), F.col("importance"), F.col("confidence"), F.col("access_count"), (F.col("rank") - 1) / 100.0)
     return bm.join(ev, "id").select("query_id", "id", F.round(score, 6).alias("score"))
 
 
@@ -157,3 +156,41 @@ def merged_candidates(spark, d):
     a = c["bm25"].filter("rank <= 30").select("query_id", "id", F.round("score", 5).alias("s1"), F.lit(0.0).alias("s2"), F.lit("bm25").alias("c"))
     b = c["proxy"].filter("rank <= 30").select("query_id", "id", F.lit(0.0).alias("s1"), F.col("score").alias("s2"), F.lit("proxy").alias("c"))
     return a.unionByName(b).groupBy("query_id", "id").agg(F.max("s1").alias("bm25_score"), F.max("s2").alias("proxy_score"), F.array_join(F.array_sort(F.collect_set("c")), ",").alias("retrievers"))
+
+
+RANKED = """, cov AS (SELECT query_id, id, count(*) AS n FROM spost JOIN q USING (term) GROUP BY 1, 2), kq AS (SELECT query_id, count(*) AS k FROM q GROUP BY 1), kd AS (SELECT id, count(*) AS m FROM spost GROUP BY 1),
+lex AS (SELECT query_id, id, n / k AS coverage, 0.55 * n / (k + m - n) + 0.45 * n / sqrt(k * m) AS lexical FROM cov JOIN kq USING (query_id) JOIN kd USING (id))"""
+
+
+def lexical_rows(spark, d):
+    ev = V.evidence(spark, d).filter(L.eligible())
+    post = R.postings(ev, "id", "summary")
+    q = R.query_terms(V.asks(spark, d))
+    k = q.groupBy("query_id").agg(F.count("*").alias("k"))
+    n, m = F.col("n"), F.col("dl")
+    hits = post.join(q, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.first("dl").alias("dl")).join(k, "query_id")
+    return hits.select("query_id", "id", (n / F.col("k")).alias("coverage"), (0.55 * n / (F.col("k") + m - n) + 0.45 * n / F.sqrt((F.col("k") * m).cast("double"))).alias("lexical"))
+
+
+@query("SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM (SELECT query_id, id, 0.65 * coverage + CASE WHEN coverage >= 1 THEN 0.18 ELSE 0 END + 0.55 * lexical + 0.25 * lexical + 0.45 * (id % 100 / 100.0) + 0.12 * (id % 7 / 7.0) AS score FROM lex)) WHERE rank <= 8", V.EVIDENCE, V.ASKS + POST + RANKED)
+def evidence_rerank(spark, d):
+    x, i = F.col("lexical"), F.col("id")
+    score = S.evidence_rank(F.col("coverage"), F.col("coverage") >= 1, x, x, F.lit(0.0), i % 100 / 100.0, i % 7 / 7.0)
+    return R.ranked(lexical_rows(spark, d).select("query_id", "id", score.alias("score")), 8).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("SELECT query_id, id, round(CASE WHEN k = 1 THEN greatest(0.55 * lexical, CASE WHEN coverage >= 1 THEN 0.35 ELSE 0 END) ELSE least(1, CASE WHEN k = 2 THEN greatest(CASE WHEN id % 3 = 0 THEN 0.78 WHEN coverage >= 1 THEN 0.52 ELSE 0 END, 0.9 * lexical) ELSE greatest(CASE WHEN id % 3 = 0 THEN 0.92 WHEN coverage >= 0.8 THEN 0.66 ELSE 0 END, lexical, 0.85 * coverage) END) END, 6) AS score FROM lex, (SELECT unnest([1, 2, 3]) AS k) WHERE k = query_id % 3 + 1 AND id % 4 = 0", V.EVIDENCE, V.ASKS + POST + RANKED)
+def phrase_scores(spark, d):
+    rows = lexical_rows(spark, d).filter("id % 4 = 0")
+    return rows.select("query_id", "id", F.round(S.phrase_match(F.col("query_id") % 3 + 1, F.col("coverage"), F.col("id") % 3 == 0, F.col("lexical")), 6).alias("score"))
+
+
+@query("SELECT term, round(least(3.2, 1 + CASE WHEN regexp_matches(term, '[/_.@:-]') THEN 0.45 ELSE 0 END + CASE WHEN regexp_matches(term, '^[0-9]+$') THEN 0.3 ELSE 0 END + CASE WHEN length(term) >= 10 THEN 0.15 ELSE 0 END), 6) AS priority FROM (SELECT DISTINCT term FROM post)", V.EVIDENCE, V.ASKS + POST)
+def term_priorities(spark, d):
+    t = R.postings(V.evidence(spark, d).filter(L.eligible()), "id", "text").select("term").distinct()
+    return t.select("term", F.round(S.term_priority(F.col("term")), 6).alias("priority"))
+
+
+@query("SELECT query_id, id, CASE WHEN s >= 0.75 THEN 1.0 WHEN s >= 0.5 THEN 0.8 WHEN s >= 0.3 THEN 0.55 WHEN rank <= 20 THEN 0.35 ELSE 0.18 END AS gate FROM (SELECT *, score / 12 AS s FROM proxy)", V.EVIDENCE, V.ASKS + POST)
+def channel_gates(spark, d):
+    return channels(spark, d)["proxy"].select("query_id", "id", S.channel_gate(False, F.col("score") / 12, F.col("rank")).alias("gate"))

@@ -62,12 +62,13 @@ def token_failures(spark, d):
     return K.failures(V.samples(spark, d)).select("sample_id", "failure", "rank")
 
 
-@query("""SELECT decision, count(*) AS n, sum(final_tokens)::BIGINT AS tokens FROM (SELECT final_tokens, CASE WHEN final_tokens <= 0 THEN 'skip_empty' WHEN risk >= 0.8 THEN 'skip_risky' WHEN recall < 0.2 THEN 'skip_irrelevant' WHEN dup >= 0.85 THEN 'skip_duplicate'
-  WHEN budget IS NULL THEN 'inject_full' WHEN budget < 120 THEN 'refs_only' WHEN final_tokens > budget * 2 AND recall < 0.6 THEN 'refs_only' WHEN final_tokens > budget THEN 'summary' ELSE 'inject_full' END AS decision
-  FROM (SELECT *, sample_id % 100 / 100.0 AS dup, sample_id % 83 / 83.0 AS risk FROM samples)) GROUP BY 1""", V.SAMPLES)
+@query("""SELECT decision, count(*) AS n, sum(final_tokens)::BIGINT AS tokens FROM (SELECT final_tokens, CASE WHEN how = 'off' THEN 'skip' WHEN rel < 0.05 THEN 'skip' WHEN risk > 0.70 AND ref >= 0.1 THEN 'return_file_refs_only' WHEN dup > 0.80 AND 1 - dup < 0.20 THEN CASE WHEN prot < 0.3 THEN 'skip' ELSE 'inject_summary_only' END
+  WHEN final_tokens > budget THEN 'inject_summary_only' WHEN how = 'minimal' AND ref >= 0.15 THEN 'return_file_refs_only' WHEN how = 'benchmark' AND prot >= 0.25 THEN 'inject' WHEN how = 'conservative' AND risk > 0.45 AND ref >= 0.1 THEN 'return_file_refs_only' ELSE 'inject' END AS decision
+  FROM (SELECT *, CASE mode WHEN 'A' THEN 'minimal' WHEN 'N' THEN 'conservative' ELSE 'benchmark' END AS how, sample_id % 97 / 97.0 AS rel, sample_id % 100 / 100.0 AS dup, sample_id % 83 / 83.0 AS risk, sample_id % 13 / 40.0 AS ref, sample_id % 5 / 8.0 AS prot FROM samples)) GROUP BY 1""", V.SAMPLES)
 def injection_decisions(spark, d):
     i = F.col("sample_id")
-    choice = K.decision(F.col("recall"), i % 100 / 100.0, i % 83 / 83.0, F.col("final_tokens"), F.col("budget"))
+    how = F.when(F.col("mode") == "A", "minimal").when(F.col("mode") == "N", "conservative").otherwise("benchmark")
+    choice = K.decision(how, i % 97 / 97.0, i % 83 / 83.0, i % 13 / 40.0, i % 100 / 100.0, 1 - i % 100 / 100.0, i % 5 / 8.0, F.col("final_tokens"), F.col("budget"))
     return V.samples(spark, d).groupBy(choice.alias("decision")).agg(F.count("*").alias("n"), F.sum("final_tokens").alias("tokens"))
 
 

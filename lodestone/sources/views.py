@@ -184,14 +184,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     i, n = F.col("o_orderkey"), F.lit(101)
     w = lambda a: (i * a % n / 100.0)
-    return o.select(i.alias("edge_id"), F.col("o_custkey").alias("source"), (F.col("o_custkey") + i % 9 + 1).alias("target"), *(w(a).alias(x) for a, x in ((3, "semantic"), (5, "temporal"), (7, "causal"), (11, "task"), (13, "structural"), (17, "reflective"))))
+    return o.select(i.alias("edge_id"), F.col("o_custkey").alias("source"), (F.col("o_custkey") + i % 9 + 1).alias("target"), *(w(a).alias(x) for a, x in ((3, "semantic"), (5, "temporal"), (7, "causal"), (11, "task"), (13, "structural"), (17, "creative"))))
 
 
 EDGES = """
 edges AS (
   SELECT o_orderkey AS edge_id, o_custkey AS source, o_custkey + o_orderkey % 9 + 1 AS target,
     o_orderkey * 3 % 101 / 100.0 AS semantic, o_orderkey * 5 % 101 / 100.0 AS temporal, o_orderkey * 7 % 101 / 100.0 AS causal,
-    o_orderkey * 11 % 101 / 100.0 AS task, o_orderkey * 13 % 101 / 100.0 AS structural, o_orderkey * 17 % 101 / 100.0 AS reflective
+    o_orderkey * 11 % 101 / 100.0 AS task, o_orderkey * 13 % 101 / 100.0 AS structural, o_orderkey * 17 % 101 / 100.0 AS creative
   FROM orders)"""
 
 
