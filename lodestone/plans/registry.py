@@ -33,7 +33,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rrf_retrieval"](spark, sf_dir)
 
 
-for _name in ("lifecycle", "ledger", "retrieval", "tokens", "quality", "graph", "text", "select", "objects", "streams"):
+for _name in ("lifecycle", "ledger", "retrieval", "tokens", "quality", "graph", "text", "select", "objects", "merge", "streams"):
     try:
         importlib.import_module(f"lodestone.plans.{_name}")
     except ModuleNotFoundError as e:
