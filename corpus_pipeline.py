@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of lines that stand on five sites or more go; all documents stay."""
-    out = line_dedup(docs, min_sites=5, keep=("lang", "source"))
+    """Later copies of lines that stand on five sites or more go; all documents stay. Texts made of such
+    lines for more than half are copies of whole documents, and are left to the next stage."""
+    out = line_dedup(docs, min_sites=5, keep=("lang", "source"), max_share=0.5)
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from ._spark import NO_ID, cut, real_id
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, lg_k: int = 12, newline: str = "\n", keep: tuple = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, lg_k: int = 12, newline: str = "\n", keep: tuple = (), max_share: float = 1.0) -> DataFrame:
     """doc_id, n_lines, n_removed and the kept text (null stays null), a row per row of docs.
 
     Lines are split at newline and compared without the spaces and tabs around them; blank lines
     are never removed. A null site counts as one site of its own. A null id counts as the smallest
     id. Rows that repeat an id count as one document: what is removed from one, by place, is
-    removed from all. Columns named in keep are passed on, other columns are ignored. An empty
+    removed from all. A text that would lose more than max_share of its characters stays whole: it
+    is a copy rather than a text with boilerplate. Columns named in keep are passed on, other columns are ignored. An empty
     table gives an empty table.
     """
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
@@ -48,6 +49,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda p: p["x"]), newline))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long")
     removed = F.when(F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter("gone", lambda i: i < F.size(all_lines)))).cast("long")
+    out = out.select("*", n.alias("n_lines"), removed.alias("n_removed"), text.alias("kept_text"))
+    whole = F.length("text") - F.length("kept_text") > max_share * F.length("text")
+    n, removed, text = F.col("n_lines"), F.when(whole, 0).otherwise(F.col("n_removed")), F.when(whole, F.col("text")).otherwise(F.col("kept_text"))
     return out.select(real_id(), n.alias("n_lines"), removed.alias("n_removed"), text.alias("text"), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)))
 
 

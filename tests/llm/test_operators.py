@@ -114,6 +114,12 @@ def test_line_dedup(spark):
     assert got[90].text is None and got[90].n_lines == 0 and got[91].text == "" and got[91].n_lines == 1
 
 
+def test_line_dedup_leaves_copies_whole(spark):
+    rows = [(i, f"Menu | Home\nthis is the own text of {i}, long enough", f"s{i}") for i in range(6)] + [(10 + i, "Menu | Home\nMenu | Home", f"s{i}") for i in range(6)]
+    got = by_id(line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_share=0.5))
+    assert got[3].n_removed == 1 and got[3].text.startswith("this is") and got[11].n_removed == 0 and got[11].text == "Menu | Home\nMenu | Home"
+
+
 def test_chat_format(spark):
     says = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", says), (-7, 1, "assistant", says), (1, 1, "assistant", "b\\n"), (1, 0, "user", None), (2, 0, None, "### User: x"), (2, None, "tool: says: ", "####\\#"), (3, 0, "assistant", ""), (3, 0, "assistant", ""), (None, 0, "user", "q")]
