@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import EDGE_PARTS, edge_mode_score
+from ..sources.tables import written
 
 PARTS = EDGE_PARTS
 
@@ -74,11 +75,11 @@ def propagate(seeds: DataFrame, edges: DataFrame, mode: str, hops: int = 2, fan:
 
     A bounded loop of joins; the frontier keeps one row per (query, node).
     """
-    best = top_neighbours(edges, mode, fan, 0.0).select(F.col("node_id").alias("at"), "other", F.col("score").alias("w"))
+    best = written(top_neighbours(edges, mode, fan, 0.0).select(F.col("node_id").alias("at"), "other", F.col("score").alias("w")))
     frontier = seeds.select("query_id", "node_id", "score")
     reached = frontier
     for _ in range(hops):
         step = frontier.join(best, frontier.node_id == best.at).select("query_id", F.col("other").alias("node_id"), (F.col("score") * F.col("w") * damp).alias("score"))
-        frontier = step.groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
+        frontier = written(step.groupBy("query_id", "node_id").agg(F.max("score").alias("score")))
         reached = reached.unionByName(frontier)
     return reached.groupBy("query_id", "node_id").agg(F.max("score").alias("score"))

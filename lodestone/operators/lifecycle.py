@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: States that retrieval may return, and the multiplier of each in the lifecycle score
 ELIGIBLE = ("active", "stable", "canonical")
 VALIDITY = {"active": 1.0, "stable": 1.0, "canonical": 1.0}
@@ -72,11 +74,13 @@ def forget_before(df: DataFrame, t: int, limit: int) -> DataFrame:
 def chains(ev: DataFrame, steps: int = 20) -> DataFrame:
     """start, depth, id: the successors of every row, itself first; a chain stops at a cycle, a missing
     successor or after ``steps``. By doubling: after k rounds a row knows 2**k successors, so the
-    joins are few and no row waits for its neighbours."""
-    hop = ev.select("id", F.col("superseded_by").alias("next")).join(ev.select(F.col("id").alias("next")), "next", "left_semi")
-    path = ev.select("id").join(hop, "id", "left").select(F.col("id").alias("start"), F.when(F.col("next").isNull(), F.array("id")).otherwise(F.array("id", "next")).alias("ids"), F.col("next").alias("end"))
+    joins are few; each round is a table, as a round reads the one before twice."""
+    ids = written(ev.select("id", F.col("superseded_by").alias("next")))
+    hop = ids.join(ids.select(F.col("id").alias("next")), "next", "left_semi")
+    path = ids.select("id").join(hop, "id", "left").select(F.col("id").alias("start"), F.when(F.col("next").isNull(), F.array("id")).otherwise(F.array("id", "next")).alias("ids"), F.col("next").alias("end"))
     reach = 1
     while reach < steps:
+        path = written(path)
         more = path.select(F.col("start").alias("end"), F.col("ids").alias("tail"), F.col("end").alias("new_end"))
         path = path.join(more, "end", "left").select("start", F.when(F.col("tail").isNull(), F.col("ids")).otherwise(F.concat("ids", F.slice("tail", 2, 1 << 30))).alias("ids"), F.col("new_end").alias("end"))
         reach *= 2
