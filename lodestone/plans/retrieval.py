@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import lifecycle as L
 from ..operators import retrieval as R
 from ..sources import views as V
+from ..sources.tables import written
 from .registry import query
 
 LIVE = "NOT archived AND state IN ('active', 'stable')"
@@ -41,7 +42,7 @@ recent AS (SELECT query_id, b.id, e.t::DOUBLE AS score, row_number() OVER (PARTI
 def channels(spark, d):
     ev = V.evidence(spark, d).filter(L.eligible())
     asks = V.asks(spark, d)
-    post = R.postings(ev, "id", "text")
+    post = written(R.postings(ev, "id", "text"))  # read three times: lengths, frequencies, hits
     bm = R.bm25(asks, post)
     return {"bm25": bm, "proxy": R.term_hits(asks, R.postings(ev, "id", "summary")), "recent": R.by_time(bm, ev.select("id", "t"))}
 
