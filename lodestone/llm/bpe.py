@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._spark import chained, keyed, real_id
 
-_MEMO = 1 << 16
+_MEMO = 1 << 18
 
 
 class Vocabulary:
