@@ -29,14 +29,26 @@ def near_pairs(rows: DataFrame, least: float, block: list[str], terms: str = "ts
 
 
 def merged_summary(rows: DataFrame, key: str, most: int = 1200) -> DataFrame:
-    """Different texts of a group, the oldest first, joined and cut at ``most`` characters."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("t", "id", "part"))), lambda p: p["part"])
-    return rows.groupBy(key).agg(F.substring(F.array_join(F.array_distinct(parts), "\n"), 1, most).alias("summary"), F.count("*").alias("n"))
+    """Different texts of a group, the oldest first, joined and cut at ``most`` characters; ids are unique.
+
+    Equal texts are reduced before the shuffle. A text takes a character and a separator at least (one may be
+    empty), so the first ``most`` + 1 fill the summary: the rank cuts a group to them, and no more is gathered.
+    """
+    texts = rows.groupBy(key, "part").agg(F.min(F.struct("t", "id")).alias("first"))
+    texts = texts.filter(F.col("part").isNotNull()).select(key, "first", F.substring("part", 1, most).alias("part"))
+    head = texts.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("first"))).filter(F.col("rn") <= most + 1)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("first", "part"))), lambda p: p["part"])
+    summaries = head.groupBy(key).agg(F.substring(F.array_join(parts, "\n"), 1, most).alias("summary"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    same = F.col(key).eqNullSafe(F.col("same_key"))
+    return counts.join(summaries.withColumnRenamed(key, "same_key"), same, "left").select(key, F.coalesce("summary", F.lit("")).alias("summary"), "n")
 
 
 def verify(merged: DataFrame, sources: DataFrame, key: str, most: int = 1200) -> DataFrame:
-    """Of each merge: empty, too_long, sources, and unsupported (terms that no source has)."""
-    have = sources.groupBy(key).agg(F.flatten(F.collect_list("ts")).alias("have"), F.count("*").alias("sources"))
-    j = merged.join(have, key, "left")
-    unsupported = F.size(F.array_except("ts", F.coalesce("have", F.array().cast("array<string>"))))
-    return j.select(key, (F.length("summary") == 0).alias("empty"), (F.length("summary") > most).alias("too_long"), F.coalesce("sources", F.lit(0)).alias("sources"), unsupported.alias("unsupported"))
+    """Of each merge (one row a key): empty, too_long, sources, and unsupported (different terms that no source has).
+    Terms meet by joins, so that a merge of many sources gathers none of them."""
+    counts = sources.groupBy(key).agg(F.count("*").alias("sources"))
+    have = sources.select(key, F.explode("ts").alias("term")).distinct()
+    lacking = merged.select(key, F.explode(F.array_distinct("ts")).alias("term")).join(have, [key, "term"], "left_anti").groupBy(key).agg(F.count("*").alias("unsupported"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return merged.join(counts, key, "left").join(lacking, key, "left").select(key, (F.length("summary") == 0).alias("empty"), (F.length("summary") > most).alias("too_long"), zero("sources"), zero("unsupported"))

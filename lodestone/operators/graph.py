@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import EDGE_PARTS, edge_mode_score
@@ -37,7 +37,9 @@ def decay(edges: DataFrame, factor: float, floor: float) -> DataFrame:
     return edges.withColumns({c: F.greatest(F.lit(floor), F.col(c) * factor) for c in PARTS})
 
 
-def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def orphans(nodes: DataFrame, edges: DataFrame, strong: Column | None = None) -> DataFrame:
+    """Nodes at no end of an edge; with ``strong``, only edges that meet it count."""
+    edges = edges if strong is None else edges.filter(strong)
     ends = edges.select(F.col("source").alias("node_id")).unionByName(edges.select(F.col("target").alias("node_id")))
     return nodes.join(ends, "node_id", "left_anti")
 

@@ -103,9 +103,12 @@ def lifecycle_summary(ev: DataFrame) -> DataFrame:
 
 
 def duplicates_by_text(ev: DataFrame) -> DataFrame:
-    """Groups of rows with the same normalised summary: members, how many, the newest."""
-    key = F.lower(F.trim(F.regexp_replace("summary", r"\s+", " ")))
-    return ev.filter(~F.col("archived")).groupBy("project", F.sha2(key, 256).alias("key")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"), F.max_by("id", F.struct("t", "id")).alias("newest")).filter("n > 1")
+    """Members of groups with the same normalised summary: the group's size and newest id. One row a member, so
+    that no group is gathered; sizes are aggregated before the shuffle and a hot key is left to the skew join."""
+    key = F.sha2(F.lower(F.trim(F.regexp_replace("summary", r"\s+", " "))), 256)
+    rows = ev.filter(~F.col("archived")).select("project", key.alias("key"), "id", "t")
+    groups = rows.groupBy("project", "key").agg(F.count("*").alias("n"), F.max_by("id", F.struct("t", "id")).alias("newest")).filter("n > 1")
+    return rows.join(groups, ["project", "key"]).select("project", "key", "id", "n", "newest")
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:

@@ -18,13 +18,13 @@ def finalised(samples: DataFrame) -> DataFrame:
 
 
 def nearest_rank(value: str, p: float) -> Column:
-    """Percentile by nearest rank: sorted[round((n - 1) * p)], rounding half to even."""
+    """The same as an aggregate for groups known to be small: it gathers the group. Else use exact_percentiles."""
     v = F.array_sort(F.collect_list(value))
     return F.get(v, F.bround((F.size(v) - 1) * F.lit(p), 0).cast("int"))
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles per group without gathering a group: equal values are counted first,
+    """Percentiles by nearest rank (sorted[round((n - 1) * p)], half to even) without gathering a group: equal values are counted first,
     and running counts over the distinct values find each rank."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)

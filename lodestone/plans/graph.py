@@ -30,9 +30,9 @@ def edge_decay(spark, d):
     return G.decay(V.edges(spark, d), 0.9, 0.05).select("edge_id", *(F.round(p, 6).alias(p) for p in G.PARTS))
 
 
-@query("SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT source FROM edges WHERE edge_id % 23 = 0 UNION ALL SELECT target FROM edges WHERE edge_id % 23 = 0)", V.NODES, V.EDGES)
+@query("SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT source FROM edges WHERE semantic >= 0.97 UNION ALL SELECT target FROM edges WHERE semantic >= 0.97)", V.NODES, V.EDGES)
 def orphan_nodes(spark, d):
-    return G.orphans(V.nodes(spark, d), V.edges(spark, d).filter("edge_id % 23 = 0")).select("node_id")
+    return G.orphans(V.nodes(spark, d), V.edges(spark, d), F.col("semantic") >= 0.97).select("node_id")
 
 
 @query("SELECT zone, count(*) AS n, min(shell) AS shell, min(sector) AS sector, sum(round(weight * 100)::BIGINT)::DOUBLE / (count(*) * 100.0::DOUBLE) AS mean_weight FROM nodes GROUP BY zone", V.NODES)
@@ -91,15 +91,15 @@ def propagation(spark, d):
 MODES = " UNION ALL ".join(f"SELECT edge_id, '{m}' AS mode, round({' + '.join(f'{p} * {w}' for p, w in ws.items())}, 6) AS score FROM edges" for m, ws in {**EDGE_MODES, "all": dict.fromkeys(G.PARTS, 1.0)}.items())
 
 
-@query(f"SELECT * FROM ({MODES}) WHERE edge_id % 5 = 0", V.EDGES)
+@query(MODES, V.EDGES)
 def edge_modes(spark, d):
-    e = V.edges(spark, d).filter("edge_id % 5 = 0")
+    e = V.edges(spark, d)
     modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.round(edge_mode_score(m), 6).alias("score")) for m in [*EDGE_MODES, "all"])))
     return e.select("edge_id", modes.alias("m")).select("edge_id", "m.*")
 
 
-@query("SELECT edge_id, round(greatest(0, least(1.6, 0.34 * semantic + 0.16 * creative + 0.18 * task + 0.18 * causal + 0.14 * structural - 0.2 * temporal - 0.16 * (edge_id % 10 / 10.0))), 6) AS score FROM edges WHERE edge_id % 5 = 1", V.EDGES)
+@query("SELECT edge_id, round(greatest(0, least(1.6, 0.34 * semantic + 0.16 * creative + 0.18 * task + 0.18 * causal + 0.14 * structural - 0.2 * temporal - 0.16 * (edge_id % 10 / 10.0))), 6) AS score FROM edges", V.EDGES)
 def path_scores(spark, d):
-    e = V.edges(spark, d).filter("edge_id % 5 = 1")
+    e = V.edges(spark, d)
     c = F.col
     return e.select("edge_id", F.round(path_score(c("semantic"), c("creative"), c("task"), c("causal"), c("structural"), c("temporal"), c("edge_id") % 10 / 10.0), 6).alias("score"))

@@ -77,7 +77,7 @@ def project_list(spark, d):
     return V.evidence(spark, d).groupBy("project").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
 
 
-@query(r"SELECT project, sha256(lower(trim(regexp_replace(summary, '\s+', ' ', 'g')))) AS key, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, arg_max(id, (t, id)) AS newest FROM evidence WHERE NOT archived GROUP BY 1, 2 HAVING count(*) > 1", V.EVIDENCE)
+@query(r"SELECT * EXCLUDE (t) FROM (SELECT *, count(*) OVER (PARTITION BY project, key) AS n, first_value(id) OVER (PARTITION BY project, key ORDER BY t DESC, id DESC) AS newest FROM (SELECT project, sha256(lower(trim(regexp_replace(summary, '\s+', ' ', 'g')))) AS key, id, t FROM evidence WHERE NOT archived)) WHERE n > 1", V.EVIDENCE)
 def duplicate_groups(spark, d):
     return L.duplicates_by_text(V.evidence(spark, d))
 

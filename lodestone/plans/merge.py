@@ -101,13 +101,13 @@ def paired_delta_intervals(spark, d):
     return Q.bootstrap(pairs.select("dataset", "occurrence", (F.col("a_value") - F.col("b_value")).alias("delta")), ["dataset"], "delta")
 
 
-@query("SELECT id, n FROM (SELECT doc_id AS id, len(list_distinct(regexp_extract_all(text, '\\b(?:19|20)\\d\\d(?:-\\d\\d(?:-\\d\\d)?)?\\b'))) AS n FROM documents) WHERE n <= 8")
+@query("SELECT id, n FROM (SELECT doc_id AS id, len(list_distinct(regexp_extract_all(text, '\\b(?:19|20)\\d\\d(?:-\\d\\d(?:-\\d\\d)?)?\\b'))) AS n FROM documents)")
 def time_anchors(spark, d):
-    return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.size(Z.anchors(F.col("text"), 1000)).cast("long").alias("n")).filter("n <= 8")
+    return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.size(Z.anchors(F.col("text"), 1 << 20)).cast("long").alias("n"))
 
 
-@query("SELECT id, round(len(list_intersect(a, b)) / len(a), 6) AS duplication FROM (SELECT e.id, (SELECT list(DISTINCT t) FROM (SELECT unnest(regexp_extract_all(lower(left(e.text, 400)), '[a-z0-9_./:-]{3,}')) AS t)) AS a, (SELECT list(DISTINCT t) FROM (SELECT unnest(regexp_extract_all(lower(left(n.text, 400)), '[a-z0-9_./:-]{3,}')) AS t)) AS b FROM evidence e JOIN evidence n ON n.id = e.superseded_by) WHERE len(a) > 0", V.EVIDENCE)
+@query("SELECT id, round(len(list_intersect(a, b)) / len(a), 6) AS duplication FROM (SELECT e.id, (SELECT list(DISTINCT t) FROM (SELECT unnest(regexp_extract_all(lower(e.text), '[a-z0-9_./:-]{3,}')) AS t)) AS a, (SELECT list(DISTINCT t) FROM (SELECT unnest(regexp_extract_all(lower(n.text), '[a-z0-9_./:-]{3,}')) AS t)) AS b FROM evidence e JOIN evidence n ON n.id = e.superseded_by) WHERE len(a) > 0", V.EVIDENCE)
 def duplication_scores(spark, d):
-    ev = V.evidence(spark, d).select("id", "superseded_by", T.terms(F.substring("text", 1, 400), 1000).alias("ts"))
+    ev = V.evidence(spark, d).select("id", "superseded_by", T.terms(F.col("text"), 1 << 20).alias("ts"))
     nxt = ev.select(F.col("id").alias("superseded_by"), F.col("ts").alias("b"))
     return ev.join(nxt, "superseded_by").filter(F.size("ts") > 0).select("id", F.round(T.coverage(F.col("ts"), F.col("b")), 6).alias("duplication"))

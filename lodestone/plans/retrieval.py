@@ -181,9 +181,9 @@ def evidence_rerank(spark, d):
     return R.ranked(lexical_rows(spark, d).select("query_id", "id", score.alias("score")), 8).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("SELECT query_id, id, round(CASE WHEN k = 1 THEN greatest(0.55 * lexical, CASE WHEN coverage >= 1 THEN 0.35 ELSE 0 END) ELSE least(1, CASE WHEN k = 2 THEN greatest(CASE WHEN id % 3 = 0 THEN 0.78 WHEN coverage >= 1 THEN 0.52 ELSE 0 END, 0.9 * lexical) ELSE greatest(CASE WHEN id % 3 = 0 THEN 0.92 WHEN coverage >= 0.8 THEN 0.66 ELSE 0 END, lexical, 0.85 * coverage) END) END, 6) AS score FROM lex, (SELECT unnest([1, 2, 3]) AS k) WHERE k = query_id % 3 + 1 AND id % 4 = 0", V.EVIDENCE, V.ASKS + POST + RANKED)
+@query("SELECT query_id, id, round(CASE WHEN k = 1 THEN greatest(0.55 * lexical, CASE WHEN coverage >= 1 THEN 0.35 ELSE 0 END) ELSE least(1, CASE WHEN k = 2 THEN greatest(CASE WHEN id % 3 = 0 THEN 0.78 WHEN coverage >= 1 THEN 0.52 ELSE 0 END, 0.9 * lexical) ELSE greatest(CASE WHEN id % 3 = 0 THEN 0.92 WHEN coverage >= 0.8 THEN 0.66 ELSE 0 END, lexical, 0.85 * coverage) END) END, 6) AS score FROM lex, (SELECT unnest([1, 2, 3]) AS k) WHERE k = query_id % 3 + 1", V.EVIDENCE, V.ASKS + POST + RANKED)
 def phrase_scores(spark, d):
-    rows = lexical_rows(spark, d).filter("id % 4 = 0")
+    rows = lexical_rows(spark, d)
     return rows.select("query_id", "id", F.round(S.phrase_match(F.col("query_id") % 3 + 1, F.col("coverage"), F.col("id") % 3 == 0, F.col("lexical")), 6).alias("score"))
 
 

@@ -101,9 +101,9 @@ def hash_embedding(spark, d):
     return R.hash_embeddings(rows).withColumn("v", F.round("v", 6))
 
 
-@query("SELECT event_id, round(pow(0.5, greatest(0, (1735689600000000 - t) / 1000000 / 86400.0) / 30), 6) AS recency, CASE WHEN value <= 4 THEN 1 - value / 2 ELSE 1 / (1 + value) END AS similarity FROM ledger WHERE event_id % 5 = 0", V.LEDGER)
+@query("SELECT event_id, round(pow(0.5, greatest(0, (1735689600000000 - t) / 1000000 / 86400.0) / 30), 6) AS recency, CASE WHEN value <= 4 THEN 1 - value / 2 ELSE 1 / (1 + value) END AS similarity FROM ledger", V.LEDGER)
 def score_scalars(spark, d):
-    e = V.ledger(spark, d).filter("event_id % 5 = 0")
+    e = V.ledger(spark, d)
     return e.select("event_id", F.round(S.recency(F.col("t") / 1000000, 1735689600), 6).alias("recency"), S.distance_similarity(F.col("value")).alias("similarity"))
 
 

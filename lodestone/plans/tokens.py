@@ -12,9 +12,9 @@ FINAL = ", fin AS (SELECT *, raw_tokens - final_tokens AS saved, greatest(raw_to
 SUMS = "count(*) AS n, sum(raw_tokens)::BIGINT AS raw, sum(final_tokens)::BIGINT AS final, sum(saved)::BIGINT AS saved, sum(saved_clamped)::BIGINT AS saved_clamped, count(*) FILTER (WHERE saved < 0) AS n_worse, count(*) FILTER (WHERE fallback) AS n_fallback, sum(saved)::DOUBLE / nullif(sum(raw_tokens), 0)::DOUBLE AS ratio"
 
 
-@query("SELECT sample_id, saved, saved_clamped, ratio, compression FROM fin WHERE sample_id % 97 = 0 OR saved < 0", V.SAMPLES + FINAL)
+@query("SELECT sample_id, saved, saved_clamped, ratio, compression FROM fin", V.SAMPLES + FINAL)
 def sample_savings(spark, d):
-    return K.finalised(V.samples(spark, d)).filter("sample_id % 97 = 0 or saved < 0").select("sample_id", "saved", "saved_clamped", "ratio", "compression")
+    return K.finalised(V.samples(spark, d)).select("sample_id", "saved", "saved_clamped", "ratio", "compression")
 
 
 @query(f"SELECT mode, {SUMS} FROM fin GROUP BY mode", V.SAMPLES + FINAL)
@@ -42,7 +42,7 @@ def token_percentiles(spark, d):
 
 @query("SELECT mode, baseline, list_sort(list(latency))[round_even((count(*) - 1) * 0.5, 0)::INT + 1] AS p50 FROM samples GROUP BY 1, 2", V.SAMPLES)
 def latency_median(spark, d):
-    return V.samples(spark, d).groupBy("mode", "baseline").agg(K.nearest_rank("latency", 0.5).alias("p50"))
+    return K.exact_percentiles(V.samples(spark, d), ["mode", "baseline"], "latency", {"p50": 0.5})
 
 
 WINDOWS = {"1d": 86400, "7d": 604800, "30d": 2592000, "365d": 31536000}

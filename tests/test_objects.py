@@ -65,3 +65,15 @@ def test_verify_merges(spark):
     sources = spark.createDataFrame([("a", ["x", "y"]), ("a", ["z"])], "g string, ts array<string>")
     r = C.verify(merged, sources, "g").first()
     assert r.sources == 2 and r.unsupported == 1 and not r.empty
+
+
+def test_merged_summary_keeps_the_first_of_equal_texts(spark):
+    rows = [("a", 3, 1, "x"), ("a", 1, 2, "y"), ("a", 2, 3, "x"), ("a", 0, 4, None), ("b", 1, 5, ""), ("b", 2, 6, "z" * 9), ("b", 3, 7, "w"), (None, 1, 8, "n"), ("c", 1, 9, None)]
+    df = spark.createDataFrame(rows, "g string, t long, id long, part string")
+    got = {r.g: (r.summary, r.n) for r in C.merged_summary(df, "g", 5).collect()}
+    assert got == {"a": ("y\nx", 4), "b": ("\nzzzz", 3), None: ("n", 1), "c": ("", 1)}
+
+
+def test_merged_summary_of_more_texts_than_fit(spark):
+    df = spark.range(100).selectExpr("'g' AS g", "id AS t", "id", "cast(id AS string) AS part")
+    assert C.merged_summary(df, "g", 7).first()[1:] == ("0\n1\n2\n3", 100)
