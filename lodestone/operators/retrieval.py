@@ -125,8 +125,13 @@ def vector_top(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -
                 ids = batch.column(0).to_pylist()
                 v = batch.column(1).flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
                 s = q @ v.T
-                keep = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] else np.zeros((len(q), 0), int)
-                for i, own in enumerate(keep):
+                if not len(ids):
+                    continue
+                # all that may tie with the k-th, so that the smaller ids of equal vectors stay
+                least = np.partition(s, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
+                least -= 1e-9 * (1 + np.abs(least))
+                for i in range(len(q)):
+                    own = np.flatnonzero(s[i] >= least[i])
                     best[i] = sorted(best[i] + [(-float((v[j] * q[i]).sum()), ids[j]) for j in own])[:k]
             flat = [(names[i], j, -s) for i, own in enumerate(best) for s, j in own]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in flat], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
