@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A fast Hadamard pseudo-rotation (three rounds of random signs and a Walsh-Hadamard
-transform) turns a unit vector; its hash is the nearest signed axis. Each table joins
-``hashes`` of these into a bucket. Every vector is indexed in every table; a query
-probes, in each table, the ``probes`` buckets whose axes lie nearest, and the vectors
-found there are ranked exactly. Where norms differ, vectors get one more coordinate that
+transform) turns a unit vector; its bucket is the nearest signed axis. Every vector is
+indexed in every table; a query probes, in each table, the ``probes`` buckets whose axes
+lie nearest, and the vectors found there are ranked exactly. The number of buckets does
+not grow with the table, so neither the share of them that is probed nor the recall
+falls. Where norms differ, vectors get one more coordinate that
 makes all norms equal, so that the nearest by angle are the largest by inner product.
 """
 
@@ -34,8 +35,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(d)
 
 
-def rotated(x: np.ndarray, table: int, number: int) -> np.ndarray:
-    signs = np.random.RandomState(1000 * table + number).choice([-1.0, 1.0], (3, x.shape[1]))
+def rotated(x: np.ndarray, table: int) -> np.ndarray:
+    signs = np.random.RandomState(1000 * table).choice([-1.0, 1.0], (3, x.shape[1]))
     for s in signs:
         x = hadamard(x * s)
     return x
@@ -56,7 +57,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
 
 
-def _index(tables: int, hashes: int, salts: int, top: float, extra: bool):
+def _index(tables: int, salts: int, top: float, extra: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -65,17 +66,15 @@ def _index(tables: int, hashes: int, salts: int, top: float, extra: bool):
             ids = batch.column(0).to_numpy()
             salt = (ids * 0x9E3779B1 >> 16) % salts
             for t in range(tables):
-                bucket = np.zeros(len(x), dtype=np.int64)
-                for k in range(hashes):
-                    y = rotated(x, t, k)
-                    axis = np.abs(y).argmax(axis=1)
-                    bucket = bucket * 2 * y.shape[1] + 2 * axis + (y[np.arange(len(y)), axis] < 0)
+                y = rotated(x, t)
+                axis = np.abs(y).argmax(axis=1)
+                bucket = 2 * axis + (y[np.arange(len(y)), axis] < 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(bucket), pa.array(salt.astype(np.int32)), *batch.columns], names=["t", "bucket", "salt", "vec_id", "v"])
 
     return run
 
 
-def _probe(tables: int, hashes: int, probes: int, salts: int, top: float, extra: bool):
+def _probe(tables: int, probes: int, salts: int, top: float, extra: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -83,17 +82,9 @@ def _probe(tables: int, hashes: int, probes: int, salts: int, top: float, extra:
                 x = _unit(_vectors(rows.column(1)), top, extra, True)
                 n = len(x)
                 for t in range(tables):
-                    bucket, score = np.zeros((n, 1), dtype=np.int64), np.zeros((n, 1))
-                    for k in range(hashes):
-                        y = rotated(x, t, k)
-                        wide = 2 * y.shape[1]
-                        axes = np.stack([y, -y], axis=2).reshape(n, wide)  # 2 * axis + sign
-                        few = np.argsort(-axes, axis=1, kind="stable")[:, :probes]
-                        own = np.take_along_axis(axes, few, 1)
-                        bucket = (bucket[:, :, None] * wide + few[:, None, :]).reshape(n, -1)
-                        score = (score[:, :, None] + own[:, None, :]).reshape(n, -1)
-                        best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-                        bucket, score = np.take_along_axis(bucket, best, 1), np.take_along_axis(score, best, 1)
+                    y = rotated(x, t)
+                    axes = np.stack([y, -y], axis=2).reshape(n, -1)  # 2 * axis + sign
+                    bucket = np.argsort(-axes, axis=1, kind="stable")[:, :probes]
                     p = bucket.shape[1]
                     for s in range(salts):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n * p, t, np.int32)), pa.array(bucket.ravel()), pa.array(np.full(n * p, s, np.int32)), *(c.take(pa.array(np.repeat(np.arange(n), p))) for c in rows.columns)], names=["t", "bucket", "salt", "vec_id", "v"])
@@ -154,14 +145,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         n, lo, top = rows.agg(F.count("*"), F.min(norm), F.max(norm)).first()
         extra = top > lo * (1 + 1e-5)
         axes = 2 << max(wide + extra - 1, 1).bit_length()
-        hashes, salts = 1, max(1, -(-n // BLOCK))
-        while axes**hashes * 2048 < n:
-            hashes += 1
-        probes = axes if n <= small else min(probes * hashes, axes**hashes)
+        salts = max(1, -(-n // BLOCK))
+        probes = axes if n <= small else min(probes, axes)
         kind = rows.schema["v"].dataType.simpleString()
         schema = f"t int, bucket long, salt int, vec_id long, v {kind}"
-        index = rows.mapInArrow(_index(tables if n > small else 1, hashes, salts, top, extra), schema)
-        probe = asks.mapInArrow(_probe(tables if n > small else 1, hashes, probes, salts, top, extra), schema)
+        index = rows.mapInArrow(_index(tables if n > small else 1, salts, top, extra), schema)
+        probe = asks.mapInArrow(_probe(tables if n > small else 1, probes, salts, top, extra), schema)
         keys = ["t", "bucket", "salt"]
         found = index.groupBy(*keys).cogroup(probe.groupBy(*keys)).applyInPandas(_rank(k), empty)
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))

@@ -332,6 +332,27 @@ def test_nearest(spark):
         assert hits >= 0.9 * total
 
 
+def test_nearest_of_a_large_table_keeps_its_recall(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    asked, v = np.eye(16)[:5], np.random.RandomState(5).randn(100000, 16)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v = v[(v @ asked.T < 0.4).all(axis=1)]  # none is close, as in many dimensions
+    assert len(v) > 70000
+
+    def table(name, ids, rows):
+        pq.write_table(pa.table({"vec_id": ids, "embedding": list(rows)}), tmp_path / name)
+        return spark.read.parquet(str(tmp_path / name))
+
+    got = {}
+    for x in nearest(table("v", np.arange(len(v)), v), table("q", -1 - np.arange(5), asked), k=20).collect():
+        got.setdefault(-1 - x.query_id, set()).add(x.vec_id)
+    hits = sum(len(got[i] & set(np.argsort(-(v @ q))[:20].tolist())) for i, q in enumerate(asked))
+    assert hits >= 0.9 * 100, hits
+
+
 def test_hadamard_is_a_rotation():
     import numpy as np
 
