@@ -15,24 +15,40 @@ from lodestone.llm.quality import fit_quality, score_quality
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """With a number of its own for each row (ids may be null or repeat), written once so that it stays."""
+    return docs if "row" in docs.columns else cut(docs.withColumn("row", F.monotonically_increasing_id()))
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """The row with the smallest doc_id (ties: the smaller row) of each group of linked documents."""
+    found = jaccard_join(docs, id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), "component_id")
+    return cut(docs.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (score under 0.3) go."""
     small_batches(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, held=0)
-    return score_quality(docs, model, keep=COLUMNS).filter("score >= 0.3").select(*COLUMNS)
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    return score_quality(rows, model, keep=(*COLUMNS, "row")).filter("score >= 0.3").select(*COLUMNS, "row")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of lines that stand on five sites or more go; all documents stay. Texts made of such
-    lines for more than half are copies of whole documents, and are left to the next stage."""
-    out = line_dedup(docs, min_sites=5, keep=("lang", "source"), max_share=0.5)
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """Later copies of lines that stand on five sites or more go; all documents stay. What is a near copy of
+    another document (copy) is found before that, as afterwards only the first one may have its lines left."""
+    docs = numbered(docs)
+    first = firsts(docs).withColumn("copy", F.lit(False))
+    out = line_dedup(docs, min_sites=5, keep=("lang", "source", "row")).join(first, "row", "left")
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "row", F.coalesce("copy", F.lit(True)).alias("copy"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    first = jaccard_join(docs, size=3, percent=90).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """Of each group of linked documents the one with the smallest doc_id stays, be they linked by what
+    their texts are or by what they were before the lines went."""
+    docs = numbered(docs)
+    out = docs.join(firsts(docs), "row", "left_semi")
+    return (out.filter("not copy") if "copy" in docs.columns else out).select(*COLUMNS)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

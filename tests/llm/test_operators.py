@@ -332,6 +332,20 @@ def test_nearest(spark):
         assert hits >= 0.9 * total
 
 
+def test_pipeline_strikes_boilerplate_of_texts_that_are_no_copies(spark, tmp_path):
+    import corpus_pipeline as P
+
+    note = " ".join(f"shared{i}" for i in range(40))
+    rows = [(i, f"{note}\nown{i} text{i} of{i} it{i}", "en", f"s{i}", 1) for i in range(6)]
+    rows += [(10 + i, f"{note}\nwhole document that others copy", "en", f"s{i}", 1) for i in range(6)]
+    rows += [(None, f"{note}\nfree{i} of{i} any{i} id{i}", "en", f"t{i}", 1) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.near_duplicates(spark, P.lines(spark, docs.filter("doc_id >= 0"), ""), "").collect()
+    assert sorted((r.doc_id, note in r.text) for r in out) == [(0, True), *((i, False) for i in range(1, 6)), (10, False)]
+    # rows without an id stay apart
+    assert sum(r.doc_id is None for r in P.near_duplicates(spark, docs.filter("doc_id is null").withColumn("text", F.substring_index("text", "\n", -1)), "").collect()) == 2
+
+
 def test_nearest_of_a_large_table_keeps_its_recall(spark, tmp_path):
     import numpy as np
     import pyarrow as pa
