@@ -39,7 +39,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (null: NO_ID) and the text, under the names doc_id and text."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(*keyed_columns(id_col, text_col))
+
+
+def keyed_columns(id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
 
 
 def real_id(c: Column | None = None) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import chained, keyed, real_id
+from ._spark import chained, cut, keyed_columns, real_id
 from ._text import ALNUM, LOWER, Rolling, Words, pieces
 
 _BITS = 20
@@ -121,7 +121,7 @@ def _count(name: str, block, window: int, gram: int):
 
 
 def _hits(name: str, block, counts, window: int, gram: int):
-    """Of each document: words, merged spans of hit words (start, end, start, ...), item numbers."""
+    """Of each document: words, merged spans of hit words (start, end, start, ...), item numbers; columns after the text are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(name, block, window, gram)
@@ -168,26 +168,31 @@ def _hits(name: str, block, counts, window: int, gram: int):
                 at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.at[win], many)
                 both = np.unique(np.repeat(d, many) * len(block.value) + index.items[at])
                 items = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(both // len(block.value), minlength=k))].astype(np.int32)), pa.array((both % len(block.value)).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n_words.astype(np.int64)), spans, items], names=["doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n_words.astype(np.int64)), spans, items, *(c.slice(lo, k) for c in batch.columns[2:])], names=["doc_id", "n_words", "spans", "items", *batch.schema.names[2:]])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, gram: int = 3, share: float = 0.05, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, gram: int = 3, share: float = 0.05, block_bytes: int = 16 << 20, keep: tuple = ()) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as strings, sorted), contaminated: a row per row of docs.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A word inside any
     occurrence of a window is hit; a document is contaminated when hits are share or more of
     its words, and at least one. A null or empty text has no words; an item without words
-    (or null) hits nothing; a null item id is written as an empty string. Other columns are
-    ignored. Rows that repeat an id are judged each on its own text; only a benchmark of several
-    blocks merges rows of equal id and length. Empty tables on either side give no hits.
+    (or null) hits nothing; a null item id is written as an empty string. Columns named in keep are
+    passed on, other columns are ignored. Rows that repeat an id, or have none, are judged each on its
+    own text. Empty tables on either side give no hits.
     """
     sc = docs.sparkSession.sparkContext
-    d = keyed(docs, id_col, text_col)
+    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    d = docs.select(*keyed_columns(id_col, text_col), *kept)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-2 * total // block_bytes) if total > block_bytes else 1
+    if blocks > 1:  # the parts of a row meet by its number, which is written once
+        d = cut(d.withColumn("row", F.monotonically_increasing_id()))
+    sent = d if blocks == 1 else d.select("doc_id", "text", "row")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in sent.schema.fields[2:])
     parts = []
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
@@ -200,16 +205,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             counts[r.token] = r.c
         steps = (_hits(name, block, sc.broadcast(counts), window, gram), _named(names))
         if blocks == 1:
-            parts.append(d.mapInArrow(chained(*steps, _measure), _MEASURED))
+            parts.append(sent.mapInArrow(chained(*steps, _measure), _MEASURED + more))
         else:
-            parts.append(d.mapInArrow(chained(*steps), "doc_id long, n_words long, spans array<long>, items array<string>"))
+            parts.append(sent.mapInArrow(chained(*steps), "doc_id long, n_words long, spans array<long>, items array<string>" + more))
     out = parts[0]
     if blocks > 1:
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        out = out.mapInArrow(_measure, _MEASURED)
-    return out.select(real_id(), "n_words", "n_hit", F.array_sort("items").alias("items"), ((F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words"))).alias("contaminated"))
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        out = out.select("doc_id", "n_words", "spans", "items", "row").mapInArrow(_measure, _MEASURED + more)
+        if keep:
+            out = out.join(d.drop("doc_id", "text"), "row")
+    return out.select(real_id(), "n_words", "n_hit", F.array_sort("items").alias("items"), ((F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words"))).alias("contaminated"), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)))
 
 
 _MEASURED = "doc_id long, n_words long, n_hit long, items array<string>"
@@ -221,7 +228,7 @@ def _named(names):
         for batch in batches:
             lists = batch.column(3)
             named = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int32)), known.take(lists.flatten()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], named], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], named, *batch.columns[4:]], names=batch.schema.names)
 
     return run
 
@@ -235,4 +242,4 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_ = np.cumsum(np.r_[np.ones(len(v)), -np.ones(len(v))][order := np.argsort(np.r_[v[:, 0], v[:, 1]], kind="stable")])
             pos = np.r_[v[:, 0], v[:, 1]][order]
             hits.append(int(np.sum(np.diff(pos)[open_[:-1] > 0])) if len(v) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), batch.column(3)], names=["doc_id", "n_words", "n_hit", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), *batch.columns[3:]], names=["doc_id", "n_words", "n_hit", *batch.schema.names[3:]])

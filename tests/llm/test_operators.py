@@ -346,6 +346,21 @@ def test_pipeline_strikes_boilerplate_of_texts_that_are_no_copies(spark, tmp_pat
     assert sum(r.doc_id is None for r in P.near_duplicates(spark, docs.filter("doc_id is null").withColumn("text", F.substring_index("text", "\n", -1)), "").collect()) == 2
 
 
+def test_rows_of_one_id_have_their_own_verdicts(spark, tmp_path):
+    import corpus_pipeline as P
+
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(i, t, "en", "s", 1) for i in (None, 7) for t in (item, " ".join(f"clean{i}" for i in range(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([("a", item), ("b", "other " * 20)], "item_id string, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = P.contamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text[:5]) for r in left) == [(0, "clean"), (7, "clean")]
+    for size in (1 << 20, 50):
+        got = decontaminate(docs, bench, block_bytes=size, keep=("text",)).collect()
+        assert sorted((r.doc_id or 0, r.n_hit, r.contaminated, r.text[:5]) for r in got) == [(0, 0, False, "clean"), (0, 20, True, "item0"), (7, 0, False, "clean"), (7, 20, True, "item0")], size
+
+
 def test_nearest_of_a_large_table_keeps_its_recall(spark, tmp_path):
     import numpy as np
     import pyarrow as pa
