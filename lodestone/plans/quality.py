@@ -112,10 +112,20 @@ def bootstrap_intervals(spark, d):
     return Q.bootstrap(V.runs(spark, d).select("run_id", "dataset", "metric"), ["dataset"], "metric")
 
 
-@query("SELECT run_id, (('0x' || substr(sha256(dataset || '|' || run_id), 1, 12))::BIGINT % 4) AS shard, (row_number() OVER (ORDER BY run_id) - 1) % 3 AS part FROM runs WHERE run_id < 4000", V.RUNS)
-def shards(spark, d):
+@query("SELECT run_id, (('0x' || substr(sha256(dataset || '|' || run_id), 1, 12))::BIGINT % 4) AS shard, (row_number() OVER (ORDER BY run_id) - 1) % 3 AS part FROM runs", V.RUNS)
+def all_shards(spark, d):
     from pyspark.sql import Window
 
-    r = V.runs(spark, d).filter("run_id < 4000")
+    r = V.runs(spark, d)
     h = F.conv(F.substring(F.sha2(F.concat_ws("|", "dataset", F.col("run_id").cast("string")), 256), 1, 12), 16, 10).cast("long")
-    return r.select("run_id", (h % 4).alias("shard"), ((F.row_number().over(Window.orderBy("run_id")) - 1) % 3).cast("long").alias("part"))
+    # numbered within ranges of ids; only the counts of the ranges are summed in one task
+    r = r.select("run_id", (h % 4).alias("shard"), F.floor(F.col("run_id") / 65536).alias("span"))
+    before = F.sum("c").over(Window.orderBy("span")) - F.col("c")
+    starts = r.groupBy("span").agg(F.count("*").alias("c")).select("span", before.alias("start"))
+    at = F.row_number().over(Window.partitionBy("span").orderBy("run_id")) - 1
+    return r.withColumn("at", at).join(starts, "span").select("run_id", "shard", ((F.col("start") + F.col("at")) % 3).cast("long").alias("part"))
+
+
+@query("SELECT run_id, (('0x' || substr(sha256(dataset || '|' || run_id), 1, 12))::BIGINT % 4) AS shard, (row_number() OVER (ORDER BY run_id) - 1) % 3 AS part FROM runs WHERE run_id < 4000", V.RUNS)
+def shards(spark, d):
+    return all_shards(spark, d).filter("run_id < 4000")

@@ -49,3 +49,8 @@ def test_query(spark, duck, name):
     different = [(a, b) for a, b in zip(got, want) if a != b]
     assert not different, different[:3]
     assert got, "no rows"
+
+
+def test_every_run_has_a_shard(spark, duck):
+    got = registry.QUERIES["all_shards"](spark, DATA)
+    assert got.count() == got.select("run_id").distinct().count() == duck.sql("select count(*) from orders").fetchall()[0][0]
