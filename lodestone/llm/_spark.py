@@ -13,9 +13,12 @@ NO_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one on a local master; an error
+    on a cluster, whose executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salts(spark: SparkSession) -> int:
+    """Into how many parts a key's rows are dealt before they meet: as many as a shuffle has tasks."""
+    return max(32, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send whole texts to Python in batches of at most so many rows: with long texts the default of
     10,000 takes hundreds of megabytes a task. A setting of the session; a lower one stays."""

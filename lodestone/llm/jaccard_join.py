@@ -6,11 +6,14 @@ of a set under order j are its tokens of class j. Sets of similarity t differ in
 most D tokens, D following from the sizes, and each such token spoils the prefix of
 one order; with D + ``agree`` orders, linked sets share their whole prefix under
 ``agree`` orders at least. Posting whole prefixes under all orders, not single
-tokens, keeps frequent n-grams from gathering unrelated documents. Candidates must
-also pass the size bound and a parity sketch (it can't exceed the number of
-differing tokens), and are then verified exactly on their texts.
-
-Equal sets are joined first, by a 128-bit digest. Links between different sets are
+tokens, keeps frequent n-grams from gathering unrelated documents. Pairs that meet
+under one order must pass the size bound and a parity sketch (it can't exceed the
+number of differing tokens); then the filters of all orders are intersected: a
+candidate shares its prefixes under ``agree`` orders or more. Only candidates are
+verified, exactly, on their texts.
+
+Equal sets are joined first, by a 128-bit digest; sets so small that one differing
+token parts them post no prefixes. Links between different sets are
 needed only until they connect: two rounds compare each set with one centre of each
 posting list, then all pairs of a posting list that lie in different components are
 compared, without those inside the largest one. No link between components is lost,
@@ -26,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, keyed, real_id
+from ._spark import cut, keyed, real_id, salts
 from ._text import LOWER, NOT_BLANK, Words, mix, pieces
 
-_SETS = "doc_id long, n long, h1 long, h2 long, s1 long, s2 long, keys array<long>"
+_SETS = "doc_id long, n long, h1 long, h2 long, s1 long, s2 long, blank long, keys array<long>"
 
 
 def _bands(most: int) -> list[int]:
@@ -43,8 +46,11 @@ def _sets(size: int, percent: int, agree: int):
     edges = np.array(_bands(1 << 40))
     spoil = lambda total: total * (100 - percent) // (100 + percent)
 
-    def keys_of(tokens: np.ndarray) -> list[np.ndarray]:
-        n, out = len(tokens), []
+    def keys_of(tokens: np.ndarray) -> tuple[list[np.ndarray], int]:
+        """Prefixes under all orders, and how many of a set's orders have an empty prefix at most."""
+        n, out, blank = len(tokens), [], 0
+        if spoil(2 * n + 1) < 1:  # links with equal sets only
+            return out, blank
         own = int(np.searchsorted(edges, n))  # edges[own - 1] < n <= edges[own]
         for band in (own, own + 1):
             if band > own and n * 100 < (edges[own] + 1) * percent:
@@ -55,11 +61,13 @@ def _sets(size: int, percent: int, agree: int):
             sums = np.zeros(orders, dtype=np.uint64)
             np.add.at(sums, cls, mix(tokens, 4))
             use = np.bincount(cls, minlength=orders) > 0
-            if orders - use.sum() >= agree:
+            empty = int(orders - use.sum())
+            blank = max(blank, empty)
+            if empty >= agree:  # (about one set of nine tokens in 60,000, fewer of more) its orders may agree on nothing else
                 use[:] = True
             j = np.flatnonzero(use)
             out.append(mix(mix(sums[j], 6) + (j + (band << 44)).astype(np.uint64), 8))
-        return out
+        return out, blank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +76,7 @@ def _sets(size: int, percent: int, agree: int):
                 words = Words(LOWER[data], cuts, NOT_BLANK)
                 roll = words.rolling()
                 k = hi - lo
-                num = np.zeros((5, k), dtype=np.uint64)
+                num = np.zeros((6, k), dtype=np.uint64)
                 counts = np.zeros(k, dtype=np.int64)
                 values: list[np.ndarray] = []
                 for i in range(k):
@@ -80,13 +88,13 @@ def _sets(size: int, percent: int, agree: int):
                     num[0, i] = len(tokens)
                     num[1, i], num[2, i] = mix(tokens, 1).sum(), mix(tokens, 2).sum()
                     odd = np.bincount((mix(tokens, 5) % np.uint64(128)).astype(np.int64), minlength=128) & 1
-                    num[3:, i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-                    own = keys_of(tokens)
+                    num[3:5, i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                    own, num[5, i] = keys_of(tokens)
                     counts[i] = sum(map(len, own))
                     values += own
                 flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, k), *(pa.array(x.view(np.int64)) for x in num), keys], names=["doc_id", "n", "h1", "h2", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, k), *(pa.array(x.view(np.int64)) for x in num), keys], names=["doc_id", "n", "h1", "h2", "s1", "s2", "blank", "keys"])
 
     return run
 
@@ -147,21 +155,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     d = keyed(docs, id_col, text_col)
     sets = cut(d.mapInArrow(_sets(size, percent, agree), _SETS))
-    equal = sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"))
+    # equal sets: first within salts, so that a large group of copies is dealt to many tasks
+    same = ["n", "h1", "h2"]
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts(d.sparkSession)))
+    part = cut(sets.filter("n > 0").groupBy(*same, salt.alias("salt")).agg(F.min("doc_id").alias("id")))
+    equal = part.groupBy(*same).agg(F.min("id").alias("id"))
     ids = cut(equal.select("id").distinct())
-    keys = sets.join(ids, sets.doc_id == ids.id).select("id", F.explode("keys").alias("key"))
+    # one row per different set of an id; ids may repeat with other texts
+    sets1 = sets.filter("n > 0").withColumnRenamed("doc_id", "id").dropDuplicates(["id", *same])
+    sets1 = cut(sets1.join(ids, "id").select("id", "n", "h1", "s1", "s2", "blank", "keys"))
+    keys = sets1.select("h1", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
-    posts = keys.join(shared, "key")
-    light = sets.select(F.col("doc_id").alias("id"), "n", "s1", "s2").filter("n > 0").dropDuplicates(["id"])
-    posts = cut(posts.join(light, "id"))
-    texts = cut(d.join(posts.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"))
+    posts = cut(keys.join(shared, "key").join(sets1.select("h1", "id", "n", "s1", "s2"), "h1").drop("h1"))
+    met = posts.select("id").distinct()
+    texts = cut(d.join(met.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text"))
+    orders = cut(sets1.join(met, "id").select("id", "blank", "keys"))
 
     def close(a: str, b: str):
         total = F.col(f"{a}.n") + F.col(f"{b}.n")
-        fits = (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent)
+        fits = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
         odd = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
         return fits & (odd * (100 + percent) <= total * (100 - percent)) & (F.col(f"{a}.comp") != F.col(f"{b}.comp"))
 
+    def intersected(pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) that share prefixes under enough orders; an order with empty prefixes on both sides counts."""
+        one = lambda n, m: orders.select(F.col("id").alias(n), F.col("blank").alias(f"b{m}"), F.col("keys").alias(f"k{m}"))
+        both = pairs.distinct().join(one("u", 1), "u").join(one("v", 2), "v")
+        return both.filter(F.size(F.array_intersect("k1", "k2")) >= F.greatest(F.lit(1), agree - F.least("b1", "b2"))).select("u", "v").distinct()
+
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
         return cut(both.select("u", "v", "a", "b").mapInArrow(_verify(size, percent), "u long, v long"))
@@ -177,17 +198,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         order = F.struct(*([F.xxhash64("id", "key", F.lit(turn))] if turn else []), "id")
         centre = now.groupBy("key").agg(F.min_by(F.struct("id", "n", "s1", "s2", "comp"), order).alias("c")).select("key", "c.*")
         pairs = now.alias("a").join(centre.alias("b"), F.col("a.key") == F.col("b.key")).filter(close("a", "b"))
-        pairs = pairs.groupBy(F.col("a.id").alias("v")).agg(F.min("b.id").alias("u"))
+        pairs = intersected(pairs.select(F.col("a.id").alias("v"), F.col("b.id").alias("u"))).groupBy("v").agg(F.min("u").alias("u"))
         more = verified(pairs)
         found = more if found is None else found.unionByName(more)
     now = cut(labelled(found))
     main = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main")
     rest = cut(now.join(main, "key").filter("comp <> main").drop("main"))
     pairs = now.alias("a").join(rest.alias("b"), F.col("a.key") == F.col("b.key")).filter(close("a", "b"))
-    pairs = pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+    pairs = intersected(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")))
     found = found.unionByName(verified(pairs))
     comp = components(found).withColumnRenamed("v", "id")
 
     # a document may stand in several rows, and its class in another document's component
-    member = sets.join(equal, ["n", "h1", "h2"], "left").join(comp, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "id", "doc_id").alias("component_id"))
+    named = part.drop("id").join(equal, same).join(comp, "id", "left").select(*same, "salt", F.coalesce("comp", "id").alias("class"))
+    member = sets.withColumn("salt", salt).join(named, [*same, "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
     return member.withColumn("doc_id", real_id()).withColumn("component_id", real_id(F.col("component_id")).alias("component_id"))

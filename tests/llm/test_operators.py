@@ -387,3 +387,19 @@ def test_hadamard_is_a_rotation():
 
     x = np.random.RandomState(0).randn(3, 16)
     assert np.allclose(hadamard(hadamard(x)), x) and np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_jaccard_join_of_many_short_texts(spark):
+    """Different sets of up to eight n-grams are never linked, so they meet nowhere; equal ones are."""
+    rows = [(i, f"word{i // 2}") for i in range(20000)] + [(20000 + i, " ".join(f"a{i}b{k}" for k in range(10 + i % 2))) for i in range(500)]
+    got = {r.doc_id: r for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 20500 and all(got[i].component_id == i // 2 * 2 and got[i].n_shingles == 1 for i in range(20000))
+    assert all(got[20000 + i].component_id == 20000 + i for i in range(500))
+
+
+def test_jaccard_join_of_texts_that_share_an_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = base[:59] + ["other"]
+    rows = [(5, " ".join(base)), (5, "something else entirely that is long enough to have its own set of shingles"), (None, "x y z"), (None, " ".join(near)), (9, "x y z")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 58): None, (5, 12): None, (None, 1): None, (None, 58): None, (9, 1): None}
