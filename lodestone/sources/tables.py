@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the folder of spark.checkpoint.dir and read it back. Iterations use it: their plans
-    stay short and survive lost executors. Only where the setting is missing (tests, one machine) a temporary
-    folder is made."""
+    stay short and survive lost executors. Where the setting is missing, a temporary folder is made on a local
+    master; on a cluster that is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
