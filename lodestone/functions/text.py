@@ -7,17 +7,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: secrets that redaction replaces, in this order
+MARKER = "[REDACTED]"
+# Secrets that redaction replaces, in this order (name, pattern, replacement).
 SECRETS = (
-    (r"(?i)(api[_-]?key|token|secret|password)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{8,}[\"']?", "$1=[REDACTED]"),
-    (r"sk-[A-Za-z0-9]{16,}", "[REDACTED]"),
-    (r"AKIA[0-9A-Z]{12,}", "[REDACTED]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
+    ("bearer", r"(?i)(authorization\s*:\s*bearer\s+)[A-Za-z0-9._\-+/=]+", "$1" + MARKER),
+    ("assignment", r"(?i)((?:api[_-]?key|access[_-]?token|secret[_-]?key|password|passwd|pwd)\s*[:=]\s*)[^\s\"']+", "$1" + MARKER),
+    ("key", r"\bsk-[A-Za-z0-9_\-]{12,}\b", MARKER),
+    ("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", MARKER),
 )
-#: content classes by the first pattern that matches
-CLASSES = (("json", r"^\s*[\{\[]"), ("table", r" \| "), ("log", r"(?i)\b(error|warn|exception)\b"), ("code", r"[{};]\s*\n|\bdef |\bclass "), ("shout", r"[A-Z]{3,}!!"), ("list", r"(?m)^\s*[-*] "), ("url", r"https?://"))
-#: characters per token of a class
-RATIOS = {"json": 2.6, "table": 3.0, "log": 3.2, "code": 3.1, "shout": 2.8, "list": 3.8, "url": 3.0, "prose": 4.0}
+# Fixed value: names of payload fields whose values are secret whatever they hold.
+SECRET_FIELD = r"(?i)(api[_-]?key|access[_-]?token|\btoken\b|secret|password|passwd|pwd|authorization)"
+# Characters per token of a content class.
+RATIOS = {"code": 3.1, "json": 2.7, "markdown": 3.5, "log": 3.0, "metrics": 2.8}
+CJK = "[\u4e00-\u9fff]"
 
 
 def terms(text: Column, n: int = 80) -> Column:
@@ -71,27 +73,51 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.size(words(text)) * 1.35) + F.floor(F.length(text) / 18)).cast("long")
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def content_class(text: Column) -> Column:
-    out = None
-    for name, pattern in CLASSES:
-        hit = F.regexp_like(text, F.lit(pattern))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("prose")
+    """empty, log, json, markdown, code, zh_text, metrics or prose: the first rule that holds. Null counts as empty."""
+    s = stripped(F.coalesce(text, F.lit("")))
+    has = lambda p, x=s: F.regexp_like(x, F.lit(p))
+    chinese = F.regexp_count(s, F.lit(CJK))
+    return (
+        F.when(s == "", "empty")
+        .when(F.contains(F.lower(s), F.lit("traceback")) | has(r"\b(error|exception|warn|stderr|stdout)\b", F.lower(s)), "log")
+        .when(has(r"^[\{\[]") & has('[:,"]'), "json")
+        .when(F.contains(s, F.lit("```")) | has(r"(?m)^\s*#{1,6}\s+") | has(r"(?m)^\s*[-*]\s+"), "markdown")
+        .when(has(r"\b(def|class|import|from|const|let|function|return|async|await)\b") | F.contains(s, F.lit("=>")), "code")
+        .when(chinese / F.length(s) > 0.25, "zh_text")
+        .when(has(r"\b(recall@|ndcg|gold_rank|candidate_recall|accuracy|f1|precision)\b", F.lower(s)), "metrics")
+        .otherwise("prose")
+    )
 
 
 def class_tokens(text: Column, kind: Column) -> Column:
-    """Characters over the class's ratio, rounded up."""
-    ratio = F.create_map(*[F.lit(x) for pair in RATIOS.items() for x in pair])[kind]
-    return F.ceil(F.length(text) / ratio).cast("long")
+    """Token estimate by class: characters over its ratio, rounded up (prose: four; Chinese letters count 1.05); at least 1, empty 0."""
+    n, chinese = F.length(text), F.regexp_count(text, F.lit(CJK))
+    ratio = F.coalesce(F.create_map(*[F.lit(x) for pair in RATIOS.items() for x in pair])[kind], F.lit(4.0))
+    out = F.when(kind == "zh_text", F.ceil(chinese * 1.05 + (n - chinese) / 4)).otherwise(F.ceil(n / ratio))
+    return F.when((kind == "empty") | text.isNull(), 0).otherwise(F.greatest(F.lit(1), out)).cast("long")
 
 
 def redacted(text: Column) -> Column:
-    return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), SECRETS, text)
+    return reduce(lambda c, p: F.regexp_replace(c, p[1], p[2]), SECRETS, text)
 
 
 def secret_kinds(text: Column) -> Column:
-    """Numbers of the patterns that match, as an array."""
-    return F.filter(F.array(*(F.when(F.regexp_like(text, F.lit(p)), F.lit(i)) for i, (p, _) in enumerate(SECRETS))), lambda x: x.isNotNull())
+    """Names of the secrets found in a text."""
+    return F.filter(F.array(*(F.when(F.regexp_like(text, F.lit(p)), F.lit(n)) for n, p, _ in SECRETS)), lambda x: x.isNotNull())
+
+
+def markers(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\[REDACTED\]"))
+
+
+def redacted_fields(payload: Column) -> Column:
+    """A map of strings without its secrets: secret fields by name, all other values by what they hold."""
+    return F.transform_values(payload, lambda k, v: F.when(F.regexp_like(k, F.lit(SECRET_FIELD)), F.lit(MARKER)).otherwise(redacted(v)))
 
 
 def ngrams(tokens: Column, n: int = 4) -> Column:

@@ -21,25 +21,31 @@ def extracted_objects(spark, d):
     return O.extract(docs).filter("kind in ('email', 'license')").groupBy("id", "kind").agg(F.count("*").alias("n"))
 
 
-CUES = " ".join(f"WHEN regexp_matches(lower(query), '\\b({'|'.join(c)})') THEN '{n}'" for n, c in R.INTENTS)
-ASKED = ", said AS (SELECT query_id, query || CASE query_id % 7 WHEN 0 THEN ' why decided' WHEN 1 THEN ' latest error' WHEN 2 THEN ' when in 2021' WHEN 3 THEN ' I prefer' ELSE '' END AS query FROM asks)"
+INTENT = """CASE WHEN regexp_matches(lower(query), '继续|resume|continue|上次|中断') THEN 'continue_task' WHEN regexp_matches(lower(query), 'regression|benchmark|clonemem|knowme|longmemeval|locomo|回归|得分') THEN 'debug_regression'
+  WHEN regexp_matches(lower(query), 'decision|决定|策略|之前') THEN 'find_prior_decision' WHEN regexp_matches(lower(query), 'paper|draft|论文|revision') THEN 'write_paper_revision' ELSE 'summarize_project_state' END"""
+ASKED = ", said AS (SELECT query_id, query || CASE query_id % 7 WHEN 0 THEN ' resume 决定' WHEN 1 THEN ' latest Regression' WHEN 2 THEN ' which decision in 2021' WHEN 3 THEN ' between Draft one' WHEN 4 THEN ' used to' ELSE '' END AS query FROM asks)"
 
 
 def said(spark, d):
     i = F.col("query_id") % 7
-    tail = F.when(i == 0, " why decided").when(i == 1, " latest error").when(i == 2, " when in 2021").when(i == 3, " I prefer").otherwise("")
+    tail = F.when(i == 0, " resume 决定").when(i == 1, " latest Regression").when(i == 2, " which decision in 2021").when(i == 3, " between Draft one").when(i == 4, " used to").otherwise("")
     return V.asks(spark, d).select("query_id", F.concat("query", tail).alias("query"))
 
 
-@query(f"SELECT query_id, CASE {CUES} ELSE 'general' END AS intent FROM said", V.ASKS + ASKED)
+@query(f"SELECT query_id, {INTENT} AS intent FROM said", V.ASKS + ASKED)
 def query_intents(spark, d):
     return said(spark, d).select("query_id", R.intent(F.col("query")).alias("intent"))
 
 
-PROGRAM = ", ".join(f"('{i}', '{op}', {w}, {n})" for i, ops in R.PROGRAMS.items() for n, (op, w) in enumerate(ops))
+PROGRAM = """('continue_task', 'recent_event_scan', 1, 0), ('continue_task', 'similar_task_lookup', 0.9, 1), ('continue_task', 'decision_lookup', 0.85, 2), ('continue_task', 'constraint_lookup', 0.8, 3), ('continue_task', 'failure_lookup', 0.75, 4), ('continue_task', 'patch_lookup', 0.65, 5),
+  ('debug_regression', 'dense_semantic_search', 0.75, 0), ('debug_regression', 'metric_delta_scan', 1, 1), ('debug_regression', 'recent_event_scan', 0.9, 2), ('debug_regression', 'failure_lookup', 0.85, 3), ('debug_regression', 'patch_lookup', 0.75, 4), ('debug_regression', 'artifact_lookup', 0.7, 5),
+  ('debug_regression', 'code_region_lookup', 0.65, 6), ('debug_regression', 'decision_lookup', 0.65, 7), ('debug_regression', 'constraint_lookup', 0.6, 8), ('debug_regression', 'causal_neighbor_expand', 0.55, 9),
+  ('find_prior_decision', 'decision_lookup', 1, 0), ('find_prior_decision', 'constraint_lookup', 0.75, 1), ('find_prior_decision', 'temporal_window_scan', 0.55, 2), ('find_prior_decision', 'contradiction_scan', 0.5, 3),
+  ('write_paper_revision', 'recent_event_scan', 0.85, 0), ('write_paper_revision', 'lexical_exact_search', 0.75, 1), ('write_paper_revision', 'decision_lookup', 0.65, 2), ('write_paper_revision', 'constraint_lookup', 0.65, 3),
+  ('summarize_project_state', 'recent_event_scan', 0.85, 0), ('summarize_project_state', 'lexical_exact_search', 0.75, 1), ('summarize_project_state', 'decision_lookup', 0.65, 2), ('summarize_project_state', 'constraint_lookup', 0.65, 3)"""
 
 
-@query(f"SELECT query_id, op, weight::DOUBLE AS weight, place::INT AS place FROM (SELECT query_id, CASE {CUES} ELSE 'general' END AS intent FROM said) JOIN (VALUES {PROGRAM}) p(intent, op, weight, place) USING (intent)", V.ASKS + ASKED)
+@query(f"SELECT query_id, op, weight::DOUBLE AS weight, place::INT AS place FROM (SELECT query_id, {INTENT} AS intent FROM said) JOIN (VALUES {PROGRAM}) p(intent, op, weight, place) USING (intent)", V.ASKS + ASKED)
 def evidence_programs(spark, d):
     return said(spark, d).select("query_id", R.intent(F.col("query")).alias("intent")).join(F.broadcast(R.programs(spark)), "intent").select("query_id", "op", "weight", "place")
 
@@ -49,13 +55,32 @@ def temporal_modes(spark, d):
     return said(spark, d).select("query_id", R.temporal_mode(F.col("query")).alias("mode"))
 
 
-@query("""SELECT session_id, array_to_string(list_filter([CASE WHEN n = 0 THEN 'no_evidence' END, CASE WHEN n > 0 AND live = 0 THEN 'nothing_eligible' END, CASE WHEN stale * 2 > n THEN 'mostly_stale' END, CASE WHEN tokens > 2000 THEN 'over_budget' END, CASE WHEN bad > 0 THEN 'has_conflicts' END], lambda x: x IS NOT NULL), ',') AS failed FROM (
-  SELECT session_id, count(*) AS n, count(*) FILTER (WHERE NOT archived AND state IN ('active', 'stable')) AS live, count(*) FILTER (WHERE t < 1710000000) AS stale, sum(length(text) // 4) AS tokens, count(*) FILTER (WHERE state = 'contradicted') AS bad FROM evidence GROUP BY 1)""", V.EVIDENCE)
-def context_audit(spark, d):
-    from ..operators.lifecycle import eligible
+PACKET = """, packet AS (SELECT session_id, ['continue_task', 'debug_regression', 'find_prior_decision', 'summarize_project_state'][(min(id) // 8 % 4 + 1)::INT] AS intent, coalesce(list(DISTINCT section) FILTER (WHERE reason IS NULL), []) AS sections, count(*) FILTER (WHERE reason IS NULL) AS n,
+  coalesce(sum(length(text) // 4) FILTER (WHERE reason IS NULL), 0) AS used, coalesce(list(DISTINCT reason) FILTER (WHERE reason IS NOT NULL), []) AS omitted
+  FROM (SELECT *, CASE kind WHEN 'instruction' THEN 'active_constraints' WHEN 'decision' THEN 'recent_decisions' ELSE kind END AS section, CASE WHEN state = 'contradicted' THEN 'contradiction_risk' WHEN state = 'deprecated' THEN 'superseded' WHEN t < 1706000000 THEN 'stale' END AS reason FROM evidence) GROUP BY 1),
+warned AS (SELECT session_id, list_filter([CASE WHEN NOT list_contains(sections, 'active_constraints') AND intent <> 'summarize_project_state' THEN 'constraint_coverage_missing' END, CASE WHEN used > 2500 THEN 'over_budget' WHEN used > 2250 THEN 'budget_pressure' END,
+  CASE WHEN list_contains(omitted, 'contradiction_risk') THEN 'contradiction_omitted' END, CASE WHEN n = 0 THEN 'empty_packet' END,
+  CASE WHEN NOT list_contains(sections, 'recent_decisions') AND intent IN ('find_prior_decision', 'debug_regression') THEN 'decision_context_missing' WHEN list_contains(omitted, 'superseded') THEN 'superseded_evidence_omitted' END,
+  CASE WHEN list_contains(omitted, 'stale') THEN 'stale_evidence_omitted' WHEN intent IN ('continue_task', 'debug_regression') AND n = 0 THEN 'fresh_context_missing' END, CASE WHEN len(sections) <= 1 AND n > 2 THEN 'low_diversity' END], lambda x: x IS NOT NULL) AS w FROM packet)"""
+
 
-    p = V.evidence(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(eligible()).alias("live"), F.count_if(F.col("t") < 1710000000).alias("stale"), F.sum(F.floor(F.length("text") / 4)).alias("tokens"), F.count_if(F.col("state") == "contradicted").alias("bad"))
-    return p.select("session_id", F.array_join(R.audit(F.col("n"), F.col("live"), F.col("stale"), F.col("tokens"), F.lit(2000), F.col("bad")), ",").alias("failed"))
+@query("""SELECT session_id, array_to_string(w, ',') AS warnings, CASE WHEN list_contains(w, 'over_budget') OR list_contains(w, 'empty_packet') THEN 'high' WHEN len(w) > 0 THEN 'medium' ELSE 'low' END AS risk,
+  concat_ws(',', CASE WHEN list_contains(w, 'constraint_coverage_missing') THEN 'constraint_lookup' END, CASE WHEN list_contains(w, 'decision_context_missing') THEN 'decision_lookup' END, CASE WHEN list_contains(w, 'fresh_context_missing') THEN 'recent_event_scan' END, CASE WHEN list_contains(w, 'low_diversity') THEN 'artifact_lookup' END) AS next FROM warned""", V.EVIDENCE + PACKET)
+def context_audit(spark, d):
+    section = F.when(F.col("kind") == "instruction", "active_constraints").when(F.col("kind") == "decision", "recent_decisions").otherwise(F.col("kind"))
+    reason = F.when(F.col("state") == "contradicted", "contradiction_risk").when(F.col("state") == "deprecated", "superseded").when(F.col("t") < 1706000000, "stale")
+    rows = V.evidence(spark, d).withColumn("section", section).withColumn("reason", reason)
+    inside = F.col("reason").isNull()
+    p = rows.groupBy("session_id").agg(
+        F.min("id").alias("first"),
+        F.collect_set(F.when(inside, F.col("section"))).alias("sections"),
+        F.count_if(inside).alias("n"),
+        F.coalesce(F.sum(F.when(inside, F.floor(F.length("text") / 4))), F.lit(0)).alias("used"),
+        F.collect_set("reason").alias("omitted"),
+    )
+    kind = V.chosen(("continue_task", "debug_regression", "find_prior_decision", "summarize_project_state"), F.floor(F.col("first") / 8) % 4)
+    p = p.withColumn("w", R.audit(kind, F.col("sections"), F.col("n"), F.col("used"), F.lit(2500), F.col("omitted")))
+    return p.select("session_id", F.array_join("w", ",").alias("warnings"), R.risk(F.col("w")).alias("risk"), F.array_join(R.followups(F.col("w")), ",").alias("next"))
 
 
 SETS = ", src AS (SELECT id, kind, summary FROM evidence), " + sql_terms("st", "src", "id", "summary", 40) + ", sets AS (SELECT id, list(term) AS ts FROM st GROUP BY 1)"
@@ -67,6 +92,6 @@ def compaction_pairs(spark, d):
     return C.near_pairs(rows, 0.8, ["kind"]).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT session_id, left(string_agg(part, chr(10) ORDER BY t, id), 1200) AS summary, any_value(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY session_id, part ORDER BY t, id) AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM (SELECT session_id, t, id, left(text, 200) AS part FROM evidence)) WHERE rn = 1 GROUP BY 1", V.EVIDENCE)
+@query("SELECT session_id, left(string_agg(part, chr(10) ORDER BY t, id), 1200) AS summary, any_value(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY session_id, part ORDER BY t, id) AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM (SELECT session_id, t, id, text AS part FROM evidence)) WHERE rn = 1 GROUP BY 1", V.EVIDENCE)
 def compacted_summaries(spark, d):
-    return C.merged_summary(V.evidence(spark, d).select("session_id", "t", "id", F.substring("text", 1, 200).alias("part")), "session_id")
+    return C.merged_summary(V.evidence(spark, d).select("session_id", "t", "id", F.col("text").alias("part")), "session_id")

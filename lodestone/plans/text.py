@@ -37,32 +37,68 @@ def semantic_fingerprints(spark, d):
     return docs(spark, d).select("id", T.fingerprint(F.col("text")).alias("digest"))
 
 
-CASES = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in T.CLASSES)
+#: documents with an ending that brings every content class and every kind of secret about
+MARKED = r"""
+marked AS (SELECT doc_id AS id, CASE doc_id % 11
+  WHEN 0 THEN '  ' WHEN 1 THEN '{"a": 1, ' || text WHEN 2 THEN text || chr(10) || '## part' WHEN 3 THEN text || ' x => y' WHEN 4 THEN '记忆检索系统的回归测试与得分' || left(text, 12)
+  WHEN 5 THEN left(text, 90) || ' with ndcg and f1' WHEN 6 THEN text || ' Authorization: Bearer ab.c-1=' WHEN 7 THEN text || ' Api_Key = k"q pwd:short' WHEN 8 THEN text || ' sk-abcdefgh12345 stdout'
+  WHEN 9 THEN text || ' -----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'MIIE' || chr(10) || '-----END RSA PRIVATE KEY----- ok' ELSE text END AS text FROM documents)"""
 
 
-@query(f"SELECT kind, count(*) AS n FROM (SELECT CASE {CASES} ELSE 'prose' END AS kind FROM documents) GROUP BY 1")
-def content_classes(spark, d):
-    return docs(spark, d).groupBy(T.content_class(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+def marked(spark, d):
+    t, i = F.col("text"), F.col("doc_id") % 11
+    endings = {2: "\n## part", 3: " x => y", 6: " Authorization: Bearer ab.c-1=", 7: ' Api_Key = k"q pwd:short', 8: " sk-abcdefgh12345 stdout", 9: " -----BEGIN RSA PRIVATE KEY-----\nMIIE\n-----END RSA PRIVATE KEY----- ok"}
+    out = F.when(i == 0, "  ").when(i == 1, F.concat(F.lit('{"a": 1, '), t)).when(i == 4, F.concat(F.lit("记忆检索系统的回归测试与得分"), F.substring(t, 1, 12))).when(i == 5, F.concat(F.substring(t, 1, 90), F.lit(" with ndcg and f1")))
+    for k, e in endings.items():
+        out = out.when(i == k, F.concat(t, F.lit(e)))
+    return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), out.otherwise(t).alias("text"))
+
 
+KIND = r"""CASE WHEN s = '' THEN 'empty' WHEN contains(lower(s), 'traceback') OR regexp_matches(lower(s), '(^|[^\p{L}\p{N}_])(error|exception|warn|stderr|stdout)($|[^\p{L}\p{N}_])') THEN 'log'
+  WHEN regexp_matches(s, '^[\{\[]') AND regexp_matches(s, '[:,"]') THEN 'json' WHEN contains(s, '```') OR regexp_matches(s, '(?m)^\s*#{1,6}\s+') OR regexp_matches(s, '(?m)^\s*[-*]\s+') THEN 'markdown'
+  WHEN regexp_matches(s, '(^|[^\p{L}\p{N}_])(def|class|import|from|const|let|function|return|async|await)($|[^\p{L}\p{N}_])') OR contains(s, '=>') THEN 'code'
+  WHEN len(regexp_extract_all(s, '[一-鿿]')) / length(s) > 0.25 THEN 'zh_text' WHEN regexp_matches(lower(s), '(^|[^\p{L}\p{N}_])(recall@|ndcg|gold_rank|candidate_recall|accuracy|f1|precision)($|[^\p{L}\p{N}_])') THEN 'metrics' ELSE 'prose' END"""
+KINDS = rf", kinds AS (SELECT id, text, {KIND} AS kind FROM (SELECT id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM marked))"
 
-RATIO = " ".join(f"WHEN '{n}' THEN {r}" for n, r in T.RATIOS.items())
+
+@query("SELECT kind, count(*) AS n FROM kinds GROUP BY 1", MARKED + KINDS)
+def content_classes(spark, d):
+    return marked(spark, d).groupBy(T.content_class(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT id, kind, ceil(n / CASE kind {RATIO} END)::BIGINT AS tokens FROM (SELECT doc_id AS id, length(text) AS n, CASE {CASES} ELSE 'prose' END AS kind FROM documents)")
+@query("SELECT id, kind, CASE kind WHEN 'empty' THEN 0 WHEN 'zh_text' THEN ceil(zh * 1.05::DOUBLE + (n - zh) / 4) ELSE greatest(1, ceil(n / CASE kind WHEN 'code' THEN 3.1 WHEN 'json' THEN 2.7 WHEN 'markdown' THEN 3.5 WHEN 'log' THEN 3.0 WHEN 'metrics' THEN 2.8 ELSE 4 END::DOUBLE)) END::BIGINT AS tokens FROM (SELECT id, kind, length(text) AS n, len(regexp_extract_all(text, '[一-鿿]')) AS zh FROM kinds)", MARKED + KINDS)
 def heuristic_tokens(spark, d):
-    rows = docs(spark, d).withColumn("kind", T.content_class(F.col("text")))
+    rows = marked(spark, d).withColumn("kind", T.content_class(F.col("text")))
     return rows.select("id", "kind", T.class_tokens(F.col("text"), F.col("kind")).alias("tokens"))
 
 
-def _redact(x: str) -> str:
-    for p, r in T.SECRETS:
-        x = f"regexp_replace({x}, '{p.replace(chr(39), chr(39) * 2)}', '{r.replace('$1', chr(92) + '1')}', 'g')"
-    return x
+@query("SELECT kind, avg(words / tokens) AS ratio FROM (SELECT kind, len(regexp_extract_all(text, '[^\\s]+')) AS words, CASE kind WHEN 'zh_text' THEN ceil(zh * 1.05::DOUBLE + (n - zh) / 4) ELSE greatest(1, ceil(n / CASE kind WHEN 'code' THEN 3.1 WHEN 'json' THEN 2.7 WHEN 'markdown' THEN 3.5 WHEN 'log' THEN 3.0 WHEN 'metrics' THEN 2.8 ELSE 4 END::DOUBLE)) END AS tokens FROM (SELECT *, length(text) AS n, len(regexp_extract_all(text, '[一-鿿]')) AS zh FROM kinds) WHERE kind <> 'empty') GROUP BY 1", MARKED + KINDS)
+def token_calibration(spark, d):
+    """Mean ratio of a reference count (here words) to the estimate, by class."""
+    rows = marked(spark, d).withColumn("kind", T.content_class(F.col("text"))).filter("kind <> 'empty'")
+    ratio = F.size(T.words(F.col("text"))) / T.class_tokens(F.col("text"), F.col("kind"))
+    return rows.groupBy("kind").agg(F.avg(ratio).alias("ratio"))
 
 
-@query(f"SELECT id, sha256(clean) AS digest, clean <> text AS changed FROM (SELECT doc_id AS id, text, {_redact('text')} AS clean FROM documents)")
+CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(authorization\s*:\s*bearer\s+)[A-Za-z0-9._\-+/=]+', '\1[REDACTED]', 'gi'),
+  '((api[_-]?key|access[_-]?token|secret[_-]?key|password|passwd|pwd)\s*[:=]\s*)[^\s"'']+', '\1[REDACTED]', 'gi'), '\bsk-[A-Za-z0-9_\-]{12,}\b', '[REDACTED]', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'gs')"""
+
+
+@query(rf"""SELECT id, sha256(clean) AS digest, clean <> text AS changed, len(regexp_extract_all(clean, '\[REDACTED\]')) AS n,
+  concat_ws(',', CASE WHEN regexp_matches(text, '(?i)authorization\s*:\s*bearer\s+[A-Za-z0-9._\-+/=]+') THEN 'bearer' END, CASE WHEN regexp_matches(text, '(?i)(api[_-]?key|access[_-]?token|secret[_-]?key|password|passwd|pwd)\s*[:=]\s*[^\s"'']+') THEN 'assignment' END,
+    CASE WHEN regexp_matches(text, '\bsk-[A-Za-z0-9_\-]{{12,}}\b') THEN 'key' END, CASE WHEN regexp_matches(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----') THEN 'private_key' END) AS kinds FROM (SELECT id, text, {CLEAN} AS clean FROM marked)""", MARKED)
 def redaction(spark, d):
-    return docs(spark, d).withColumn("clean", T.redacted(F.col("text"))).select("id", F.sha2("clean", 256).alias("digest"), (F.col("clean") != F.col("text")).alias("changed"))
+    rows = marked(spark, d).withColumn("clean", T.redacted(F.col("text")))
+    return rows.select("id", F.sha2("clean", 256).alias("digest"), (F.col("clean") != F.col("text")).alias("changed"), T.markers(F.col("clean")).cast("long").alias("n"), F.array_join(T.secret_kinds(F.col("text")), ",").alias("kinds"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[REDACTED]' ELSE k::VARCHAR END AS first, CASE WHEN event_id % 4 = 0 THEN 'my password: [REDACTED]' ELSE 'note ' || actor END AS note, (event_id % 3 = 0)::INT + (event_id % 4 = 0)::INT AS n FROM ledger", V.LEDGER)
+def payload_redaction(spark, d):
+    i = F.col("event_id")
+    name = F.when(i % 3 == 0, F.lit("Access-Token")).otherwise("k")
+    note = F.when(i % 4 == 0, F.concat(F.lit("my password: "), "actor")).otherwise(F.concat(F.lit("note "), "actor"))
+    rows = V.ledger(spark, d).select("event_id", name.alias("name"), T.redacted_fields(F.create_map(name, F.col("k").cast("string"), F.lit("note"), note)).alias("m"))
+    return rows.select("event_id", F.col("m")[F.col("name")].alias("first"), F.col("m")["note"].alias("note"), F.aggregate(F.map_values("m"), F.lit(0), lambda a, v: a + T.markers(v)).alias("n"))
 
 
 @query("""SELECT id, i::INT AS i, start, least(start + 400, n) AS stop, sha256(substr(text, start + 1, 400)) AS digest FROM (
@@ -93,11 +129,11 @@ def lexical_pairs(spark, d):
     return a.join(b, "session_id").filter("a < b").select("a", "b", F.round(T.lexical(F.col("x"), F.col("y")), 6).alias("score"))
 
 
-@query("WITH src AS (SELECT doc_id AS id, text FROM documents ), " + sql_terms("tm", "src", "id", "text", 24) + """, part AS (SELECT id, ('0x' || substr(sha256(term), 1, 8))::BIGINT % 64 AS i, CASE WHEN ('0x' || substr(sha256(term), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END AS s FROM tm),
+@query("WITH src AS (SELECT doc_id AS id, text FROM documents ), " + sql_terms("tm", "src", "id", "text", 80) + """, part AS (SELECT id, ('0x' || substr(sha256(term), 1, 8))::BIGINT % 64 AS i, CASE WHEN ('0x' || substr(sha256(term), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END AS s FROM tm),
   raw AS (SELECT id, i, sum(s)::DOUBLE AS v FROM part GROUP BY 1, 2), norm AS (SELECT id, sqrt(sum(v * v)) AS n FROM raw GROUP BY 1)
   SELECT id, i::INT AS i, round(v / n, 6) AS v FROM raw JOIN norm USING (id) WHERE v <> 0""")
 def hash_embedding(spark, d):
-    rows = docs(spark, d).select("id", F.explode(T.terms(F.col("text"), 24)).alias("term"))
+    rows = docs(spark, d).select("id", F.explode(T.terms(F.col("text"), 80)).alias("term"))
     return R.hash_embeddings(rows).withColumn("v", F.round("v", 6))
 
 

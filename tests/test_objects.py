@@ -35,9 +35,21 @@ def test_extractors(spark):
 
 
 def test_routes(spark):
-    df = spark.createDataFrame([("Why did we decide this?",), ("what crashed",), ("hello",)], "q string")
-    assert [r[0] for r in df.select(R.intent(F.col("q"))).collect()] == ["decision", "failure", "general"]
-    assert df.select(R.budgets(R.intent(F.col("q"))).alias("b")).select("b.final").first()[0] == 10
+    df = spark.createDataFrame([("Continue, please",), ("LoCoMo and a decision",), ("which Decision",), ("new draft",), ("hello",)], "q string")
+    assert [r[0] for r in df.select(R.intent(F.col("q"))).collect()] == ["continue_task", "debug_regression", "find_prior_decision", "write_paper_revision", "summarize_project_state"]
+    ops = {(r.intent, r.place): (r.op, r.weight) for r in R.programs(spark).collect()}
+    assert len(ops) == 28 and ops["debug_regression", 1] == ("metric_delta_scan", 1.0) and ops["write_paper_revision", 3] == ("constraint_lookup", 0.65)
+
+
+def test_packet_audit(spark):
+    rows = [("continue_task", [], 0, 0, ["stale"]), ("find_prior_decision", ["recent_decisions"], 3, 950, ["superseded"]), ("summarize_project_state", ["a", "b"], 3, 1001, [])]
+    df = spark.createDataFrame(rows, "kind string, s array<string>, n int, used int, o array<string>")
+    c = df.withColumn("w", R.audit(F.col("kind"), F.col("s"), F.col("n"), F.col("used"), F.lit(1000), F.col("o"))).select("w", R.risk(F.col("w")), R.followups(F.col("w"))).collect()
+    assert [tuple(r) for r in c] == [
+        (["constraint_coverage_missing", "empty_packet", "stale_evidence_omitted"], "high", ["constraint_lookup"]),
+        (["constraint_coverage_missing", "budget_pressure", "superseded_evidence_omitted", "low_diversity"], "medium", ["constraint_lookup", "artifact_lookup"]),
+        (["over_budget"], "high", []),
+    ]
 
 
 def test_near_pairs_match_all_pairs(spark):
