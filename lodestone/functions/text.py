@@ -120,22 +120,38 @@ def redacted_fields(payload: Column) -> Column:
     return F.transform_values(payload, lambda k, v: F.when(F.regexp_like(k, F.lit(SECRET_FIELD)), F.lit(MARKER)).otherwise(redacted(v)))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where use reads it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ngrams(tokens: Column, n: int = 4) -> Column:
     """Different n-grams joined by spaces; short arrays give single tokens."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.array_distinct(F.when(F.size(tokens) < n, tokens).otherwise(grams))
+
+    def grams(t: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - n + 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.array_distinct(F.when(F.size(t) < n, t).otherwise(some))
+
+    return bound(tokens, grams)
 
 
 def char_chunks(text: Column, size: int, overlap: int) -> Column:
-    """Overlapping windows as structs (start, end, text); the last one ends with the text."""
-    n, step = F.length(text), size - overlap
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - overlap - 1, F.lit(step)))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end"), F.substring(text, s + 1, F.lit(size)).alias("text")))
+    """Overlapping windows as structs (start, end, text); the last one ends with the text. The text is cut once
+    into pieces of a step, and a window joins its pieces, so that the work grows with the text's length only."""
+    step = size - overlap
+    after = -(-size // step)
+    n = F.length(text)
+
+    def windows(p: Column) -> Column:
+        many = F.when(n <= size, 1).otherwise(F.ceil((n - overlap) / step)).cast("int")
+        one = lambda i: F.substring(F.array_join(F.slice(p, i, after), ""), 1, size)
+        return F.transform(F.sequence(F.lit(1), many), lambda i: F.struct(((i - 1) * step).alias("start"), F.least((i - 1) * step + size, n).alias("end"), one(i).alias("text")))
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), 0), windows)
 
 
 def line_chunks(text: Column, per: int) -> Column:
-    lines = F.split(text, "\n")
-    return F.transform(F.sequence(F.lit(1), F.size(lines), F.lit(per)), lambda s: F.array_join(F.slice(lines, s, per), "\n"))
+    return bound(F.split(text, "\n"), lambda lines: F.transform(F.sequence(F.lit(1), F.size(lines), F.lit(per)), lambda s: F.array_join(F.slice(lines, s, per), "\n")))
 
 
 def compress(text: Column, ratio: float = 0.35, least: int = 120) -> Column:

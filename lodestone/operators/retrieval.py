@@ -141,3 +141,22 @@ def vector_top(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -
     if out is None:
         out = spark.createDataFrame([], "query_id long, id long, score double")
     return ranked(out, k, 9)
+
+
+def bag_cosines(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """(a, b, cosine) of pairs of ids by how often each item stands in them; items: rows (id, item), repeated ones count.
+    Pairs without a common item have no row."""
+    n = items.groupBy("id", "item").agg(F.count("*").alias("n"))
+    norm = n.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    left = pairs.join(n.select(F.col("id").alias("a"), "item", F.col("n").alias("x")), "a")
+    dot = left.join(n.select(F.col("id").alias("b"), "item", F.col("n").alias("y")), ["b", "item"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    both = dot.join(norm.select(F.col("id").alias("a"), F.col("norm").alias("na")), "a").join(norm.select(F.col("id").alias("b"), F.col("norm").alias("nb")), "b")
+    return both.select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
+
+
+def embed_distinct(docs: DataFrame, id_col: str = "id", text_col: str = "text", dims: int = 64, cap: int = 80) -> DataFrame:
+    """(id, digest, i, v): hash embeddings, made once for each different text and joined back to its rows."""
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("digest"), F.col(text_col).alias("text"))
+    once = rows.groupBy("digest").agg(F.min("text").alias("text"))
+    vectors = hash_embeddings(once.select(F.col("digest").alias("id"), F.explode(terms(F.col("text"), cap)).alias("term")), dims).withColumnRenamed("id", "digest")
+    return rows.select("id", "digest").join(vectors, "digest")

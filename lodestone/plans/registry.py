@@ -33,5 +33,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rrf_retrieval"](spark, sf_dir)
 
 
-for _name in ("lifecycle", "ledger", "retrieval", "tokens", "quality", "graph", "text", "select", "objects", "merge", "reports", "streams"):
+for _name in ("lifecycle", "ledger", "retrieval", "channels", "surface", "tokens", "quality", "graph", "text", "select", "objects", "merge", "reports", "streams"):
     importlib.import_module(f"lodestone.plans.{_name}")

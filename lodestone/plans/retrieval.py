@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import channels as C
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import lifecycle as L
@@ -196,22 +195,3 @@ def term_priorities(spark, d):
 @query("SELECT query_id, id, CASE WHEN s >= 0.75 THEN 1.0 WHEN s >= 0.5 THEN 0.8 WHEN s >= 0.3 THEN 0.55 WHEN rank <= 20 THEN 0.35 ELSE 0.18 END AS gate FROM (SELECT *, score / 12 AS s FROM proxy)", V.EVIDENCE, V.ASKS + POST)
 def channel_gates(spark, d):
     return channels(spark, d)["proxy"].select("query_id", "id", S.channel_gate(False, F.col("score") / 12, F.col("rank")).alias("gate"))
-
-
-def _made(c: str, i: int) -> str:
-    return f"CASE WHEN (id + query_id) % {i + 3} = 0 THEN 0 ELSE (id * {i + 7} + query_id) % 101 / 101.0::DOUBLE END AS {c}"
-
-
-_SUM = lambda w: " + ".join(f"{c} * {x}::DOUBLE" for c, x in w.items())
-CAND = ", cand AS (SELECT query_id, id, " + ", ".join(_made(c, i) for i, c in enumerate(C.CHANNELS)) + " FROM lex)"
-CAND += ", sup AS (SELECT *, " + " + ".join(f"(CASE WHEN {c} > 0 THEN 1 ELSE 0 END)" for c in C.CHANNELS) + " AS support, greatest(dense, 0.82::DOUBLE * exact) AS semantic FROM cand)"
-CAND += f", wide AS (SELECT *, {_SUM(C.TASK['traces'])} AS task, semantic + {_SUM(C.BROAD['traces'])} + least(0.12, greatest(0, support - 1) * 0.02) AS broad_score FROM sup)"
-
-
-@query(f"SELECT query_id, id, support::INT AS support, round(task, 6) AS task, round(broad_score, 6) AS broad, round({_SUM(C.RERANK['traces'])} + least(0.08, greatest(0, support - 1) * 0.012), 6) AS rerank FROM (SELECT *, least(1, broad_score) AS broad FROM wide)", V.EVIDENCE, V.ASKS + POST + RANKED + CAND)
-def channel_rerank(spark, d):
-    rows = lexical_rows(spark, d)
-    i, q = F.col("id"), F.col("query_id")
-    cand = rows.select("query_id", "id", *(F.when((i + q) % (n + 3) == 0, 0.0).otherwise((i * (n + 7) + q) % 101 / 101.0).alias(c) for n, c in enumerate(C.CHANNELS)))
-    out = C.rerank(cand, "traces")
-    return out.select("query_id", "id", C.support().alias("support"), F.round("task", 6).alias("task"), F.round("broad_score", 6).alias("broad"), F.round("rerank", 6).alias("rerank"))
