@@ -37,6 +37,22 @@ def salts(spark: SparkSession) -> int:
     return max(32, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], most_hot: int = 100_000, least: int = 1000) -> DataFrame:
+    """Inner join of rows with a table that has one row a key and counts the key's rows in n (dropped).
+
+    Keys with many rows would fill one task each, so they are broadcast: those with more rows than one in
+    ``most_hot`` of all (and more than ``least``), of which there can be no more than ``most_hot``. The other
+    rows are joined by shuffle. Both sides should be written tables, as they are read twice.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    limit = max(least, total // most_hot)
+    hot, cold = table.filter(F.col("n") > limit).drop("n"), table.filter(F.col("n") <= limit).drop("n")
+    if hot.isEmpty():
+        return rows.join(cold, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send whole texts to Python in batches of at most so many rows: with long texts the default of
     10,000 takes hundreds of megabytes a task. A setting of the session; a lower one stays."""

@@ -8,7 +8,8 @@ the smallest hash. Equal windows select equal n-grams at equal offsets, so windo
 can only repeat among occurrences of one anchor. Extend: an occurrence carries a
 hash of the widest stretch covered by the windows that selected it, both ways
 around the anchor. Occurrences with equal stretches repeat in full; of each such
-class all but the first are struck at once. Where one anchor has several classes,
+class all but the first are struck at once (those that repeat inside one document
+where it is read, so that a document made of one phrase takes one row). Where one anchor has several classes,
 the first of each is extended window by window and compared across classes. So no
 pairs are formed, a group of n copies costs n rows, and every window's first
 occurrence is found exactly.
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, keyed, real_id
-from ._text import NOT_BLANK, Words, pieces
+from ._spark import cut, hot_join, keyed, real_id
+from ._text import NOT_BLANK, Words, mix, pieces
 
 #: spans are packed as start * SPAN + (number of windows - 1)
 SPAN = 64
@@ -59,7 +60,15 @@ def _anchors(n: int, k: int):
                 first, last, anchor = at[new], at[np.r_[new[1:], len(at)] - 1], best[new]
                 doc = words.doc[first]
                 around = roll.span(first, last + n) + (anchor - first).astype(np.uint64)
-                yield _longs(anchor=grams[anchor], around=around, doc_id=ids[lo:hi][doc], span=(first - words.before[doc]) * SPAN + last - first)
+                name, span = grams[anchor], (first - words.before[doc]) * SPAN + last - first
+                # repeats of a stretch inside its document are struck in any case: they need no partner, so
+                # their span is stored below zero, under a name of their own that spreads them over the tasks
+                order = np.lexsort((span, around, name, doc))
+                same = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (name[order][1:] == name[order][:-1]) & (around[order][1:] == around[order][:-1])]
+                own = np.zeros(len(doc), dtype=bool)
+                own[order] = same
+                name = np.where(own, mix(span.astype(np.uint64) + (doc.astype(np.uint64) << np.uint64(40)), 9), name)
+                yield _longs(anchor=name, around=around, doc_id=ids[lo:hi][doc], span=np.where(own, -1 - span, span))
 
     return run
 
@@ -125,17 +134,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("anchor_words must lie between 1 and min_words, less than 64 below it")
     d = keyed(docs, id_col, text_col)
     seeds = d.mapInArrow(_anchors(min_words, anchor_words), "anchor long, around long, doc_id long, span long")
-    again = cut(seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("several")))
-    seeds = cut(seeds.join(again, "anchor"))
+    again = seeds.filter("span >= 0").groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).filter("n > 1")
+    again = cut(again.select("anchor", (F.col("lo") != F.col("hi")).alias("several")))
+    seeds = cut(seeds.join(again, "anchor", "left").filter("several is not null or span < 0"))
     place = F.struct("doc_id", "span")
-    firsts = seeds.groupBy("anchor", "around").agg(F.min(place).alias("first"))
-    seeds = seeds.join(firsts, ["anchor", "around"])
-    whole = seeds.filter(place != F.col("first")).select("doc_id", "span")
+    inside = seeds.filter("span < 0").select("doc_id", (-1 - F.col("span")).alias("span"))
+    seeds = seeds.filter("span >= 0")
+    firsts = cut(seeds.groupBy("anchor", "around").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    seeds = cut(hot_join(seeds, firsts, ["anchor", "around"]).select("doc_id", "span", "several", (place == F.col("first")).alias("is_first")))
+    whole = seeds.filter("not is_first").select("doc_id", "span").unionByName(inside)
     texts = d.repartition("doc_id")
-    todo = seeds.filter((place == F.col("first")) & F.col("several")).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    windows = texts.join(todo, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(min_words), "a long, b long, doc_id long, span long")
-    first_window = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    single = windows.join(first_window, ["a", "b"]).filter(place != F.col("first")).select("doc_id", "span")
+    todo = seeds.filter("is_first and several").groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    windows = cut(texts.join(todo, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(min_words), "a long, b long, doc_id long, span long"))
+    first_window = cut(windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    single = hot_join(windows, first_window, ["a", "b"]).filter(place != F.col("first")).select("doc_id", "span")
     marks = whole.unionByName(single).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
     out = texts.join(marks, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_strike(min_words), "doc_id long, n_words long, n_removed long, text string")
     return out.withColumn("doc_id", real_id())

@@ -11,7 +11,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm._spark import NO_ID
+from lodestone.llm._spark import NO_ID, hot_join
 from lodestone.llm.ann import hadamard, nearest
 from lodestone.llm.bpe import decode, encode, round_trip
 from lodestone.llm.chat_format import Template, format_chats, read_back
@@ -114,10 +114,43 @@ def test_line_dedup(spark):
     assert got[90].text is None and got[90].n_lines == 0 and got[91].text == "" and got[91].n_lines == 1
 
 
-def test_line_dedup_leaves_copies_whole(spark):
+def test_line_dedup_strikes_every_text_alike(spark):
     rows = [(i, f"Menu | Home\nthis is the own text of {i}, long enough", f"s{i}") for i in range(6)] + [(10 + i, "Menu | Home\nMenu | Home", f"s{i}") for i in range(6)]
-    got = by_id(line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_share=0.5))
-    assert got[3].n_removed == 1 and got[3].text.startswith("this is") and got[11].n_removed == 0 and got[11].text == "Menu | Home\nMenu | Home"
+    got = by_id(line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert got[3].n_removed == 1 and got[3].text.startswith("this is") and got[11].n_removed == 2 and got[11].text == ""
+
+
+def test_line_dedup_of_repeated_ids_and_a_very_long_text(spark):
+    long = "\n".join(f"line {i}" if i % 3 else "Menu | Home" for i in range(200_000))
+    rows = [(1, long, "s0"), (7, "x\nMenu | Home\ny", "s1"), (7, "Menu | Home", "s2"), (8, "Menu | Home\nz", "s3"), (9, "Menu | Home", "s4")]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("site", F.lit("clash"))).collect()
+    by = {(r.doc_id, r.n_lines): (r.n_removed, r.text) for r in got}
+    assert by[1, 200_000][0] == 66_666 and by[1, 200_000][1].startswith("Menu | Home\nline 1\nline 2\nline 4")
+    # what is struck from one row of an id, by place, is struck from all its rows
+    assert by[7, 3] == (2, "y") and by[7, 1] == (1, "") and by[8, 2] == (1, "z") and by[9, 1] == (1, "")
+
+
+def test_hot_join_is_an_inner_join(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (3, 1), (3, 2)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo")).filter("k <> 2")
+    got = sorted(tuple(r) for r in hot_join(rows, table, ["k"], least=5).collect())
+    assert got == sorted([(1, i, 0) for i in range(50)] + [(3, 1, 1), (3, 2, 1)])
+
+
+def test_substring_dedup_of_texts_of_one_phrase(spark):
+    """A phrase repeated over and over has one anchor: it takes one row a document, and the result is that of brute force."""
+    said = [(i, "spam ham " * (30 + i)) for i in range(4)] + [(9, "so it begins " + "spam ham " * 12 + "and ends")]
+    got = by_id(substring_dedup(spark.createDataFrame(said, "doc_id long, text string")))
+    seen, want = set(), {}
+    for i, t in said:
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(tuple(w[k : k + 20]))
+        want[i] = [x for k, x in enumerate(w) if k not in gone]
+    assert {i: got[i].text for i in want} == {i: " ".join(x) for i, x in want.items()}
 
 
 def test_chat_format(spark):
