@@ -71,8 +71,9 @@ def entity_score() -> Column:
     return F.when(F.col("k_ent") == 0, plain).when(F.col("n_ent") == 0, 0.0).when(weak, named * 0.72).otherwise(named)
 
 
-def temporal_score(sequence: Column, anchor: Column = F.lit(0.0)) -> Column:
+def temporal_score(sequence: Column, anchor: Column | float = 0.0) -> Column:
     """sequence: the record's place in time, 0 to 1, in the direction that the query asks for."""
+    anchor = F.lit(anchor) if isinstance(anchor, float) else anchor
     return F.when(F.col("k_time") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.col("time_share"), anchor * 0.24, sequence * 0.2)))
 
 
