@@ -70,6 +70,11 @@ def keyed_columns(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows of each key the text with the smallest hash, so that repeated ids can't outgrow a bound on rows."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(*keys, "t.text")
+
+
 def real_id(c: Column | None = None) -> Column:
     c = F.col("doc_id") if c is None else c
     return F.when(c != NO_ID, c).alias("doc_id")

@@ -2,8 +2,9 @@
 
 Tokens are word shapes (case, length class, the last three characters, whether the
 word repeats the one before), so that the model learns how a text is written, in any
-language. Indicators of token n-grams (1 to 3) are hashed, scaled by the log ratio of
-their counts in the two classes, and weighted by dual coordinate descent.
+language, and the words themselves. Indicators of n-grams (1 to 3 shapes, 1 and 2 words) are
+hashed, scaled by the log ratio of their counts in the two classes, and weighted by dual
+coordinate descent.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bucket_of, keyed
+from ._spark import bucket_of, keyed, one_text
 from ._text import NOT_BLANK, Rolling, Words, mix, pieces
 
 BITS = 18
@@ -43,6 +44,10 @@ def shape_features(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.
     for k in (1, 2, 3):
         i = np.flatnonzero(words.doc[: n - k + 1] == words.doc[k - 1 :])
         found.append(words.doc[i] << BITS | (roll.span(i, i + k) >> u(64 - BITS)).astype(np.int64))
+    said = words.rolling()
+    for k in (1, 2):
+        i = np.flatnonzero(words.doc[: n - k + 1] == words.doc[k - 1 :])
+        found.append(words.doc[i] << BITS | (mix(said.span(i, i + k), 22) >> u(64 - BITS)).astype(np.int64))
     both = np.unique(np.concatenate(found))
     return both >> BITS, both & ((1 << BITS) - 1)
 
@@ -110,11 +115,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, held: int = 0, max_rows: int = 6000, cost: float = 1.0, epochs: int = 12) -> NbSvm:
     """Fit on at most max_rows labelled rows (those of the smallest id hash) outside the held-out fold
-    (crc32 of the id as text, modulo folds). Rows with null id, label or text teach nothing; with
-    one class only, or no rows, all texts score the share of class 1 (0.5 without rows)."""
+    (crc32 of the id as text, modulo folds). Rows with null id, label or text teach nothing; of rows that
+    repeat an id and a label one text (of the smallest hash) is learnt. A text of any length gives
+    2^18 different n-grams at most. With one class only, or no rows, all texts score the share of
+    class 1 (0.5 without rows). Other columns are ignored, whatever their names."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(bucket_of(F.col("doc_id"), folds) != held)
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    texts = keyed(docs).filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    texts = one_text(keyed(docs).filter("text is not null").join(F.broadcast(chosen), "doc_id"), "doc_id", "label").select("doc_id", "text", "label")
     rows = sorted(texts.mapInArrow(_features, "doc_id long, label int, f binary").collect(), key=lambda r: (r.doc_id, r.label, r.f))
     x, y = [np.frombuffer(r.f, "<i4") for r in rows], np.array([2 * r.label - 1 for r in rows], dtype=float)
     if len(set(y)) < 2:
