@@ -2,8 +2,8 @@
 
 Folding lower-cases, maps look-alike letters and digit substitutions to plain letters,
 and turns other ASCII marks into spaces. The lexicon holds word beginnings that stand
-out in the toxic rows of a labelled sample, weighted by their log odds. A match inside an
-exception phrase doesn't count. The weights' sum and its ratio to the length make the score.
+out in the toxic rows of a labelled sample (and whole words of under four letters), weighted by their
+log odds. A match inside an exception phrase doesn't count. The weights' sum and its ratio to the length make the score.
 """
 
 from __future__ import annotations
@@ -17,18 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bucket_of, keyed
+from ._spark import bucket_of, cut, keyed, one_text
 from .quality import _logistic
 
 # Look-alike letters (Cyrillic, Greek) and the digits and signs that stand for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕкмтвнԁԛԝɡοανερτυικ", "aeopcyxijskmtbhdqwgoaveptuik"))
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-#: Phrases in which a word of the lexicon is harmless
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "pond scum", "idiot proof", "sore loser rule")
+#: Phrases, in whole words, in which a word of the lexicon is harmless
+EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bins", "trash bag", "trash bags", "clown fish", "clownfish", "pond scum", "idiot proof", "sore loser rule")
 
 _FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(k): v for k, v in SUBSTITUTES.items()}
 _FOLD |= {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) not in SUBSTITUTES}
 _FOLD |= {0xFF01 + i: chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalpha()}
+_FOLD |= {0x27: "", 0x2019: ""}  # an apostrophe ends no word
 _FOLD |= {0x200B: "", 0x200C: "", 0x200D: "", 0xAD: "", 0x2060: ""}
 
 
@@ -50,8 +51,9 @@ class Lexicon:
         for term, weight in self.weights.items():
             auto.add_word(" " + term, (len(term) + 1, weight))
         for phrase in self.exceptions:
-            # the phrase may also be a term; its weight then goes
-            auto.add_word(" " + " ".join(phrase.split()), (len(phrase) + 1, None))
+            # whole words only: "trash can" is none in "trash cannot"
+            said = fold(" ".join(phrase.split()))
+            auto.add_word(said, (len(said), None))
         if len(auto):
             auto.make_automaton()
         return auto
@@ -65,7 +67,7 @@ class Lexicon:
         for end, (size, weight) in auto.iter(folded):
             start = end - size + 1
             if weight is None:
-                free.append((start, end))
+                free.append((start, end - 1))
             else:
                 best[start] = weight  # later matches from the same start are longer
         for a, b in free:
@@ -89,7 +91,7 @@ def _terms(longest: int):
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = set()
                 for w in set(fold(text).split()):
-                    own.update(w[:k] for k in range(4, min(len(w), longest) + 1))
+                    own.update([w + " "] if len(w) < 4 else (w[:k] for k in range(4, min(len(w), longest) + 1)))
                 counts[label].update(own)
         names = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in counts)], names=["term", "clean", "toxic"])
@@ -120,19 +122,20 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return own.mapInArrow(_measures(docs.sparkSession.sparkContext.broadcast(lexicon)), _MEASURES)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, held: int = 0, max_rows: int = 12000, longest: int = 12, min_toxic: int = 5, min_gain: float = 30.0, max_terms: int = 2000) -> Lexicon:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, held: int = 0, max_rows: int = 12000, longest: int = 12, min_toxic: int = 5, min_gain: float = 30.0, max_terms: int = 2000, exceptions: tuple = EXCEPTIONS) -> Lexicon:
     """Learn from at most max_rows labelled rows (those of the smallest id hash) outside the held-out
     fold: word beginnings of 4 to ``longest`` letters that at least min_toxic toxic rows hold and whose
-    log-likelihood ratio is min_gain or more (the max_terms best). Without labelled rows of
+    log-likelihood ratio is min_gain or more (the max_terms best); shorter words only whole. Of rows that
+    repeat an id and a label one text (of the smallest hash) is learnt. Without labelled rows of
     both kinds the lexicon is empty and all texts score the share of toxic rows (0.5 without rows)."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(bucket_of(F.col("doc_id"), folds) != held)
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows).cache()
-    texts = keyed(docs).filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    texts = cut(one_text(keyed(docs).filter("text is not null").join(F.broadcast(chosen), "doc_id"), "doc_id", "label").select("doc_id", "text", "label"))
     n = {r.label: r.c for r in texts.groupBy("label").agg(F.count("*").alias("c")).collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:
         share = 0.01 if clean else 0.99 if toxic else 0.5
-        return Lexicon({}, model=np.array([np.log(share / (1 - share)), 0, 0, 0]))
+        return Lexicon({}, exceptions, model=np.array([np.log(share / (1 - share)), 0, 0, 0]))
     a, b = F.col("toxic"), F.col("clean")
     all_rows = float(clean + toxic)
     expect = lambda part: (a + b) * F.lit(part / all_rows)
@@ -147,9 +150,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", f
         above = max((best[r.term[:k]] for k in range(4, len(r.term)) if r.term[:k] in best), default=None)
         if above is None or r.odds > above + 0.7:
             best[r.term] = r.odds
-    lexicon = Lexicon(best)
-    rows = score_toxicity(texts.select("doc_id", "text"), lexicon).join(F.broadcast(chosen), "doc_id").select("weight", "hits", "words", "label").collect()
-    chosen.unpersist()
+    lexicon = Lexicon(best, exceptions)
+    rows = score_toxicity(texts.select("doc_id", "text"), lexicon).join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "weight", "hits", "words", "label").distinct().collect()
     x = _inputs(np.array([[r.weight, r.hits, r.words] for r in rows], dtype=float))
     lexicon.model = _logistic(x, np.array([r.label for r in rows], dtype=float), ridge=0.1)
     return lexicon
