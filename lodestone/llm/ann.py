@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: a bucket's rows are dealt to as many tasks as keep it under about this size, were it to hold all rows
+#: a bucket with more rows than this is dealt to several tasks
 BLOCK = 65536
 
 
@@ -57,24 +57,34 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
 
 
-def _index(tables: int, salts: int, top: float, extra: bool):
+def _salt(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return ((ids * 0x9E3779B1 >> 16) % parts).astype(np.int32)
+
+
+def _index(tables: int, parts, top: float, extra: bool):
+    """Table, bucket, salt, id, vector of each vector; parts: into how many tasks each bucket is dealt (None: not yet known)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unit(_vectors(batch.column(1)), top, extra, False)
             ids = batch.column(0).to_numpy()
-            salt = (ids * 0x9E3779B1 >> 16) % salts
             for t in range(tables):
                 y = rotated(x, t)
                 axis = np.abs(y).argmax(axis=1)
                 bucket = 2 * axis + (y[np.arange(len(y)), axis] < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(bucket), pa.array(salt.astype(np.int32)), *batch.columns], names=["t", "bucket", "salt", "vec_id", "v"])
+                if parts is None:
+                    size = np.bincount(bucket)
+                    some = np.flatnonzero(size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t, np.int32)), pa.array(some), pa.array(size[some])], names=["t", "bucket", "n"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(bucket), pa.array(_salt(ids, parts[t][bucket])), *batch.columns], names=["t", "bucket", "salt", "vec_id", "v"])
 
     return run
 
 
-def _probe(tables: int, probes: int, salts: int, top: float, extra: bool):
+def _probe(tables: int, probes: int, parts, top: float, extra: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -85,9 +95,11 @@ def _probe(tables: int, probes: int, salts: int, top: float, extra: bool):
                     y = rotated(x, t)
                     axes = np.stack([y, -y], axis=2).reshape(n, -1)  # 2 * axis + sign
                     bucket = np.argsort(-axes, axis=1, kind="stable")[:, :probes]
-                    p = bucket.shape[1]
-                    for s in range(salts):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n * p, t, np.int32)), pa.array(bucket.ravel()), pa.array(np.full(n * p, s, np.int32)), *(c.take(pa.array(np.repeat(np.arange(n), p))) for c in rows.columns)], names=["t", "bucket", "salt", "vec_id", "v"])
+                    who = np.repeat(np.arange(n), bucket.shape[1])
+                    many = parts[t][bucket.ravel()]  # a probe goes to every part of its bucket; empty buckets have none
+                    who, found = np.repeat(who, many), np.repeat(bucket.ravel(), many)
+                    salt = np.arange(len(found)) - np.repeat(np.cumsum(many) - many, many)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), t, np.int32)), pa.array(found), pa.array(salt.astype(np.int32)), *(c.take(pa.array(who)) for c in rows.columns)], names=["t", "bucket", "salt", "vec_id", "v"])
 
     return run
 
@@ -119,14 +131,14 @@ def _rank(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 6, probes: int = 20, small: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 6, probes: int = 24) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row the k vectors found with the largest
     inner product (double precision), the query's own id left out; ties go to the smaller id.
 
     Vectors that are null, all zero, hold null or non-finite components, have a null id or another
-    length than the longest take no part. Repeated ids are ranked as often as they stand. Of up to
-    ``small`` vectors all buckets are probed, so the result is exact there. Other columns are
-    ignored. An empty table gives an empty table.
+    length than most of the vectors (ties: the longer) take no part. Rows that repeat an id count as
+    one by their best score. ``probes`` buckets of 2 * width are searched in each table, alike at every
+    size. Other columns are ignored. An empty table gives an empty table.
     """
 
     def sound(df: DataFrame) -> DataFrame:
@@ -136,23 +148,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     rows, asks = sound(vectors), sound(queries)
     norm = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
-    wide = rows.agg(F.max(F.size("v"))).first()[0]
+    sizes = rows.groupBy(F.size("v").alias("wide")).agg(F.count("*").alias("n"), F.min(norm).alias("lo"), F.max(norm).alias("top"))
+    main = sizes.orderBy(F.desc("n"), F.desc("wide")).first()
     empty = "query_id long, found array<struct<low: double, vec_id: long>>"
-    if wide is None:
+    if main is None:
         found = rows.sparkSession.createDataFrame([], empty)
     else:
-        rows, asks = rows.filter(F.size("v") == wide), asks.filter(F.size("v") == wide)
-        n, lo, top = rows.agg(F.count("*"), F.min(norm), F.max(norm)).first()
-        extra = top > lo * (1 + 1e-5)
-        axes = 2 << max(wide + extra - 1, 1).bit_length()
-        salts = max(1, -(-n // BLOCK))
-        probes = axes if n <= small else min(probes, axes)
-        kind = rows.schema["v"].dataType.simpleString()
-        schema = f"t int, bucket long, salt int, vec_id long, v {kind}"
-        index = rows.mapInArrow(_index(tables if n > small else 1, salts, top, extra), schema)
-        probe = asks.mapInArrow(_probe(tables if n > small else 1, probes, salts, top, extra), schema)
+        rows, asks = rows.filter(F.size("v") == main.wide), asks.filter(F.size("v") == main.wide)
+        extra = main.top > main.lo * (1 + 1e-5)
+        axes = 2 << max(main.wide + extra - 1, 1).bit_length()
+        # buckets and tables are few, whatever the number of vectors
+        filled = rows.mapInArrow(_index(tables, None, main.top, extra), "t int, bucket long, n long").groupBy("t", "bucket").agg(F.sum("n").alias("n")).collect()
+        parts = np.zeros((tables, axes), dtype=np.int64)
+        for r in filled:
+            parts[r.t, r.bucket] = -(-r.n // BLOCK)
+        schema = f"t int, bucket long, salt int, vec_id long, v {rows.schema['v'].dataType.simpleString()}"
+        index = rows.mapInArrow(_index(tables, parts, main.top, extra), schema)
+        probe = asks.mapInArrow(_probe(tables, min(probes, axes), parts, main.top, extra), schema)
         keys = ["t", "bucket", "salt"]
         found = index.groupBy(*keys).cogroup(probe.groupBy(*keys)).applyInPandas(_rank(k), empty)
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
-    out = best.select("query_id", F.posexplode("found").alias("p", "f"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.low")).alias("score"))
+    # a vector may be found in several tables; rank cuts a query's rows before they are shuffled
+    once = found.select("query_id", F.explode("found").alias("f")).groupBy("query_id", "f.vec_id").agg(F.min("f.low").alias("low"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("low", "vec_id"))
+    return once.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", (-F.col("low")).alias("score"))
