@@ -8,57 +8,60 @@ from pyspark.sql import functions as F
 from lodestone.llm._spark import cut, small_batches
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.decontaminate import decontaminate
-from lodestone.llm.jaccard_join import jaccard_join
+from lodestone.llm.jaccard_join import components, jaccard_join
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.quality import fit_quality, score_quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """With a number of its own for each row (ids may be null or repeat), written once so that it stays."""
-    return docs if "row" in docs.columns else cut(docs.withColumn("row", F.monotonically_increasing_id()))
-
-
-def firsts(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id (ties: the smaller row) of each group of linked documents."""
-    found = jaccard_join(docs, id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), "component_id")
-    return cut(docs.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects (score under 0.3) go."""
+    """Documents that the quality classifier rejects (score under 0.3) go. A null or empty text scores by the
+    model's bias; rows that repeat an id are judged each; an empty table stays empty; other columns are dropped."""
     small_batches(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, held=0)
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    return score_quality(rows, model, keep=(*COLUMNS, "row")).filter("score >= 0.3").select(*COLUMNS, "row")
+    return score_quality(docs, model, keep=COLUMNS).filter("score >= 0.3").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of lines that stand on five sites or more go; all documents stay. What is a near copy of
-    another document (copy) is found before that, as afterwards only the first one may have its lines left."""
-    docs = numbered(docs)
-    first = firsts(docs).withColumn("copy", F.lit(False))
-    out = line_dedup(docs, min_sites=5, keep=("lang", "source", "row")).join(first, "row", "left")
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "row", F.coalesce("copy", F.lit(True)).alias("copy"))
+    """Later copies of lines that stand on five sites or more go, from every text; all documents stay, with n_chars
+    of what is left (null for a null text). Rows that repeat an id count as one document, those without an id too."""
+    out = line_dedup(docs, min_sites=5, keep=("lang", "source"))
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, be they linked by what
-    their texts are or by what they were before the lines went."""
-    docs = numbered(docs)
-    out = docs.join(firsts(docs), "row", "left_semi")
-    return (out.filter("not copy") if "copy" in docs.columns else out).select(*COLUMNS)
+    """Of each group of linked documents the one with the smallest doc_id stays (null is the smallest; ties: any one row).
+
+    Documents link by their texts, and by what they were in the documents table, before lines went: copies of a
+    document lose all lines but the first one's, so what is left of them no longer shows what they were. Rows
+    without words link with nothing by that text. Rows with a null or repeated id go by their own text alone.
+    """
+    docs = cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("was"))
+    once = ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("was")).alias("n_was")).filter("n = 1 and doc_id is not null")
+    alone = docs.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m = 1 and doc_id is not null")
+    changed = docs.join(alone, "doc_id").join(once, "doc_id").filter("coalesce(n_chars, -1) <> coalesce(n_was, -1)").select("doc_id", "row")
+    before = ids.join(changed, "doc_id").select((-1 - F.col("row")).alias("row"), F.col("was").alias("text"))
+    found = cut(jaccard_join(docs.select("row", "text").unionByName(before), id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))
+    # a document's two texts may stand in two groups, which then are one
+    own, was = found.filter("row >= 0"), found.filter("row < 0").select((-1 - F.col("row")).alias("row"), F.col("group").alias("v"))
+    joined = components(own.join(was, "row").select(F.col("group").alias("u"), "v")).select(F.col("v").alias("group"), "comp")
+    group = own.join(joined, "group", "left").select("row", F.coalesce("comp", "group").alias("group"))
+    first = docs.select("row", "doc_id").join(group, "row").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    return docs.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go, each by its own text."""
+    """Documents contaminated by benchmark items go, each row by its own text; a null or empty text has no words and stays.
+    Without benchmark items all stay."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, share=0.05, keep=COLUMNS[1:])
     return found.filter("not contaminated").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the bytes that the ids decode to)."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the bytes that the ids decode to),
+    a row per row; a null text is encoded as an empty one."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,7 +77,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: SQL can't express the classifier and the tokenizer; tests compare the stages with plain versions.
+#: SQL can't express the classifier and the tokenizer; tests/llm/test_pipeline.py compares the stages with plain versions.
 ORACLE_SQL = None
 
 
