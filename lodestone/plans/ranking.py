@@ -174,7 +174,7 @@ def temporal_prefilter(spark, d):
     return K.temporal_prefilter(chunk_rows(spark, d).select("query_id", "id", "rank", match.alias("match")), 20).select("query_id", "id", F.col("place").cast("int").alias("place"))
 
 
-@query("SELECT query_id, id, spot::INT AS place FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS spot FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY rank) AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id, md5(text) ORDER BY rank) AS k FROM ckr) WHERE k = 1) WHERE c = 1) WHERE spot <= 15", V.EVIDENCE, CHUNKED)
+@query("SELECT query_id, id, spot::INT AS place FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS spot FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY rank) AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id, md5(text) ORDER BY rank) AS copy FROM ckr) WHERE copy = 1) WHERE c = 1) WHERE spot <= 15", V.EVIDENCE, CHUNKED)
 def compressed_pool(spark, d):
     rows = chunk_rows(spark, d).select("query_id", "id", "rank", "parent", F.md5("text").alias("digest"))
     return K.compressed_pool(rows, "digest", "parent", 15).select("query_id", "id", "place")
