@@ -42,6 +42,7 @@ class Vocabulary:
             self.auto.add_word(t, (len(t), r))
         self.auto.make_automaton()
         self.parts: dict[int, tuple[int, int]] = {}
+        self.prefix: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -90,33 +91,35 @@ class Vocabulary:
                 before = a
                 a = self.halves(a)[1]
 
+    def shorter(self, r: int) -> int:
+        """The longest token that a token begins with, itself left out; -1 if there is none."""
+        if (known := self.prefix.get(r)) is None:
+            t = self.token[r]
+            known = self.prefix[r] = next((self.rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.rank), -1)
+        return known
+
     def cut(self, piece: str) -> list[int]:
         """The tokens of one piece, given as Latin-1 characters."""
         if (whole := self.rank.get(piece)) is not None:
             return [whole]
         n = len(piece)
-        starts: list[list[int]] = [[] for _ in range(n)]  # tokens by start, the longest last
+        longest = [-1] * n  # by start; shorter ones follow from it when they are needed
         for end, (size, r) in self.auto.iter(piece):
-            starts[end - size + 1].append(r)
+            longest[end - size + 1] = r
         token, out, pos, dead = self.token, [], 0, bytearray(n + 1)
-        choice = [len(x) - 1 for x in starts]
+        r = longest[0]
         while pos < n:
-            i, own = choice[pos], starts[pos]
-            while i >= 0:
-                r = own[i]
-                if not dead[pos + len(token[r])] and (not out or self.may_follow(out[-1], r)):
-                    break
-                i -= 1
-            if i >= 0:
-                choice[pos] = i
+            while r >= 0 and (dead[pos + len(token[r])] or (out and not self.may_follow(out[-1], r))):
+                r = self.shorter(r)
+            if r >= 0:
                 out.append(r)
                 pos += len(token[r])
-                if pos < n:
-                    choice[pos] = len(starts[pos]) - 1
+                r = longest[pos] if pos < n else -1
             else:
                 dead[pos] = 1
-                pos -= len(token[out.pop()])
-                choice[pos] -= 1
+                last = out.pop()
+                pos -= len(token[last])
+                r = self.shorter(last)
         return out
 
     def encode(self, text: str) -> bytes:

@@ -217,6 +217,30 @@ def test_byte_bpe(docs, spark):
     assert got == by_id(round_trip(df, path, P.PATTERN))
 
 
+def test_bpe_of_very_long_pieces():
+    """Pieces without a space: 200,000 random letters as tiktoken cuts them, 5 million letters in bounded memory."""
+    import tracemalloc
+
+    import public_tokenizers
+    import tiktoken
+
+    from lodestone.llm.bpe import Vocabulary
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        lines = [x for x in f.read().split(b"\n") if x]
+    vocab = Vocabulary(lines, public_tokenizers.PATTERN)
+    ranks = {base64.b64decode(t): int(k) for t, k in (line.split() for line in lines)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    assert vocab.encode(text) == b"".join(x.to_bytes(4, "little") for x in plain.encode_ordinary(text))
+    tracemalloc.start()
+    ids = vocab.encode(text * 25)
+    assert "".join(vocab.token[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4)) == text * 25
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
 def test_jaccard_join(docs):
     got = by_id(jaccard_join(docs))
     sets = {}
