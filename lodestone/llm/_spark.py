@@ -27,9 +27,33 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps survive lost executors
     without recomputing it, and don't repeat its work."""
+    return cut_to(df)[0]
+
+
+def cut_to(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        out, path = cut_to(df)
+        self.paths.append(path)
+        return out
+
+    def clear(self) -> None:
+        """Delete all tables written so far. No table that is still to be read may depend on them."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []
 
 
 def salts(spark: SparkSession) -> int:

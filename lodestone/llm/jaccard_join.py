@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, keyed, real_id, salts
+from ._spark import Scratch, cut, keyed, real_id, salts
 from ._text import LOWER, NOT_BLANK, Words, mix, pieces
 
 _SETS = "doc_id long, n long, h1 long, h2 long, s1 long, s2 long, blank long, keys array<long>"
@@ -123,10 +123,12 @@ def _verify(size: int, percent: int):
     return run
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """v, comp: the smallest node reachable from v, over edges (u, v), for all but the smallest
     nodes of components. By alternating large-star and small-star steps, each a table; with
-    ``rounds``, so many at most (comp is then some smaller node of the component)."""
+    ``rounds``, so many at most (comp is then some smaller node of the component). With ``scratch`` its
+    tables go when that is cleared; else they stay."""
+    cut = (scratch or Scratch(edges.sparkSession)).cut
     edges = cut(edges.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).filter("u <> v").distinct())
     seen, left = None, rounds
     while left is None or left > 0:
@@ -160,16 +162,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts(d.sparkSession)))
     part = cut(sets.filter("n > 0").groupBy(*same, salt.alias("salt")).agg(F.min("doc_id").alias("id")))
     equal = part.groupBy(*same).agg(F.min("id").alias("id"))
-    ids = cut(equal.select("id").distinct())
+    scratch = Scratch(d.sparkSession)
+    ids = scratch.cut(equal.select("id").distinct())
     # one row per different set of an id; ids may repeat with other texts
     sets1 = sets.filter("n > 0").withColumnRenamed("doc_id", "id").dropDuplicates(["id", *same])
-    sets1 = cut(sets1.join(ids, "id").select("id", "n", "h1", "s1", "s2", "blank", "keys"))
+    sets1 = scratch.cut(sets1.join(ids, "id").select("id", "n", "h1", "s1", "s2", "blank", "keys"))
     keys = sets1.select("h1", F.explode("keys").alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
-    posts = cut(keys.join(shared, "key").join(sets1.select("h1", "id", "n", "s1", "s2"), "h1").drop("h1"))
+    shared = scratch.cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
+    posts = scratch.cut(keys.join(shared, "key").join(sets1.select("h1", "id", "n", "s1", "s2"), "h1").drop("h1"))
     met = posts.select("id").distinct()
-    texts = cut(d.join(met.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text"))
-    orders = cut(sets1.join(met, "id").select("id", "blank", "keys"))
+    texts = scratch.cut(d.join(met.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text"))
+    orders = scratch.cut(sets1.join(met, "id").select("id", "blank", "keys"))
 
     def close(a: str, b: str):
         total = F.col(f"{a}.n") + F.col(f"{b}.n")
@@ -185,12 +188,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-        return cut(both.select("u", "v", "a", "b").mapInArrow(_verify(size, percent), "u long, v long"))
+        return scratch.cut(both.select("u", "v", "a", "b").mapInArrow(_verify(size, percent), "u long, v long"))
 
     def labelled(found: DataFrame | None) -> DataFrame:
         if found is None:
             return posts.withColumn("comp", F.col("id"))
-        return posts.join(components(found, rounds=2).withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        return posts.join(components(found, 2, scratch).withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
     found = None
     for turn in range(2):
@@ -201,13 +204,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = intersected(pairs.select(F.col("a.id").alias("v"), F.col("b.id").alias("u"))).groupBy("v").agg(F.min("u").alias("u"))
         more = verified(pairs)
         found = more if found is None else found.unionByName(more)
-    now = cut(labelled(found))
+    now = scratch.cut(labelled(found))
     main = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main")
-    rest = cut(now.join(main, "key").filter("comp <> main").drop("main"))
+    rest = scratch.cut(now.join(main, "key").filter("comp <> main").drop("main"))
     pairs = now.alias("a").join(rest.alias("b"), F.col("a.key") == F.col("b.key")).filter(close("a", "b"))
     pairs = intersected(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")))
     found = found.unionByName(verified(pairs))
-    comp = components(found).withColumnRenamed("v", "id")
+    comp = cut(components(found, scratch=scratch).withColumnRenamed("v", "id"))
+    scratch.clear()
 
     # a document may stand in several rows, and its class in another document's component
     named = part.drop("id").join(equal, same).join(comp, "id", "left").select(*same, "salt", F.coalesce("comp", "id").alias("class"))
