@@ -42,12 +42,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     once = ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("was")).alias("n_was")).filter("n = 1 and doc_id is not null")
     alone = docs.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m = 1 and doc_id is not null")
     changed = docs.join(alone, "doc_id").join(once, "doc_id").filter("coalesce(n_chars, -1) <> coalesce(n_was, -1)").select("doc_id", "row")
-    before = ids.join(changed, "doc_id").select((-1 - F.col("row")).alias("row"), F.col("was").alias("text"))
-    found = cut(jaccard_join(docs.select("row", "text").unionByName(before), id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))
-    # a document's two texts may stand in two groups, which then are one
-    own, was = found.filter("row >= 0"), found.filter("row < 0").select((-1 - F.col("row")).alias("row"), F.col("group").alias("v"))
-    joined = components(own.join(was, "row").select(F.col("group").alias("u"), "v")).select(F.col("v").alias("group"), "comp")
-    group = own.join(joined, "group", "left").select("row", F.coalesce("comp", "group").alias("group"))
+    before = ids.join(changed, "doc_id").select("row", F.lit(True).alias("cut"), "was")
+    before = docs.select("row", "text").join(before, "row", "left").select("row", F.when(F.col("cut"), F.col("was")).otherwise(F.col("text")).alias("text"))
+    now, was = (cut(jaccard_join(rows, id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), F.col("component_id").alias(name))) for rows, name in ((docs, "now"), (before, "was")))
+    # groups by either text that share a document are one
+    both = now.join(was, "row")
+    joined = components(both.select(F.col("now").alias("u"), F.col("was").alias("v"))).select(F.col("v").alias("now"), "comp")
+    group = now.join(joined, "now", "left").select("row", F.coalesce("comp", "now").alias("group"))
     first = docs.select("row", "doc_id").join(group, "row").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
     return docs.join(first, "row", "left_semi").select(*COLUMNS)
 
