@@ -34,9 +34,3 @@ def prior(mode: Column, t: Column, low: Column, high: Column, previous: Column,
         .when(mode == "point", F.greatest(F.lit(0.0), 1 - F.abs(anchor - t) / (365 * 86400.0)))
         .otherwise(0.0)
     )
-
-
-def causal_weight(gap_hours: Column, same_zone: Column) -> Column:
-    """Weight of a causal edge: up to 24 hours before or 72 hours after, more in the same zone; at most 0.3."""
-    near = F.when((gap_hours >= -24) & (gap_hours <= 72), 0.2).otherwise(0.0)
-    return F.least(F.lit(0.3), near + F.when(same_zone, 0.12).otherwise(0.0))

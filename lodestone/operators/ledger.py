@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: maintenance jobs by trigger (an event type)
-JOBS = {
-    "TaskCreated": ("refresh_graph",),
-    "DecisionRecorded": ("refresh_graph", "detect_contradictions"),
-    "PatchApplied": ("index_events", "refresh_graph"),
-    "FailureObserved": ("detect_contradictions", "audit_context"),
-    "MemoryRetrieved": ("update_access",),
-}
+from .numbering import numbered
+
 #: node kinds of the situation graph by event type
 NODE_KINDS = {"TaskCreated": "Task", "DecisionRecorded": "Decision", "PatchApplied": "Patch", "FailureObserved": "Failure"}
 #: edge from the current task to a node of a kind
 EDGE_KINDS = {"Decision": "decided_in", "Patch": "applied_in", "Failure": "failed_in"}
 
 
+DAY = 86400000000
+
+
 def replay(events: DataFrame) -> DataFrame:
-    """Events with their place in replay order, by project."""
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy("project").orderBy("t", "event_id")))
+    """Events with their place in replay order, by project. Projects are few and long: days are numbered apart."""
+    return numbered(events, ["project"], F.floor(F.col("t") / DAY), ["t", "event_id"], "seq").withColumn("seq", F.col("seq").cast("int"))
 
 
 def event_hash(*columns: str):
@@ -47,12 +44,12 @@ def pending(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("rn", F.row_number().over(w)).filter("rn = 1 and status = 'pending'").drop("rn")
 
 
-def schedule(events: DataFrame) -> DataFrame:
-    """Maintenance jobs that events trigger, each once by a content hash of project, type and day."""
-    kinds = F.create_map(*[x for k, v in JOBS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("type")]
-    day = F.floor(F.col("t") / 86400000000).alias("day")
-    jobs = events.select("project", "event_id", "t", day, F.explode(kinds).alias("job"))
-    return jobs.groupBy("project", "day", "job").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n")).withColumn("job_id", F.sha2(F.concat_ws("|", "project", "job", F.col("day").cast("string")), 256))
+def schedule(events: DataFrame, jobs: dict) -> DataFrame:
+    """Maintenance jobs that events trigger (by type), each once by a content hash of project, job and day."""
+    kinds = F.create_map(*[x for k, v in jobs.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("type")]
+    day = F.floor(F.col("t") / DAY).alias("day")
+    rows = events.select("project", "event_id", "t", day, F.explode(kinds).alias("job"))
+    return rows.groupBy("project", "day", "job").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n")).withColumn("job_id", F.sha2(F.concat_ws("|", "project", "job", F.col("day").cast("string")), 256))
 
 
 def fold_fields(log: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
@@ -92,10 +89,10 @@ def sessionize(events: DataFrame, keys: list[str], gap: int) -> DataFrame:
 
 
 def operator_hits(events: DataFrame, kinds: list[str], limit: int) -> DataFrame:
-    """A ledger operator: per project the newest events of some types, with freshness 1 - i / (n - 1), at least 0.05."""
+    """A ledger operator: per project the newest events of some types, with freshness 1 - i / (n - 1), at least 0.05.
+    The rank cuts a project's rows before the shuffle; how many there are is counted apart."""
     rows = events.filter(F.col("type").isin(*kinds))
-    w = Window.partitionBy("project")
-    i = F.row_number().over(w.orderBy(F.desc("t"), F.desc("event_id"))) - 1
-    n = F.count("*").over(w)
+    i = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("t"), F.desc("event_id")))
+    top = rows.select("project", "event_id", "type", "t").withColumn("i", i).filter(F.col("i") <= limit).withColumn("i", F.col("i") - 1)
     fresh = F.when(F.col("n") <= 1, 1.0).otherwise(F.greatest(F.lit(0.05), 1 - F.col("i") / (F.col("n") - 1)))
-    return rows.select("project", "event_id", "type", "t", i.alias("i"), n.alias("n")).filter(F.col("i") < limit).withColumn("freshness", fresh)
+    return top.join(rows.groupBy("project").agg(F.count("*").alias("n")), "project").withColumn("freshness", fresh)

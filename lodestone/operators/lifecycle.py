@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 from ..sources.tables import written
 
 #: States that retrieval may return, and the multiplier of each in the lifecycle score
 ELIGIBLE = ("active", "stable", "canonical")
-VALIDITY = {"active": 1.0, "stable": 1.0, "canonical": 1.0}
-STATE_WEIGHT = {"active": 1.0, "stable": 1.1, "canonical": 1.2}
 
 
 def eligible(include_invalid: bool = False) -> Column:
@@ -62,9 +62,9 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], t: str = "t",
 
 
 def retention(df: DataFrame, keep: int, *keys: str) -> DataFrame:
-    """The rows to forget when each group keeps its newest ``keep``."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("id"))
-    return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") > keep)
+    """The rows to forget when each group keeps its newest ``keep``. Groups may be few and large: days are numbered apart."""
+    rows = numbered(df, list(keys), F.floor(F.col("t") / 86400), [F.desc("t"), F.desc("id")], "rn", descending=True)
+    return rows.withColumn("rn", F.col("rn").cast("int")).filter(F.col("rn") > keep)
 
 
 def forget_before(df: DataFrame, t: int, limit: int) -> DataFrame:
@@ -136,15 +136,15 @@ def keyed_diff(new: DataFrame, base: DataFrame, keys: list[str], value: str) ->
 
 
 def unique_only(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose key stands once."""
-    return df.withColumn("n_key", F.count("*").over(Window.partitionBy(*keys))).filter("n_key = 1").drop("n_key")
+    """Rows whose key stands once. Repeated keys are counted before they are shuffled."""
+    once = df.groupBy(*keys).agg(F.count("*").alias("n_key")).filter("n_key = 1").select(*keys)
+    return df.join(once, list(keys), "left_semi")
 
 
 def pair_rows(a: DataFrame, b: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Rows of two runs paired by key and occurrence."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    left = a.select(key, F.col(value).alias("a_value"), number.alias("occurrence"))
-    return left.join(b.select(key, F.col(value).alias("b_value"), number.alias("occurrence")), [key, "occurrence"])
+    """Rows of two runs paired by key and occurrence; order is a whole number, and ranges of it are numbered apart."""
+    side = lambda df, name: numbered(df, [key], F.floor(F.col(order) / 65536), [order], "occurrence").select(key, F.col(value).alias(name), F.col("occurrence").cast("int").alias("occurrence"))
+    return side(a, "a_value").join(side(b, "b_value"), [key, "occurrence"])
 
 
 def search_terms(df: DataFrame, terms: list[str], columns: list[str]) -> DataFrame:

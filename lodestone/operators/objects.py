@@ -36,21 +36,18 @@ def sentences(text: Column) -> Column:
 
 
 def extract(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, sentence number, kind and parts of every match of every pattern (one per kind and sentence)."""
+    """id, sentence number, kind and parts of every match of every pattern."""
     s = rows.select(F.col(id_col).alias("id"), F.posexplode(sentences(F.col(text_col))).alias("sentence", "unit"))
     found = []
     for kind, pattern, names in PATTERNS:
-        part = {n: F.nullif(F.trim(F.regexp_extract("unit", pattern, i + 1)), F.lit("")) for i, n in enumerate(names)}
-        fields = [F.coalesce(part[p], F.lit(None).cast("string")).alias(p) if p in part else F.lit(None).cast("string").alias(p) for p in PARTS]
-        found.append(F.when(F.regexp_like("unit", F.lit(pattern)), F.struct(F.lit(kind).alias("kind"), *fields)))
-    one = s.select("id", "sentence", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("o"))
+        # groups of all matches, side by side
+        groups = F.arrays_zip(*(F.regexp_extract_all("unit", F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
+        part = lambda m, p, names=names: F.nullif(F.trim(m[p]), F.lit("")) if p in names else F.lit(None).cast("string")
+        found.append(F.transform(groups, lambda m: F.struct(F.lit(kind).alias("kind"), *(part(m, p).alias(p) for p in PARTS))))  # noqa: B023
+    one = s.select("id", "sentence", F.explode(F.concat(*found)).alias("o"))
     return one.select("id", "sentence", "o.*")
 
 
-def polarity(verb: Column) -> Column:
-    return F.when(F.lower(verb).isin("hate", "dislike", "avoid"), -1).when(F.lower(verb).isin("prefer", "like", "love"), 1)
-
-
 def latest_values(objects: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last value of each key, the one before it, and how many there were."""
     w = Window.partitionBy(*keys).orderBy(*order)

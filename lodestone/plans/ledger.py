@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as G
 from ..operators import lifecycle as L
+from ..operators.store import TRIGGER_JOBS
 from ..sources import views as V
 from .registry import query
 
@@ -44,10 +45,15 @@ def pending_jobs(spark, d):
     return G.pending(jobs).select("job_id", F.col("seq.event_id").alias("seq"))
 
 
+# ledger events as triggers of the same names' jobs
+LEDGER_JOBS = {k: TRIGGER_JOBS[v] for k, v in {"TaskCreated": "session_ended", "DecisionRecorded": "decision_changed", "PatchApplied": "large_file_changed", "FailureObserved": "repeated_failure_detected", "MemoryRetrieved": "cache_miss_spike_detected"}.items()}
+
+
 @query("""SELECT project, day, job, min(event_id) AS first_event, count(*) AS n, sha256(concat_ws('|', project, job, day::VARCHAR)) AS job_id FROM (
-  SELECT project, event_id, (t // 86400000000)::BIGINT AS day, unnest(CASE type WHEN 'TaskCreated' THEN ['refresh_graph'] WHEN 'DecisionRecorded' THEN ['refresh_graph', 'detect_contradictions'] WHEN 'PatchApplied' THEN ['index_events', 'refresh_graph'] WHEN 'FailureObserved' THEN ['detect_contradictions', 'audit_context'] ELSE ['update_access'] END) AS job FROM ledger) GROUP BY 1, 2, 3""", V.LEDGER)
+  SELECT project, event_id, (t // 86400000000)::BIGINT AS day, unnest(CASE type WHEN 'TaskCreated' THEN ['refresh_projection', 'prepare_next_session_context'] WHEN 'DecisionRecorded' THEN ['extract_decisions', 'detect_contradictions', 'refresh_projection'] WHEN 'PatchApplied' THEN ['refresh_index', 'refresh_projection']
+    WHEN 'FailureObserved' THEN ['extract_failures', 'generate_recovery_summary'] ELSE ['refresh_index'] END) AS job FROM ledger) GROUP BY 1, 2, 3""", V.LEDGER)
 def maintenance_schedule(spark, d):
-    return G.schedule(V.ledger(spark, d))
+    return G.schedule(V.ledger(spark, d), LEDGER_JOBS)
 
 
 LOG = """, log AS (SELECT k AS id, t, event_id, CASE type WHEN 'TaskCreated' THEN 'create' WHEN 'FailureObserved' THEN 'archive' ELSE 'update' END AS action,

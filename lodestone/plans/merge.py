@@ -17,14 +17,14 @@ from .retrieval import CPOST, POST, channels, seeds
 
 @query("SELECT query_id, id, round(sum(part), 9) AS score, count(*) AS hits FROM (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part FROM bm25 UNION ALL SELECT query_id, id, 1.0::DOUBLE / (80 + rank) FROM proxy UNION ALL SELECT query_id, id, 1.0::DOUBLE / (90 + rank) FROM recent) GROUP BY 1, 2", V.EVIDENCE, V.ASKS + POST)
 def merged_hits(spark, d):
-    c = channels(spark, d)
+    c = channels(spark, d, "bm25", "proxy", "recent")
     return M.merge_channels({"bm25": (c["bm25"], 60), "proxy": (c["proxy"], 80), "recent": (c["recent"], 90)}).withColumn("score", F.round("score", 9))
 
 
 @query("SELECT query_id, id, round(coalesce(max(CASE WHEN grain <> 'macro' THEN score END) OVER (PARTITION BY query_id, session_id), 0) * CASE WHEN grain = 'micro' THEN 1 ELSE 0.75 END, 6) AS support FROM (SELECT p.query_id, p.id, p.score, e.session_id, ['micro', 'local', 'macro'][(p.id % 3 + 1)::INT] AS grain FROM proxy p JOIN evidence e USING (id))", V.EVIDENCE, V.ASKS + POST)
 def node_support(spark, d):
     ev = V.evidence(spark, d).select("id", "session_id", V.chosen(("micro", "local", "macro"), F.col("id") % 3).alias("grain"))
-    return M.node_support(channels(spark, d)["proxy"].join(ev, "id"), "session_id", "grain").select("query_id", "id", F.round("support", 6).alias("support"))
+    return M.node_support(channels(spark, d, "proxy")["proxy"].join(ev, "id"), "session_id", "grain").select("query_id", "id", F.round("support", 6).alias("support"))
 
 
 @query("""WITH""" + V.EVIDENCE + """, k AS (SELECT id, t, sha256(text) AS a, sha256(summary) AS b, sha256(title) AS c FROM evidence), old AS (SELECT * FROM k WHERE id % 3 <> 0), new AS (SELECT * FROM k WHERE id % 3 = 0),
@@ -80,7 +80,7 @@ def parsed_times(spark, d):
 @query("""SELECT query_id, id, round(CASE query_id % 3 WHEN 0 THEN 1 - (hi - t) / greatest(hi - lo, 1)::DOUBLE WHEN 1 THEN CASE WHEN prev IS NULL THEN 0 ELSE greatest(0, 1 - abs(prev - t) / greatest(hi - lo, 1)::DOUBLE) END ELSE greatest(0, 1 - abs(1712000000 - t) / (365 * 86400.0)) END, 6) AS prior FROM (
   SELECT b.query_id, b.id, e.t, s.lo, s.hi, s.prev FROM bm25 b JOIN evidence e USING (id) JOIN (SELECT query_id, min(t) AS lo, max(t) AS hi, list_sort(list(DISTINCT t))[-2] AS prev FROM bm25 JOIN evidence USING (id) GROUP BY 1) s USING (query_id))""", V.EVIDENCE, V.ASKS + POST)
 def temporal_priors(spark, d):
-    rows = channels(spark, d)["bm25"].join(V.evidence(spark, d).select("id", "t"), "id").select("query_id", "id", "t")
+    rows = channels(spark, d, "bm25")["bm25"].join(V.evidence(spark, d).select("id", "t"), "id").select("query_id", "id", "t")
     span = rows.groupBy("query_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.array_sort(F.collect_set("t")).alias("ts"))
     span = span.withColumn("prev", F.when(F.size("ts") > 1, F.try_element_at("ts", F.lit(-2))))
     mode = F.when(F.col("query_id") % 3 == 0, "latest").when(F.col("query_id") % 3 == 1, "previous").otherwise("point")

@@ -13,12 +13,28 @@ from .registry import query
 from .retrieval import sql_terms
 
 
-@query(r"""SELECT id, kind, count(*) AS n FROM (SELECT id, unnest(list_filter([CASE WHEN regexp_matches(unit, '\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b') THEN 'email' END,
-  CASE WHEN regexp_matches(unit, '(?i)\blicensed under the ([A-Za-z0-9 .]{3,40})') THEN 'license' END], lambda x: x IS NOT NULL)) AS kind
-  FROM (SELECT doc_id AS id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')) AS unit FROM documents) WHERE length(trim(unit)) > 0) GROUP BY 1, 2""")
+#: a sentence of each kind, dealt over the documents
+SAYS = (
+    "I really prefer green tea. We hate loud rooms", "They switched from MySQL to Postgres", "It was 2021-03-04 or 1999", "my city is Lyon and my job is baker", "I am a night owl", "You must not restart it, never on Friday",
+    "Parser uses Lexer", "The Build Server is a small box", "The goal is to ship weekly", "We decided to wait", "It is for project Apollo-7", "See src/app/main.py and notes.md", "Usually it fails twice", "TODO: check logs", "Fixed the flaky test by pinning the seed",
+    "Write to a.b@example.org or c@d.org today", "It is licensed under the MIT License",
+)
+
+
+def told(spark, d):
+    i = F.col("doc_id") % len(SAYS)
+    return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat("text", F.lit(". "), V.chosen(SAYS, i)).alias("text"))
+
+
+TOLD = "\ntold AS (SELECT doc_id AS id, text || '. ' || [" + ", ".join("'" + x + "'" for x in SAYS) + f"][(doc_id % {len(SAYS)} + 1)::INT] AS text FROM documents), unit AS (SELECT id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')) AS unit FROM told)"
+VALUES = " UNION ALL ".join(f"SELECT id, '{kind}' AS kind, nullif(trim(unnest(regexp_extract_all(unit, '{p.replace(chr(39), chr(39) * 2)}', {names.index(names[-1]) + 1}))), '') AS value FROM unit WHERE trim(unit) <> ''" for kind, p, names in O.PATTERNS)
+
+
+@query(f"SELECT id, kind, value, count(*) AS n FROM ({VALUES}) GROUP BY 1, 2, 3", TOLD)
 def extracted_objects(spark, d):
-    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return O.extract(docs).filter("kind in ('email', 'license')").groupBy("id", "kind").agg(F.count("*").alias("n"))
+    """Every object of every kind, with its last part."""
+    value = F.coalesce("value", F.when(F.col("kind") == "state_change", F.col("new_value")))
+    return O.extract(told(spark, d)).groupBy("id", "kind", value.alias("value")).agg(F.count("*").alias("n"))
 
 
 INTENT = """CASE WHEN regexp_matches(lower(query), '继续|resume|continue|上次|中断') THEN 'continue_task' WHEN regexp_matches(lower(query), 'regression|benchmark|clonemem|knowme|longmemeval|locomo|回归|得分') THEN 'debug_regression'

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..operators.numbering import numbered
 from ..sources import views as V
 from .registry import exact_mean, query
 from .retrieval import POST, channels
@@ -36,7 +37,7 @@ NAMES = ("recall_frac", "recall_any", "recall_all", "ndcg_gold", "ndcg_retrieved
 
 
 def per_query(spark, d):
-    return Q.metrics(V.asks(spark, d), channels(spark, d)["proxy"], gold_rows(spark, d), 10)
+    return Q.metrics(V.asks(spark, d), channels(spark, d, "proxy")["proxy"], gold_rows(spark, d), 10)
 
 
 @query("SELECT query_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in NAMES) + ", best_rank::INT AS best_rank FROM per", V.EVIDENCE, V.ASKS + POST + JUDGED)
@@ -53,7 +54,7 @@ def retrieval_summary(spark, d):
   SELECT s.query_id, count(g.id) AS n_gold, count(*) FILTER (WHERE p.rank IS NOT NULL) AS a, count(*) FILTER (WHERE p.rank <= 50) AS b, count(*) FILTER (WHERE p.rank <= 5) AS c
   FROM asks s LEFT JOIN gold g USING (query_id) LEFT JOIN proxy p ON p.query_id = g.query_id AND p.id = g.id GROUP BY 1)""", V.EVIDENCE, V.ASKS + POST + GOLD)
 def failure_taxonomy(spark, d):
-    ranks = channels(spark, d)["proxy"].select("query_id", "id", "rank")
+    ranks = channels(spark, d, "proxy")["proxy"].select("query_id", "id", "rank")
     g = gold_rows(spark, d).join(ranks, ["query_id", "id"], "left")
     per = V.asks(spark, d).select("query_id").join(g, "query_id", "left").groupBy("query_id").agg(F.count("id").alias("n"), F.count("rank").alias("a"), F.count_if(F.col("rank") <= 50).alias("b"), F.count_if(F.col("rank") <= 5).alias("c"))
     return per.select("query_id", Q.failure_class(F.col("n"), F.col("a"), F.col("b"), F.col("c")).alias("failure"))
@@ -62,7 +63,7 @@ def failure_taxonomy(spark, d):
 @query("""SELECT source, count(*) AS n_gold_hits, count(DISTINCT query_id) AS n_queries, round(avg(rank), 6) AS mean_rank, min(rank)::INT AS best_rank FROM (
   SELECT 'bm25' AS source, b.* FROM bm25 b JOIN gold USING (query_id, id) UNION ALL SELECT 'proxy', p.* FROM proxy p JOIN gold USING (query_id, id)) GROUP BY 1""", V.EVIDENCE, V.ASKS + POST + GOLD)
 def channel_contribution(spark, d):
-    c, g = channels(spark, d), gold_rows(spark, d)
+    c, g = channels(spark, d, "bm25", "proxy"), gold_rows(spark, d)
     hits = None
     for n in ("bm25", "proxy"):
         one = c[n].join(g, ["query_id", "id"]).select(F.lit(n).alias("source"), "query_id", "rank")
@@ -73,7 +74,7 @@ def channel_contribution(spark, d):
 @query("""SELECT query_id, id, CASE WHEN a.rank IS NOT NULL AND b.rank IS NOT NULL THEN 'kept' WHEN b.rank IS NOT NULL THEN 'gained' WHEN a.rank IS NOT NULL THEN 'lost' ELSE 'missed' END AS change
   FROM gold LEFT JOIN (SELECT * FROM bm25 WHERE rank <= 10) a USING (query_id, id) LEFT JOIN (SELECT * FROM proxy WHERE rank <= 10) b USING (query_id, id)""", V.EVIDENCE, V.ASKS + POST + GOLD)
 def gained_lost(spark, d):
-    c = channels(spark, d)
+    c = channels(spark, d, "bm25", "proxy")
     return Q.gained_lost(c["bm25"].filter("rank <= 10"), c["proxy"].filter("rank <= 10"), gold_rows(spark, d))
 
 
@@ -112,20 +113,18 @@ def bootstrap_intervals(spark, d):
     return Q.bootstrap(V.runs(spark, d).select("run_id", "dataset", "metric"), ["dataset"], "metric")
 
 
-@query("SELECT run_id, (('0x' || substr(sha256(dataset || '|' || run_id), 1, 12))::BIGINT % 4) AS shard, (row_number() OVER (ORDER BY run_id) - 1) % 3 AS part FROM runs", V.RUNS)
-def all_shards(spark, d):
-    from pyspark.sql import Window
+SHARDS = "SELECT run_id, (('0x' || substr(sha256(dataset || '|' || run_id), 1, 12))::BIGINT % 4) AS shard, (row_number() OVER (ORDER BY run_id) - 1) % 3 AS part FROM runs"
+
 
+@query(SHARDS, V.RUNS)
+def all_shards(spark, d):
     r = V.runs(spark, d)
     h = F.conv(F.substring(F.sha2(F.concat_ws("|", "dataset", F.col("run_id").cast("string")), 256), 1, 12), 16, 10).cast("long")
-    # numbered within ranges of ids; only the counts of the ranges are summed in one task
-    r = r.select("run_id", (h % 4).alias("shard"), F.floor(F.col("run_id") / 65536).alias("span"))
-    before = F.sum("c").over(Window.orderBy("span")) - F.col("c")
-    starts = r.groupBy("span").agg(F.count("*").alias("c")).select("span", before.alias("start"))
-    at = F.row_number().over(Window.partitionBy("span").orderBy("run_id")) - 1
-    return r.withColumn("at", at).join(starts, "span").select("run_id", "shard", ((F.col("start") + F.col("at")) % 3).cast("long").alias("part"))
+    r = numbered(r.select("run_id", (h % 4).alias("shard")), [], F.floor(F.col("run_id") / 65536), ["run_id"], "at")
+    return r.select("run_id", "shard", ((F.col("at") - 1) % 3).cast("long").alias("part"))
 
 
-@query("SELECT run_id, (('0x' || substr(sha256(dataset || '|' || run_id), 1, 12))::BIGINT % 4) AS shard, (row_number() OVER (ORDER BY run_id) - 1) % 3 AS part FROM runs WHERE run_id < 4000", V.RUNS)
+@query(f"SELECT * FROM ({SHARDS}) WHERE shard = 2", V.RUNS)
 def shards(spark, d):
-    return all_shards(spark, d).filter("run_id < 4000")
+    """The items of one shard."""
+    return all_shards(spark, d).filter("shard = 2")

@@ -15,12 +15,12 @@ from .tokens import FINAL
 @query("""SELECT a.query_id, coalesce(round(s1 - coalesce(s2, 0), 4), 0) AS margin_1_2, coalesce(round(s1 - coalesce(s3, s2, 0), 4), 0) AS margin_1_3, coalesce(n_strong, 0) AS n_strong FROM asks a LEFT JOIN (
   SELECT query_id, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, max(score) FILTER (WHERE rank = 3) AS s3, count(*) FILTER (WHERE score > 2) AS n_strong FROM proxy GROUP BY 1) USING (query_id)""", V.EVIDENCE, V.ASKS + POST)
 def ranking_margins(spark, d):
-    return P.margins(V.asks(spark, d), channels(spark, d)["proxy"], strong=2)
+    return P.margins(V.asks(spark, d), channels(spark, d, "proxy")["proxy"], strong=2)
 
 
 @query("SELECT query_id, n, n_true, n_true / n AS share FROM (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE kind NOT IN ('decision', 'code', 'benchmark')) AS n_true FROM proxy JOIN evidence USING (id) GROUP BY 1)", V.EVIDENCE, V.ASKS + POST)
 def nonfactual_share(spark, d):
-    rows = channels(spark, d)["proxy"].select("query_id", "id").join(V.evidence(spark, d).select("id", "kind"), "id")
+    rows = channels(spark, d, "proxy")["proxy"].select("query_id", "id").join(V.evidence(spark, d).select("id", "kind"), "id")
     return P.share(rows, ["query_id"], ~F.col("kind").isin("decision", "code", "benchmark"))
 
 

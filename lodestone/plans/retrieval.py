@@ -38,12 +38,20 @@ recent AS (SELECT query_id, b.id, e.t::DOUBLE AS score, row_number() OVER (PARTI
 """
 
 
-def channels(spark, d):
+def channels(spark, d, *names):
+    """The channels asked for (all without names); what none of them needs is not read."""
+    names = names or ("bm25", "proxy", "recent")
     ev = V.evidence(spark, d).filter(L.eligible())
     asks = V.asks(spark, d)
-    post = written(R.postings(ev, "id", "text"))  # read three times: lengths, frequencies, hits
-    bm = R.bm25(asks, post)
-    return {"bm25": bm, "proxy": R.term_hits(asks, R.postings(ev, "id", "summary")), "recent": R.by_time(bm, ev.select("id", "t"))}
+    out = {}
+    if "bm25" in names or "recent" in names:
+        post = written(R.postings(ev, "id", "text"))  # read three times: lengths, frequencies, hits
+        out["bm25"] = R.bm25(asks, post)
+    if "proxy" in names:
+        out["proxy"] = R.term_hits(asks, R.postings(ev, "id", "summary"))
+    if "recent" in names:
+        out["recent"] = R.by_time(out["bm25"], ev.select("id", "t"))
+    return {n: out[n] for n in names}
 
 
 @query("""SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score, sources FROM (
@@ -56,18 +64,18 @@ def rrf_retrieval(spark, d):
 
 @query("SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM bm25 WHERE rank <= 20", V.EVIDENCE, V.ASKS + POST)
 def bm25_channel(spark, d):
-    return channels(spark, d)["bm25"].filter("rank <= 20").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return channels(spark, d, "bm25")["bm25"].filter("rank <= 20").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("SELECT query_id, id, rank::INT AS rank, score FROM proxy WHERE rank <= 20", V.EVIDENCE, V.ASKS + POST)
 def proxy_channel(spark, d):
-    return channels(spark, d)["proxy"].filter("rank <= 20").select("query_id", "id", "rank", "score")
+    return channels(spark, d, "proxy")["proxy"].filter("rank <= 20").select("query_id", "id", "rank", "score")
 
 
 @query("""SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM (
   SELECT query_id, id, max(s) + least(0.2, 0.04 * (count(DISTINCT c) - 1)) AS score FROM (SELECT query_id, id, score / (score + 3) AS s, 'a' AS c FROM bm25 UNION ALL SELECT query_id, id, score / 12, 'b' FROM proxy) GROUP BY 1, 2)) WHERE rank <= 10""", V.EVIDENCE, V.ASKS + POST)
 def probe_merge(spark, d):
-    c = channels(spark, d)
+    c = channels(spark, d, "bm25", "proxy")
     probes = {"a": c["bm25"].withColumn("score", S.bm25_similarity(F.col("score"))), "b": c["proxy"].withColumn("score", F.col("score") / 12)}
     return R.max_merge(probes, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
@@ -75,7 +83,7 @@ def probe_merge(spark, d):
 @query("""SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (
   SELECT query_id, id, sum(w / (60 + rank)) AS score FROM (SELECT query_id, id, rank, 1.5 AS w FROM bm25 UNION ALL SELECT query_id, id, rank, 0.5 FROM proxy) GROUP BY 1, 2)) WHERE rank <= 10""", V.EVIDENCE, V.ASKS + POST)
 def weighted_rrf(spark, d):
-    c = channels(spark, d)
+    c = channels(spark, d, "bm25", "proxy")
     return R.rrf({"bm25": c["bm25"], "proxy": c["proxy"]}, 10, weights={"bm25": 1.5, "proxy": 0.5}).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -139,21 +147,21 @@ def phrase_postings(spark, d):
   + 0.12 * pow(0.5, greatest(0, (1735689600 - e.t) / 86400.0) / 30) + 0.18 * e.importance + 0.1 * e.confidence + 0.05 * least(1, e.access_count / 20.0) - 0.2 * (b.rank - 1) / 100.0) AS score FROM bm25 b JOIN evidence e ON e.id = b.id)""", V.EVIDENCE, V.ASKS + POST)
 def lifecycle_rerank(spark, d):
     ev = V.evidence(spark, d)
-    bm = channels(spark, d)["bm25"]
+    bm = channels(spark, d, "bm25")["bm25"]
     score = S.lifecycle_score(S.bm25_similarity(F.col("score")), F.lit(1.0), S.state_factor(F.col("state")), S.recency(F.col("t"), 1735689600), F.col("importance"), F.col("confidence"), F.col("access_count"), (F.col("rank") - 1) / 100.0)
     return bm.join(ev, "id").select("query_id", "id", F.round(score, 6).alias("score"))
 
 
 @query(f"SELECT query_id, id FROM bm25 WHERE rank <= 20 INTERSECT SELECT query_id, id FROM proxy WHERE rank <= 20", V.EVIDENCE, V.ASKS + POST)
 def channel_overlap(spark, d):
-    c = channels(spark, d)
+    c = channels(spark, d, "bm25", "proxy")
     top = {n: x.filter("rank <= 20").select("query_id", "id") for n, x in c.items()}
     return top["bm25"].intersect(top["proxy"])
 
 
 @query(f"SELECT query_id, id, max(s1) AS bm25_score, max(s2) AS proxy_score, string_agg(DISTINCT c, ',' ORDER BY c) AS retrievers FROM (SELECT query_id, id, round(score, 5) AS s1, 0 AS s2, 'bm25' AS c FROM bm25 WHERE rank <= 30 UNION ALL SELECT query_id, id, 0, score, 'proxy' FROM proxy WHERE rank <= 30) GROUP BY 1, 2", V.EVIDENCE, V.ASKS + POST)
 def merged_candidates(spark, d):
-    c = channels(spark, d)
+    c = channels(spark, d, "bm25", "proxy")
     a = c["bm25"].filter("rank <= 30").select("query_id", "id", F.round("score", 5).alias("s1"), F.lit(0.0).alias("s2"), F.lit("bm25").alias("c"))
     b = c["proxy"].filter("rank <= 30").select("query_id", "id", F.lit(0.0).alias("s1"), F.col("score").alias("s2"), F.lit("proxy").alias("c"))
     return a.unionByName(b).groupBy("query_id", "id").agg(F.max("s1").alias("bm25_score"), F.max("s2").alias("proxy_score"), F.array_join(F.array_sort(F.collect_set("c")), ",").alias("retrievers"))
@@ -194,4 +202,4 @@ def term_priorities(spark, d):
 
 @query("SELECT query_id, id, CASE WHEN s >= 0.75 THEN 1.0 WHEN s >= 0.5 THEN 0.8 WHEN s >= 0.3 THEN 0.55 WHEN rank <= 20 THEN 0.35 ELSE 0.18 END AS gate FROM (SELECT *, score / 12 AS s FROM proxy)", V.EVIDENCE, V.ASKS + POST)
 def channel_gates(spark, d):
-    return channels(spark, d)["proxy"].select("query_id", "id", S.channel_gate(False, F.col("score") / 12, F.col("rank")).alias("gate"))
+    return channels(spark, d, "proxy")["proxy"].select("query_id", "id", S.channel_gate(False, F.col("score") / 12, F.col("rank")).alias("gate"))

@@ -15,7 +15,7 @@ SETS = ", sets AS (SELECT id, list(term) AS ts FROM spost GROUP BY 1), pool AS (
 
 def pool(spark, d):
     ev = V.evidence(spark, d).select("id", "project", F.sha2("summary", 256).alias("digest"), T.terms(F.col("summary")).alias("ts"))
-    return channels(spark, d)["proxy"].filter("rank <= 30").join(ev, "id")
+    return channels(spark, d, "proxy")["proxy"].filter("rank <= 30").join(ev, "id")
 
 
 @query("SELECT query_id, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, digest ORDER BY rank) AS n FROM pool) WHERE n = 1 OR rank <= 3", V.EVIDENCE, V.ASKS + POST + SETS)
@@ -36,7 +36,7 @@ def inhibition(spark, d):
 @query("""SELECT query_id, id, place::INT AS place FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY p, id) AS place FROM (
   SELECT query_id, id, min((rank, c)) AS p FROM (SELECT query_id, id, rank, 0 AS c FROM bm25 WHERE rank <= 30 UNION ALL SELECT query_id, id, rank, 1 FROM proxy WHERE rank <= 30) GROUP BY 1, 2)) WHERE place <= 20""", V.EVIDENCE, V.ASKS + POST)
 def broad_pool(spark, d):
-    c = channels(spark, d)
+    c = channels(spark, d, "bm25", "proxy")
     return P.interleave([c["bm25"].filter("rank <= 30"), c["proxy"].filter("rank <= 30")], 20)
 
 

@@ -263,3 +263,20 @@ def merged_object_lists(spark, d):
 def diverse_objects(spark, d):
     rows = H.best(H.pairs(spark, d), S.bm25_similarity(F.col("bm25")), 20).withColumn("parent", F.floor(F.col("id") / 8))
     return O.diverse(rows, "parent", 12).select("query_id", "id", "place")
+
+
+SIMILAR = ", src AS (SELECT id, lower(title || ' ' || summary) AS text FROM evidence), " + H.sql_terms("sm", "src", "id", "text", 80) + ", part AS (SELECT id, ('0x' || substr(sha256(term), 1, 8))::BIGINT % 64 AS i, sum(CASE WHEN ('0x' || substr(sha256(term), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM sm GROUP BY 1, 2), vec AS (SELECT id, i, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM part), st AS (SELECT id, list(term) AS ts FROM sm GROUP BY 1)"
+
+
+@query("SELECT e.id, round(greatest(len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts))), coalesce((SELECT sum(x.v * y.v) FROM vec x JOIN vec y ON y.i = x.i AND y.id = e.superseded_by WHERE x.id = e.id), 0)), 6) AS similarity FROM evidence e JOIN st a ON a.id = e.id JOIN st b ON b.id = e.superseded_by", V.EVIDENCE + SIMILAR)
+def memory_similarities(spark, d):
+    ev = V.evidence(spark, d).select("id", "superseded_by", T.terms(F.lower(F.concat_ws(" ", "title", "summary"))).alias("ts")).filter(F.size("ts") > 0)
+    v = R.dense(R.hash_embeddings(ev.select("id", F.explode("ts").alias("term"))))
+    both = ev.select("id", "ts").join(v, "id")
+    j = ev.select("id", "superseded_by").join(both, "id").join(both.select(F.col("id").alias("superseded_by"), F.col("ts").alias("us"), F.col("v").alias("w")), "superseded_by")
+    return j.select("id", F.round(U.memory_similarity(F.col("ts"), F.col("us"), F.col("v"), F.col("w")), 6).alias("similarity"))
+
+
+@query("SELECT id, round(least(0.2, 0.1 * (contains(text, 'Test')::INT + contains(text, 'HttpServer2')::INT + contains(text, 'She')::INT)), 2) AS score FROM cued", CUED)
+def person_scores(spark, d):
+    return cued(spark, d).select("id", F.round(U.person_score(F.array(F.lit("Test"), F.lit("HttpServer2"), F.lit("She")), F.col("text")), 2).alias("score"))

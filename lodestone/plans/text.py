@@ -8,6 +8,7 @@ from ..functions import html as H
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators.tokens import calibration
 from ..sources import views as V
 from .registry import query
 from .retrieval import sql_terms
@@ -68,16 +69,17 @@ def content_classes(spark, d):
 
 @query("SELECT id, kind, CASE kind WHEN 'empty' THEN 0 WHEN 'zh_text' THEN ceil(zh * 1.05::DOUBLE + (n - zh) / 4) ELSE greatest(1, ceil(n / CASE kind WHEN 'code' THEN 3.1 WHEN 'json' THEN 2.7 WHEN 'markdown' THEN 3.5 WHEN 'log' THEN 3.0 WHEN 'metrics' THEN 2.8 ELSE 4 END::DOUBLE)) END::BIGINT AS tokens FROM (SELECT id, kind, length(text) AS n, len(regexp_extract_all(text, '[一-鿿]')) AS zh FROM kinds)", MARKED + KINDS)
 def heuristic_tokens(spark, d):
-    rows = marked(spark, d).withColumn("kind", T.content_class(F.col("text")))
+    rows = marked(spark, d).select("id", "text", F.explode(F.array(T.content_class(F.col("text")))).alias("kind"))
     return rows.select("id", "kind", T.class_tokens(F.col("text"), F.col("kind")).alias("tokens"))
 
 
-@query("SELECT kind, avg(words / tokens) AS ratio FROM (SELECT kind, len(regexp_extract_all(text, '[^\\s]+')) AS words, CASE kind WHEN 'zh_text' THEN ceil(zh * 1.05::DOUBLE + (n - zh) / 4) ELSE greatest(1, ceil(n / CASE kind WHEN 'code' THEN 3.1 WHEN 'json' THEN 2.7 WHEN 'markdown' THEN 3.5 WHEN 'log' THEN 3.0 WHEN 'metrics' THEN 2.8 ELSE 4 END::DOUBLE)) END AS tokens FROM (SELECT *, length(text) AS n, len(regexp_extract_all(text, '[一-鿿]')) AS zh FROM kinds) WHERE kind <> 'empty') GROUP BY 1", MARKED + KINDS)
+@query("SELECT kind, round(ratio, 6) AS ratio FROM per UNION ALL SELECT 'default', round(avg(ratio), 6) FROM per", MARKED + KINDS + ", per AS (SELECT kind, avg(words / tokens) AS ratio FROM (SELECT kind, len(regexp_extract_all(text, '[^\\s]+')) AS words, CASE kind WHEN 'zh_text' THEN ceil(zh * 1.05::DOUBLE + (n - zh) / 4) ELSE greatest(1, ceil(n / CASE kind WHEN 'code' THEN 3.1 WHEN 'json' THEN 2.7 WHEN 'markdown' THEN 3.5 WHEN 'log' THEN 3.0 WHEN 'metrics' THEN 2.8 ELSE 4 END::DOUBLE)) END AS tokens FROM (SELECT *, length(text) AS n, len(regexp_extract_all(text, '[一-鿿]')) AS zh FROM kinds) WHERE kind <> 'empty') GROUP BY 1)")
 def token_calibration(spark, d):
     """Mean ratio of a reference count (here words) to the estimate, by class."""
-    rows = marked(spark, d).withColumn("kind", T.content_class(F.col("text"))).filter("kind <> 'empty'")
-    ratio = F.size(T.words(F.col("text"))) / T.class_tokens(F.col("text"), F.col("kind"))
-    return rows.groupBy("kind").agg(F.avg(ratio).alias("ratio"))
+    # as the output of a generator the class is computed once, whatever reads it
+    rows = marked(spark, d).select("text", F.explode(F.array(T.content_class(F.col("text")))).alias("kind"))
+    pairs = rows.select("kind", F.size(T.words(F.col("text"))).alias("words"), T.class_tokens(F.col("text"), F.col("kind")).alias("tokens"))
+    return calibration(pairs, "kind", "words", "tokens").select("kind", F.round("factor", 6).alias("ratio"))
 
 
 CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(authorization\s*:\s*bearer\s+)[A-Za-z0-9._\-+/=]+', '\1[REDACTED]', 'gi'),

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.tables import shared_folder
 from ..sources.views import LEDGER_TYPES, micros
 
 
-def read(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
-    """Raw events as they arrive; ``at`` is the event time (UTC)."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Raw events as they arrive; ``at`` is the event time (UTC).
+
+    By default a batch takes all files that are there, so that their order does not matter and a drained stream equals
+    the batch query. With ``files_per_batch`` a backlog is taken in several batches: events older than the watermark
+    of the batches before are then late, and files should come in the order of their times."""
+    source = spark.readStream.schema(schema)
+    raw = (source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source).parquet(path)
     kind = F.create_map(*[F.lit(x) for p in LEDGER_TYPES.items() for x in p])[F.col("event_type")]
     return raw.select("event_id", F.timestamp_micros(micros("ts")).alias("at"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), (F.col("user_id") % 5).alias("project"), kind.alias("type"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
 
@@ -39,7 +45,8 @@ def carried_contradictions(events: DataFrame, late: str = "1 hour") -> DataFrame
     """Events whose type differs from the one carried for their project and key, state kept per key.
 
     Within a batch events are taken by time; an event older than the carried one is
-    late: it is not compared, and the carried one stays.
+    late: it is not compared, and the carried one stays. The state is one small row a key, kept for good,
+    since the next event of a key may come at any time.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,7 +68,7 @@ def carried_contradictions(events: DataFrame, late: str = "1 hour") -> DataFrame
 def drain(stream: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
     """Run a stream over what is there now, into files of the shared folder, and read them."""
     spark = stream.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/lodestone-streams-{uuid.uuid4().hex}"
+    base = folder or shared_folder(spark)
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
