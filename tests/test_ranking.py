@@ -85,7 +85,7 @@ def test_export_and_names(spark, tmp_path):
 
 def test_tokens_and_their_parts(spark):
     one = lambda t: spark.range(1).select(U.tokens(F.lit(t)).alias("t")).first().t
-    assert one("base/fooBar.py v12") == ["base/foobar.py", "base", "foobar.py", "foobar", "py", "base/foo", "bar.py", "foo", "bar", "v12", "v", "12"]
+    assert one("base/fooBar.py v12") == ["base/foobar.py", "base", "foobar", "py", "base/foo", "bar.py", "foo", "bar", "v12", "v", "12"]
     assert one("") == []
 
 
