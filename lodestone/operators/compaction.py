@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard
 
 
+def representatives(rows: DataFrame, block: list[str], terms: str = "ts") -> DataFrame:
+    """(block, id, rep, ts): rows with terms, and the smallest id of their block with the same set."""
+    own = rows.select(*block, "id", F.col(terms).alias("ts")).filter(F.size("ts") > 0).withColumn("set", F.sha2(F.array_join(F.array_sort("ts"), "\0"), 256))
+    return own.join(own.groupBy(*block, "set").agg(F.min("id").alias("rep")), [*block, "set"]).drop("set")
+
+
 def near_pairs(rows: DataFrame, least: float, block: list[str], terms: str = "ts", probes: int = 8) -> DataFrame:
-    """Pairs (a < b) of a block with Jaccard of terms at least ``least``.
+    """Pairs (a < b) of a block with Jaccard of terms at least ``least``: those between the representatives of different sets, and
+    (representative, row, 1.0) for every other row of a set, so that a group of copies takes a row each and not all its pairs.
 
-    Each row is posted under its rarest terms, by frequency in the block; sets this
+    Each representative is posted under its rarest terms, by frequency in the block; sets this
     similar share one within the prefix length 1 + (1 - least) * size (capped to no less than
     ``probes``), so no block is joined with itself.
     """
-    t = rows.select(*block, "id", F.col(terms).alias("ts"), F.explode(terms).alias("term"))
+    reps = representatives(rows, block, terms)
+    copies = reps.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    t = reps.filter("id = rep").select(*block, "id", "ts", F.explode("ts").alias("term"))
     df = t.groupBy(*block, "term").agg(F.count("*").alias("df"))
     w = Window.partitionBy(*block, "id").orderBy("df", "term")
     ranked = t.join(df.filter("df > 1"), [*block, "term"]).withColumn("place", F.row_number().over(w))
@@ -25,7 +34,8 @@ def near_pairs(rows: DataFrame, least: float, block: list[str], terms: str = "ts
     b = prefix.select(*block, "term", F.col("id").alias("b"), F.col("ts").alias("y"))
     short = F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y"))
     pairs = a.join(b, [*block, "term"]).filter((F.col("a") < F.col("b")) & short)
-    return pairs.withColumn("score", jaccard(F.col("x"), F.col("y"))).filter(F.col("score") >= least).groupBy("a", "b").agg(F.max("score").alias("score"))
+    found = pairs.withColumn("score", jaccard(F.col("x"), F.col("y"))).filter(F.col("score") >= least).groupBy("a", "b").agg(F.max("score").alias("score"))
+    return found.unionByName(copies)
 
 
 def merged_summary(rows: DataFrame, key: str, most: int = 1200) -> DataFrame:

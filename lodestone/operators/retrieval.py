@@ -33,7 +33,7 @@ def bm25(asks: DataFrame, post: DataFrame, n: int = 100, k1: float = 1.2, b: flo
     """Binary BM25 (every term of a document counts once)."""
     stats = post.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("mean"))
     q = query_terms(asks)
-    df = post.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = post.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     one = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
     # stats is one row; q has at most twelve rows a query

@@ -53,8 +53,9 @@ def failures(samples: DataFrame, low: float = 0.2, drop: float = 0.05, top: int
     """Up to ``top`` samples of each failure class: negative_saving, low_saving, over_budget, fallback,
     quality_drop (recall more than ``drop`` under the best of its baseline and budget)."""
     s = finalised(samples)
-    best = F.max("recall").over(Window.partitionBy("baseline", "budget"))
-    s = s.withColumn("best", best)
+    # few groups: their best is aggregated before the shuffle, and joined back (the budget may be null)
+    best = s.groupBy(F.col("baseline").alias("b_"), F.col("budget").alias("u_")).agg(F.max("recall").alias("best"))
+    s = s.join(best, F.col("baseline").eqNullSafe(F.col("b_")) & F.col("budget").eqNullSafe(F.col("u_"))).drop("b_", "u_")
     kinds = [
         F.when(F.col("saved") < 0, "negative_saving"),
         F.when((F.col("saved") >= 0) & (F.col("ratio") < low), "low_saving"),

@@ -102,7 +102,8 @@ def context_audit(spark, d):
 SETS = ", src AS (SELECT id, kind, summary FROM evidence), " + sql_terms("st", "src", "id", "summary", 40) + ", sets AS (SELECT id, list(term) AS ts FROM st GROUP BY 1)"
 
 
-@query("SELECT a.id AS a, b.id AS b, round(len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))), 6) AS score FROM src a JOIN src b ON a.kind = b.kind AND a.id < b.id JOIN sets x ON x.id = a.id JOIN sets y ON y.id = b.id WHERE len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))) >= 0.8", V.EVIDENCE + SETS)
+@query("""SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))), 6) AS score FROM rep x JOIN rep y ON x.kind = y.kind AND x.id < y.id WHERE x.id = x.rep AND y.id = y.rep AND len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))) >= 0.8
+UNION ALL SELECT rep, id, 1.0 FROM rep WHERE id <> rep""", V.EVIDENCE + SETS + ", rep AS (SELECT id, kind, ts, min(id) OVER (PARTITION BY kind, list_sort(ts)) AS rep FROM src JOIN sets USING (id))")
 def compaction_pairs(spark, d):
     rows = V.evidence(spark, d).select("id", "kind", T.terms(F.col("summary"), 40).alias("ts"))
     return C.near_pairs(rows, 0.8, ["kind"]).withColumn("score", F.round("score", 6))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import select as P
 from ..sources import views as V
+from .ranking import WRITES
 from .registry import query
 from .retrieval import POST, channels
 
@@ -50,11 +51,7 @@ def leader_clusters(spark, d):
     return P.leaders(pool(spark, d), near=0.3)
 
 
-WRITES = ", w AS (SELECT id, project, t, sha256(text) AS digest, text FROM evidence)"
-
-
-@query("""WITH""" + V.EVIDENCE + WRITES + """, cls AS (SELECT n.id, max(CASE WHEN n.digest = o.digest THEN 1 ELSE 0 END) AS same FROM (SELECT * FROM w WHERE id % 3 = 0) n LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY t DESC, id DESC) AS rn FROM w WHERE id % 3 <> 0) WHERE rn <= 20) o USING (project) GROUP BY 1) SELECT id, same = 1 AS is_exact FROM cls""")
+@query("SELECT id, CASE WHEN same = 1 THEN 'exact_duplicate' WHEN score >= 0.92 THEN 'near_duplicate' WHEN score >= 0.84 THEN 'delta' ELSE 'new' END AS class FROM cls", V.EVIDENCE + WRITES)
 def write_classes(spark, d):
     rows = V.evidence(spark, d).select("id", "project", "t", F.sha2("text", 256).alias("digest"), T.terms(F.col("text")).alias("ts"))
-    out = P.write_class(rows.filter("id % 3 = 0"), rows.filter("id % 3 <> 0"), "project")
-    return out.select("id", (F.col("class") == "exact_duplicate").alias("is_exact"))
+    return P.write_class(rows.filter("id % 3 = 0"), rows.filter("id % 3 <> 0"), "project")
