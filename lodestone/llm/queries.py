@@ -27,16 +27,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document its words, how many repeat earlier passages of 20 words, and a digest of the rest. Nulls, repeated ids: substring_dedup."""
     out = substring_dedup(_table(spark, sf_dir, "documents"), min_words=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document its lines, how many are later copies of lines on five sites or more, and a digest of the rest (null for a null text). Repeated ids: line_dedup."""
     out = line_dedup(_table(spark, sf_dir, "documents"), min_sites=5)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each conversation, and of one with marks inside its texts, digests of the turns and of the text under the loss mask, read back from the formatted text."""
     says = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn int, role string, text string")
     chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -44,11 +47,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document its words, those inside windows of benchmark items, and these items. Nulls, repeated ids: decontaminate."""
     out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, share=0.05)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document its tokens, and digests of the ids and of what they decode to; a null text has none."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,29 +66,34 @@ def _held(folds: int, fold: int):
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of each document by a model of the other folds; a null or empty text scores by the bias, a null id is held out of no fold."""
     docs = _table(spark, sf_dir, "documents")
     out = score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels"), folds=5, held=0))
     return out.select("doc_id", _held(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector. Unsound vectors and ties: nearest."""
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of each document by a lexicon of the other folds; a null or empty text has no hits."""
     docs = _table(spark, sf_dir, "documents")
     out = score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"), folds=5, held=0))
     return out.select("doc_id", _held(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "hits")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document by samples of the other folds; `und` without a letter."""
     docs = _table(spark, sf_dir, "documents")
     out = predict_language(docs, fit_language_samples(docs, folds=4, held=2))
     return out.select("doc_id", _held(4, 2), "lang_pred", "score")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document by links of 90 % of three-word shingles. Nulls, repeated ids: jaccard_join."""
     return jaccard_join(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
