@@ -179,3 +179,42 @@ def error_trace(text: Column) -> Column:
 def first_metric(payload: Column, names: Sequence[str]) -> Column:
     """The first of the names that the payload's metrics, or the payload itself, hold."""
     return F.coalesce(*(F.get_json_object(payload, f"$.{where}{n}").cast("double") for n in names for where in ("metrics.", "")))
+
+
+def redacted_json(c: Column) -> Column:
+    """JSON text without its secrets at any depth: secret fields by name, all strings by what they hold. Null and broken JSON are
+    redacted as plain text. A nested value has no fixed shape, so this one is a Pandas UDF."""
+    import json
+    import re
+
+    import pandas as pd
+
+    from ..functions.text import MARKER, SECRET_FIELD, SECRETS
+
+    patterns = [(re.compile(p), r.replace("$1", r"\g<1>")) for _, p, r in SECRETS]
+
+    def text(s: str) -> str:
+        for p, r in patterns:
+            s = p.sub(r, s)
+        return s
+
+    def walk(v):
+        if isinstance(v, dict):
+            return {k: MARKER if re.search(SECRET_FIELD, k) else walk(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [walk(x) for x in v]
+        return text(v) if isinstance(v, str) else v
+
+    def one(s):
+        if s is None:
+            return None
+        try:
+            return json.dumps(walk(json.loads(s)), ensure_ascii=False)
+        except ValueError:
+            return text(s)
+
+    @F.pandas_udf("string")
+    def redact(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return redact(c)

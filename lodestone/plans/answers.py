@@ -184,3 +184,83 @@ def vector_operator(spark, d):
     rows = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     hits = R.vector_top(rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "v"), rows, 10)
     return hits.join(V.evidence(spark, d).filter(L.eligible()).select("id", "t"), "id").select("query_id", "id", "rank", F.round("score", 6).alias("score"), F.lit("vector").alias("origin"), "t")
+
+
+# --- shortcuts, completion, probes, parsed runs
+
+
+SNAP = ", snap AS (SELECT task_id, arg_max(id, (t, id)) AS id FROM evidence GROUP BY 1), shortcut AS (SELECT o.query_id, s.task_id, s.id, 0.5 * o.term_share + 0.2 * e.importance + CASE WHEN e.state IN ('active', 'stable') THEN 0.1 ELSE 0 END AS score FROM ov o JOIN snap s USING (id) JOIN evidence e USING (id))"
+
+
+@query("SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM shortcut WHERE score >= 0.1) WHERE rank <= 3", V.EVIDENCE, V.ASKS + H.FEATURES + H.OVER + SNAP)
+def object_shortcuts(spark, d):
+    """Answers from the newest row of each task, before any search: the three best a query."""
+    ev = V.evidence(spark, d)
+    snap = ev.groupBy("task_id").agg(F.max_by("id", F.struct("t", "id")).alias("id"))
+    state = F.when(F.col("state").isin("active", "stable"), 0.1).otherwise(0.0)
+    rows = H.pairs(spark, d).select("query_id", "id", "term_share").join(snap, "id").join(ev.select("id", "importance", "state"), "id")
+    score = 0.5 * F.col("term_share") + 0.2 * F.col("importance") + state
+    return R.ranked(rows.select("query_id", "id", score.alias("score")).filter("score >= 0.1"), 3).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT s.query_id, s.id, h.before, h.after FROM sq s JOIN (SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM evidence WINDOW w AS (PARTITION BY session_id ORDER BY t, id)) h USING (id) WHERE s.rank <= 5", V.EVIDENCE, V.ASKS + H.FEATURES + H.OVER + SQUASHED)
+def completed_histories(spark, d):
+    """The best rows with what came before and after them in their session."""
+    w = Window.partitionBy("session_id").orderBy("t", "id")
+    near = V.evidence(spark, d).select("id", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
+    return squashed(spark, d).filter("rank <= 5").select("query_id", "id").join(near, "id").select("query_id", "id", "before", "after")
+
+
+@query("SELECT s.query_id, s.id, count(o.id) AS n, min(o.id) AS first FROM sq s JOIN evidence e USING (id) LEFT JOIN evidence o ON o.session_id = e.session_id AND o.kind = 'instruction' AND o.id <> s.id WHERE s.rank <= 5 GROUP BY 1, 2", V.EVIDENCE, V.ASKS + H.FEATURES + H.OVER + SQUASHED)
+def completed_context(spark, d):
+    """The best rows with the instructions of their session."""
+    ev = V.evidence(spark, d)
+    rules = ev.filter("kind = 'instruction'").select("session_id", F.col("id").alias("o"))
+    top = squashed(spark, d).filter("rank <= 5").select("query_id", "id").join(ev.select("id", "session_id"), "id")
+    other = F.when(F.col("o") != F.col("id"), F.col("o"))
+    return top.join(rules, "session_id", "left").groupBy("query_id", "id").agg(F.count(other).alias("n"), F.min(other).alias("first"))
+
+
+@query("SELECT kind, value, count(*) AS n, min(id) AS first FROM (SELECT DISTINCT id, kind, value FROM (SELECT id, 'term' AS kind, term AS value FROM tm UNION ALL SELECT id, 'kind', kind FROM evidence)) GROUP BY 1, 2 HAVING count(*) >= 5", V.EVIDENCE + ", src AS (SELECT id, title FROM evidence), " + sql_terms("tm", "src", "id", "title", 20))
+def derived_objects(spark, d):
+    """Values that five rows or more share, as objects of their own."""
+    ev = V.evidence(spark, d)
+    rows = ev.select("id", F.lit("term").alias("kind"), F.explode(T.terms(F.col("title"), 20)).alias("value")).unionByName(ev.select("id", F.lit("kind").alias("kind"), F.col("kind").alias("value")))
+    return rows.distinct().groupBy("kind", "value").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n >= 5")
+
+
+@query("SELECT query_id, probe, count(*) AS n, min(id) AS first FROM (SELECT query_id, id, 'sparse' AS probe FROM bm25 WHERE rank <= 10 UNION ALL SELECT query_id, id, 'proxy' FROM proxy WHERE rank <= 10 UNION ALL SELECT query_id, id, 'recent' FROM recent WHERE rank <= 10) GROUP BY 1, 2", V.EVIDENCE, V.ASKS + POST)
+def probe_runs(spark, d):
+    """What each probe found, by its name."""
+    c = channels(spark, d)
+    rows = None
+    for name, probe in (("bm25", "sparse"), ("proxy", "proxy"), ("recent", "recent")):
+        one = c[name].filter("rank <= 10").select("query_id", "id", F.lit(probe).alias("probe"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("query_id", "probe").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+@query("SELECT query_id, id, rank::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON b.label % 2 = 1 WHERE a.vec_id % 50 = 0) WHERE rank <= 5")
+def filtered_vectors(spark, d):
+    """Nearest vectors among those of some kinds."""
+    e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    asks = e.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "v")
+    return R.vector_top(asks, e.filter("label % 2 = 1"), 5).select("query_id", "id", "rank")
+
+
+@query("SELECT run_id, CASE WHEN run_id % 5 = 0 THEN NULL ELSE dataset END AS dataset, CASE WHEN run_id % 5 = 0 THEN NULL WHEN run_id % 2 = 0 THEN metric ELSE questions::DOUBLE END AS metric, run_id % 5 <> 0 AS parsed FROM runs", V.RUNS)
+def parsed_runs(spark, d):
+    """Run rows from JSON of several shapes; what can't be parsed keeps its row."""
+    i = F.col("run_id")
+    body = F.when(i % 5 == 0, "{broken").when(i % 2 == 0, F.to_json(F.struct("dataset", F.struct("metric").alias("metrics")))).otherwise(F.to_json(F.struct("dataset", F.col("questions").alias("metric"))))
+    rows = V.runs(spark, d).select("run_id", body.alias("body"))
+    name = F.get_json_object("body", "$.dataset")
+    value = F.coalesce(F.get_json_object("body", "$.metrics.metric"), F.get_json_object("body", "$.metric")).cast("double")
+    return rows.select("run_id", name.alias("dataset"), value.alias("metric"), name.isNotNull().alias("parsed"))
+
+
+@query("SELECT dataset, budget, count(*) AS n, sum(least(questions * 40, budget))::BIGINT AS tokens FROM runs, (SELECT unnest([1000, 2000]) AS budget) WHERE run_type <> 'smoke' GROUP BY 1, 2", V.RUNS)
+def economy_inputs(spark, d):
+    """Token-economy inputs from benchmark runs: every run under every budget."""
+    rows = V.runs(spark, d).filter("run_type <> 'smoke'").select("dataset", "questions", F.explode(F.array(F.lit(1000), F.lit(2000))).alias("budget"))
+    return rows.groupBy("dataset", "budget").agg(F.count("*").alias("n"), F.sum(F.least(F.col("questions") * 40, F.col("budget"))).alias("tokens"))

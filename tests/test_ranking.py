@@ -109,3 +109,12 @@ def test_splice_puts_rows_at_their_place(spark):
     rows = spark.createDataFrame([(1, i, i) for i in range(1, 8)], "query_id long, id long, rank int")
     chosen = spark.createDataFrame([(1, 90, (1, 1)), (1, 6, (1, 2))], "query_id long, id long, order struct<a: int, b: int>")
     assert [r.id for r in X.splice(rows, chosen, 3).orderBy("rank").collect()] == [1, 2, 90, 6, 3, 4, 5, 7]
+
+
+def test_nested_payloads_are_redacted(spark):
+    import json
+
+    rows = ['{"a": [{"Api-Key": {"x": 1}}, "pwd=abc"], "n": 2, "token": "t", "tokens": 5}', "{broken password: xyz", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "s string").select(S.redacted_json(F.col("s"))).collect()]
+    assert json.loads(got[0]) == {"a": [{"Api-Key": "[REDACTED]"}, "pwd=[REDACTED]"], "n": 2, "token": "[REDACTED]", "tokens": 5}
+    assert got[1] == "{broken password: [REDACTED]" and got[2] is None
