@@ -5,11 +5,16 @@ A step takes tables and returns the rows to append or the new state of rows; not
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import MARKER, SECRET_FIELD, SECRETS
+
 # Maintenance jobs by trigger; a trigger without an entry refreshes the projection.
 TRIGGER_JOBS = {
     "session_ended": ("refresh_projection", "prepare_next_session_context"),
@@ -184,13 +189,6 @@ def first_metric(payload: Column, names: Sequence[str]) -> Column:
 def redacted_json(c: Column) -> Column:
     """JSON text without its secrets at any depth: secret fields by name, all strings by what they hold. Null and broken JSON are
     redacted as plain text. A nested value has no fixed shape, so this one is a Pandas UDF."""
-    import json
-    import re
-
-    import pandas as pd
-
-    from ..functions.text import MARKER, SECRET_FIELD, SECRETS
-
     patterns = [(re.compile(p), r.replace("$1", r"\g<1>")) for _, p, r in SECRETS]
 
     def text(s: str) -> str:
