@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,7 +49,10 @@ class Scratch:
         return out
 
     def clear(self) -> None:
-        """Delete all tables written so far. No table that is still to be read may depend on them."""
+        """Delete all tables written so far. No table that is still to be read may depend on them. The driver's garbage is
+        collected too, as Spark keeps the shuffle files of finished jobs until then."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for p in self.paths:
             path = jvm.org.apache.hadoop.fs.Path(p)
