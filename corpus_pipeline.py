@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._spark import cut, small_batches
+from lodestone.llm._spark import Scratch, cut, small_batches
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.jaccard_join import components, jaccard_join
@@ -37,17 +37,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     document lose all lines but the first one's, so what is left of them no longer shows what they were. Rows
     without words link with nothing by that text. Rows with a null or repeated id go by their own text alone.
     """
-    docs = cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("was"))
-    once = ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("was")).alias("n_was")).filter("n = 1 and doc_id is not null")
-    alone = docs.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m = 1 and doc_id is not null")
-    changed = docs.join(alone, "doc_id").join(once, "doc_id").filter("coalesce(n_chars, -1) <> coalesce(n_was, -1)").select("doc_id", "row")
-    before = ids.join(changed, "doc_id").select("row", F.lit(True).alias("cut"), "was")
-    before = docs.select("row", "text").join(before, "row", "left").select("row", F.when(F.col("cut"), F.col("was")).otherwise(F.col("text")).alias("text"))
-    now, was = (cut(jaccard_join(rows, id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), F.col("component_id").alias(name))) for rows, name in ((docs, "now"), (before, "was")))
+    docs = docs.select(*COLUMNS)
+    many = docs.groupBy("doc_id").agg(F.count("*").alias("m"))
+    if many.filter("m > 1 or doc_id is null").isEmpty():
+        docs = docs.withColumn("row", F.col("doc_id"))
+    else:  # rows get a number of their own, written once so that it stays
+        docs = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    now = cut(jaccard_join(docs, id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), F.col("component_id").alias("now")))
+    scratch = Scratch(spark)
+    scratch.clear()
+    was = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    once = was.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
+    kept = docs.select("doc_id", "row").join(many.filter("m = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi").join(once, "doc_id", "left_semi")
+    before = scratch.cut(was.join(kept, "doc_id").select("row", "text"))
+    was = cut(jaccard_join(before, id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), F.col("component_id").alias("was")))
+    scratch.clear()
     # groups by either text that share a document are one
-    both = now.join(was, "row")
-    joined = components(both.select(F.col("now").alias("u"), F.col("was").alias("v"))).select(F.col("v").alias("now"), "comp")
+    joined = components(now.join(was, "row").select(F.col("now").alias("u"), F.col("was").alias("v"))).select(F.col("v").alias("now"), "comp")
     group = now.join(joined, "now", "left").select("row", F.coalesce("comp", "now").alias("group"))
     first = docs.select("row", "doc_id").join(group, "row").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
     return docs.join(first, "row", "left_semi").select(*COLUMNS)
