@@ -46,6 +46,7 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         out, path = cut_to(df)
         self.paths.append(path)
+        self.spark.sparkContext._jvm.System.gc()  # else the job's shuffle files stay until the driver happens to collect
         return out
 
     def clear(self) -> None:
