@@ -54,10 +54,51 @@ both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
 SELECT r.id AS doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(other) AS component_id FROM reach r LEFT JOIN size s ON s.id = r.id GROUP BY r.id"""
 
+#: crc32 of an id's decimal text
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({id}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR)::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+OP11 = f"""WITH RECURSIVE told AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars')))} AS head, text, {_CRC.format(id='doc_id')} % 2 = 0 AS tampered FROM documents),
+leaf AS (SELECT doc_id, g, sha256(head || {_field('text')}) AS leaf, CASE WHEN tampered THEN sha256(head || {_field("replace(text, chr(10), '')")}) ELSE sha256(head || {_field('text')}) END AS seen,
+  row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM told),
+low(g, level, place, n, h) AS (SELECT g, 0, place, n, leaf FROM leaf
+  UNION ALL SELECT g, any_value(level) + 1, place // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY place)) FROM low WHERE n > 1 GROUP BY g, place // 3),
+sub AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, place, n, h) AS (SELECT 0, place, n, h FROM sub
+  UNION ALL SELECT any_value(level) + 1, place // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY place)) FROM high WHERE n > 1 GROUP BY place // 3),
+steps AS (SELECT l.doc_id, l.g, t.level, string_agg(t.h, '' ORDER BY t.place) FILTER (WHERE t.place < l.place // (3 ** t.level)::BIGINT) AS a, string_agg(t.h, '' ORDER BY t.place) FILTER (WHERE t.place > l.place // (3 ** t.level)::BIGINT) AS b
+  FROM leaf l JOIN low t ON t.g = l.g AND t.n > 1 AND t.place // 3 = l.place // (3 ** (t.level + 1))::BIGINT GROUP BY l.doc_id, l.g, l.leaf, t.level
+  UNION ALL SELECT l.doc_id, l.g, 1000 + t.level, string_agg(t.h, '' ORDER BY t.place) FILTER (WHERE t.place < s.place // (3 ** t.level)::BIGINT), string_agg(t.h, '' ORDER BY t.place) FILTER (WHERE t.place > s.place // (3 ** t.level)::BIGINT)
+  FROM leaf l JOIN sub s USING (g) JOIN high t ON t.n > 1 AND t.place // 3 = s.place // (3 ** (t.level + 1))::BIGINT GROUP BY l.doc_id, l.g, l.leaf, t.level),
+proof AS (SELECT doc_id, g, list({{'a': coalesce(a, ''), 'b': coalesce(b, '')}} ORDER BY level) AS p FROM steps GROUP BY ALL),
+folded(doc_id, g, i, p, h) AS (SELECT l.doc_id, l.g, 1, coalesce(p, []), seen FROM leaf l LEFT JOIN proof USING (doc_id, g)
+  UNION ALL SELECT doc_id, g, i + 1, p, sha256(p[i].a || h || p[i].b) FROM folded WHERE i <= len(p))
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(array_to_string(list_transform(f.p, lambda x: x.a || x.b), '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM leaf l JOIN sub s USING (g) JOIN high r ON r.n = 1 JOIN folded f ON f.doc_id = l.doc_id AND f.g = l.g AND f.i = len(f.p) + 1"""
+
+OP13 = f"""WITH told AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS k, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {_CRC.format(id='c')} % 6 AS h FROM (SELECT DISTINCT c FROM told)),
+built AS (SELECT i.c, 0 AS part, t.k, r, x FROM ids i JOIN told t ON t.c = i.c - i.c % 100 WHERE t.k < i.h UNION ALL SELECT i.c, 1, t.k, r, x FROM ids i JOIN told t ON t.c = i.c WHERE t.k >= i.h),
+path AS (SELECT c, row_number() OVER w AS d, length(x) AS m, string_agg(length(r) || ':' || r || length(x) || ':' || x, '') OVER w AS p FROM built WINDOW w AS (PARTITION BY c ORDER BY part, k) UNION ALL SELECT c, 0, 0, '' FROM ids),
+node AS (SELECT p, d, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(m) AS saved FROM path GROUP BY p, d),
+last AS (SELECT c, max(d) AS d FROM path GROUP BY c),
+ends AS (SELECT p, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM path JOIN last USING (c, d) GROUP BY p),
+child AS (SELECT a.p, count(*) AS n FROM node u JOIN path a ON a.c = u.c AND a.d = u.d - 1 GROUP BY a.p),
+tree AS (SELECT a.p, sum(u.saved)::BIGINT AS saved, (count(*) FILTER (WHERE x.p IS NULL))::BIGINT AS leaves FROM node u LEFT JOIN child x ON x.p = u.p JOIN path a ON a.c = u.c AND a.d <= u.d GROUP BY a.p)
+SELECT u.c AS conv_id, u.d AS depth, o.c AS parent_conv_id, u.n AS n_convs, coalesce(x.n, 0) AS n_children, t.leaves AS n_leaves, t.saved AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM node u JOIN tree t ON t.p = u.p LEFT JOIN child x ON x.p = u.p LEFT JOIN ends e ON e.p = u.p LEFT JOIN path a ON a.c = u.c AND a.d = u.d - 1 LEFT JOIN node o ON o.p = a.p"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
     "op2_line_dedup": line_dedup.SQL,
     "op3_chat_format": OP3,
     "op4_decontaminate": OP4,
     "op10_jaccard_join": OP10,
+    "op11_merkle_manifest": OP11,
+    "op13_prefix_trie": OP13,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from ._spark import bucket_of, small_batches
+from ._spark import bucket_of, cut, small_batches
 from .ann import nearest
 from .bpe import round_trip
 from .chat_format import format_chats, read_back
@@ -16,7 +16,10 @@ from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
 from .langid import fit_language_samples, predict_language
 from .line_dedup import line_dedup
+from .merkle import fold, leaf_of, merkle_manifest, siblings
+from .prefix_trie import branched, placed_turns, prefix_trie
 from .quality import fit_quality, score_quality
+from .sanitise import KINDS, sanitise
 from .substring_dedup import substring_dedup
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -97,6 +100,39 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle proof of each document, and the root that it gives for the document as it is now: where 2 divides the crc32 of the id, newlines were
+    deleted from the text. Null, repeated ids: merkle_manifest; a null id has no crc32 and is left alone."""
+    docs = _table(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    now = F.replace("text", F.lit("\n"), F.lit(""))
+    seen = F.when((bucket_of(F.col("doc_id"), 2) == 0) & F.contains("text", F.lit("\n")), leaf_of(*(now if c == "text" else F.col(c) for c in names)))
+    rows = docs.select("doc_id", "source", leaf_of(*map(F.col, names)).alias("leaf"), seen.alias("seen"))
+    out = merkle_manifest(rows, by="source", order="doc_id", keep=("doc_id", "seen"))
+    out = out.withColumn("folded_root", fold(F.col("proof"), F.coalesce("seen", "leaf")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+def op12_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of each document: counts and digest of the spans found by pattern, and all spans, with the terms that disclose them. Nulls, repeated rows: sanitise."""
+    out = sanitise(_table(spark, sf_dir, "documents"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    return out.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun anew with up to five turns of the conversation of its hundred. Nulls, ties: placed_turns, prefix_trie."""
+    turns = cut(placed_turns(_table(spark, sf_dir, "conversations")))
+    conv = F.col("conv_id")
+    return prefix_trie(branched(turns, conv - conv % 100, bucket_of(conv, 6))).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -108,6 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sanitise": op12_sanitise,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
