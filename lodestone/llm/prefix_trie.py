@@ -24,8 +24,6 @@ from .merkle import field
 
 _CHAIN = "conv_id long, depth long, node binary, parent binary, chars long, more boolean"
 _ENDS = "node binary, first long, ids string"
-#: characters of ids that one row of a node's ends holds at most, about
-CHUNK = 1 << 16
 
 
 def placed_turns(chats: DataFrame) -> DataFrame:
@@ -77,21 +75,25 @@ def _rows(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=[x.split()[0] for x in _CHAIN.split(", ")])
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(piece: int):
     """Ids sorted by node -> pieces of their comma-joined text."""
-    node, first, ids, size = None, 0, [], 0
-    for batch in batches:
-        out: list[tuple] = []
-        for n, c in zip(*(batch.column(i).to_pylist() for i in range(2))):
-            if ids and (n != node or size >= CHUNK):
-                out.append((node, first, ",".join(ids)))
-                ids, size = [], 0
-            if not ids:
-                node, first = n, c
-            ids.append(str(c))
-            size += len(ids[-1]) + 1
-        yield _pieces(out)
-    yield _pieces([(node, first, ",".join(ids))] if ids else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, first, ids, size = None, 0, [], 0
+        for batch in batches:
+            out: list[tuple] = []
+            for n, c in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                if ids and (n != node or size >= piece):
+                    out.append((node, first, ",".join(ids)))
+                    ids, size = [], 0
+                if not ids:
+                    node, first = n, c
+                ids.append(str(c))
+                size += len(ids[-1]) + 1
+            yield _pieces(out)
+        yield _pieces([(node, first, ",".join(ids))] if ids else [])
+
+    return run
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
@@ -118,14 +120,15 @@ def _sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([digest.hexdigest()], pa.string())], names=names)
 
 
-def prefix_trie(turns: DataFrame) -> DataFrame:
+def prefix_trie(turns: DataFrame, piece: int = 1 << 16) -> DataFrame:
     """A row per distinct sequence of first turns: conv_id (its smallest member), depth, parent_conv_id (null for the root), n_convs
     (members), n_children, n_leaves (childless nodes in its subtree), saved_tokens (over its subtree, members but one
     times the characters of the last turn), ends_sha256 (of the ascending, comma-joined ids of members that end there), node (its key).
 
     turns: conv_id, place, digest, chars as from branched(): a row with a null place for every conversation, also those without
     turns, which are members of the root alone. Repeated turns stay. An empty table gives an empty trie. A conversation
-    of any length streams through one task, which needs the memory of one turn; copies of a conversation meet only in sums.
+    of any length streams through one task, which needs the memory of one turn; copies of a conversation meet only in sums. Ids of copies are
+    joined in pieces of about ``piece`` characters by ranges, and a digest takes a node's pieces in order.
     """
     steps = turns.select("conv_id", "digest", "chars", "place").repartition("conv_id").sortWithinPartitions("conv_id", F.col("place").asc_nulls_first())
     rows = cut(steps.mapInArrow(_chain, _CHAIN))
@@ -150,7 +153,7 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     own = nodes.filter("depth = 0 or depth > own_from").withColumn("parent_conv_id", F.when(F.col("depth") > 0, F.col("conv_id")))
     parents = nodes.filter("n_children > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("n"))
     others = hot_join(nodes.filter("depth > 0 and depth = own_from"), parents, ["parent"])
-    ends = rows.filter("not more").select("node", "conv_id").repartitionByRange("node", "conv_id").sortWithinPartitions("node", "conv_id").mapInArrow(_joined, _ENDS)
+    ends = rows.filter("not more").select("node", "conv_id").repartitionByRange("node", "conv_id").sortWithinPartitions("node", "conv_id").mapInArrow(_joined(piece), _ENDS)
     ends = ends.repartition("node").sortWithinPartitions("node", "first").select("node", "ids").mapInArrow(_sealed, "node binary, ends_sha256 string")
     out = own.unionByName(others).join(ends, "node", "left")
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"), "node")
