@@ -82,12 +82,15 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], most_hot: int =
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send whole texts to Python in batches of at most so many rows: with long texts the default of
-    10,000 takes hundreds of megabytes a task. A setting of the session; a lower one stays."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Send whole texts to Python in batches of at most so many rows and bytes (a longer text is a batch of its own): with long
+    texts the default of 10,000 rows takes hundreds of megabytes a task. Settings of the session; lower ones stay."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name, str(1 << 30)).rstrip("bB") or 0) <= size:
+        spark.conf.set(name, str(size))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,6 +102,11 @@ def keyed_columns(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
 
 
+def row_of(text: Column) -> Column:
+    """Tells rows that share an id apart by their texts, the same in every scan (null: 0); rows alike in both are one document."""
+    return F.when(text.isNull(), 0).otherwise(F.xxhash64(text)).cast("long").alias("row")
+
+
 def one_text(rows: DataFrame, *keys: str) -> DataFrame:
     """Of the rows of each key the text with the smallest hash, so that repeated ids can't outgrow a bound on rows."""
     return rows.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(*keys, "t.text")

@@ -6,6 +6,7 @@ cut on the UTF-8 bytes: no byte of a multi-byte character is a separator.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ ALNUM = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_TABLE = np.random.RandomState(20240229).randint(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+#: words of more bytes are hashed one by one
+LONG = 64
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -54,7 +57,8 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any span of a sequence of 64-bit values, from prefix sums of a polynomial."""
+    """Hashes of any span of a sequence of 64-bit values, from prefix sums of a polynomial. For spans of up to a few
+    hundred values: an odd base modulo 2**64 has long sequences of two values that collide by construction."""
 
     def __init__(self, values: np.ndarray, base: int):
         n = len(values)
@@ -66,7 +70,28 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.back[start], 7) + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
 
 
-_BYTES, _WORDS, _WORDS2 = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85
+_WORDS, _WORDS2 = 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of byte strings: eight bytes at a time through a scrambler, blake2b for long ones. Different seeds are independent."""
+    size, eight = end - start, lanes(data)
+    out = mix(size.astype(_U), seed)
+    at = np.arange(len(size))
+    for done in range(0, LONG, 8):
+        at = at[size[at] > done] if done else at
+        if not len(at):
+            break
+        out[at] = mix(out[at] ^ (eight[start[at] + done] & _TAIL[np.minimum(size[at] - done, 8)]), seed)
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, person=b"%d" % seed).digest(), "little")
+    return out
 
 
 class Words:
@@ -84,7 +109,7 @@ class Words:
         last[at] = inside[at]
         self.data, self.edges = data, edges
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.hash = Rolling(_TABLE[data], _BYTES).span(self.start, self.end)
+        self.hash = hashed(data, self.start, self.end, 21)
         #: words before each document; document of each word
         self.before = np.searchsorted(self.start, edges)
         self.doc = np.repeat(np.arange(len(edges) - 1), np.diff(self.before))
@@ -96,8 +121,27 @@ class Words:
         return Rolling(self.hash, _WORDS)
 
     def rolling2(self) -> Rolling:
-        """Independent of rolling()."""
-        return Rolling(mix(self.hash, 11), _WORDS2)
+        """Independent of rolling(), down to the words."""
+        return Rolling(hashed(self.data, self.start, self.end, 22), _WORDS2)
+
+
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether words i of a and j of b, pair by pair, are equal, byte by byte."""
+    size = a.end[i] - a.start[i]
+    out = size == b.end[j] - b.start[j]
+    one, two = lanes(a.data), lanes(b.data)
+    at = np.flatnonzero(out)
+    for done in range(0, LONG, 8):
+        at = at[size[at] > done]
+        if not len(at):
+            break
+        tail = _TAIL[np.minimum(size[at] - done, 8)]
+        equal = (one[a.start[i[at]] + done] & tail) == (two[b.start[j[at]] + done] & tail)
+        out[at[~equal]] = False
+        at = at[equal]
+    for k in at[size[at] > LONG]:
+        out[k] = np.array_equal(a.data[a.start[i[k]] : a.end[i[k]]], b.data[b.start[j[k]] : b.end[j[k]]])
+    return out
 
 
 def pieces(text: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

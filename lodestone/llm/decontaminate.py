@@ -8,8 +8,9 @@ join these prefix tokens; the token's place in the window fixes where the window
 start (positional bound) and it must end inside the document (length bound); the
 remaining candidates are compared word by word.
 
-The benchmark is sent to the tasks, in blocks of at most ``block_bytes`` of text: one
-block as a rule; a larger benchmark takes a pair of passes for each block.
+The benchmark is sent to the tasks, in blocks of at most ``block_bytes`` of text (4 MB take
+about 150 MB as an index): one block as a rule; a larger benchmark takes a pair of passes
+for each block.
 """
 
 from __future__ import annotations
@@ -23,54 +24,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import chained, cut, keyed_columns, real_id
-from ._text import ALNUM, LOWER, Rolling, Words, pieces
+from ._text import ALNUM, LOWER, Rolling, Words, pieces, same_words
 
 _BITS = 20
 
 
 class _Index:
-    """The distinct windows of a block, and the tokens (n-grams) of each."""
+    """The distinct windows of a block, and the n-gram at each place of its words.
 
-    def __init__(self, texts: list[bytes], window: int, gram: int):
+    All arrays have a number per word of the block, none a row per word of a window: about 150 bytes a word.
+    """
+
+    def __init__(self, texts: list[bytes], items: list[int], window: int, gram: int):
         data = LOWER[np.frombuffer(b"".join(texts), dtype=np.uint8)]
-        words = Words(data, np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64), ALNUM)
+        self.words = words = Words(data, np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64), ALNUM)
+        self.gram = gram
         per = np.diff(words.before)
         size = np.minimum(per, window)
         many = np.where(per > 0, per - size + 1, 0)
-        item = np.repeat(np.arange(len(texts)), many)
+        text = np.repeat(np.arange(len(texts)), many)
         start = np.repeat(words.before[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        size = size[item]
-        names = np.stack([words.rolling().span(start, start + size), words.rolling2().span(start, start + size), size.astype(np.uint64)], axis=1)
-        _, first, self.of = np.unique(names, axis=0, return_index=True, return_inverse=True)
-        order = np.argsort(self.of.ravel(), kind="stable")
-        self.items = item[order]  # of window i: items[at[i]:at[i + 1]]
-        self.at = np.r_[0, np.cumsum(np.bincount(self.of.ravel(), minlength=len(first)))].astype(np.int64)
-        self.start, self.size = start[first], size[first]
-        pad = np.minimum(self.start[:, None] + np.arange(window), max(len(words) - 1, 0))
-        self.words = words.hash[pad] if len(words) else np.zeros((0, window), np.uint64)
-        self.used = np.arange(window) < self.size[:, None]
-        # tokens by length: words of windows under the n-gram's length are one token
-        self.width = np.minimum(self.size, gram)
+        size = size[text]
         roll = words.rolling()
-        width, number, place, value = [], [], [], []
-        for w in np.unique(self.width):
-            for o in range(window - w + 1):
-                has = np.flatnonzero((self.width == w) & (self.size - w >= o))
-                number.append(has)
-                place.append(np.full(len(has), o))
-                width.append(np.full(len(has), w))
-                value.append(roll.span(self.start[has] + o, self.start[has] + o + w))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.t_window, self.t_place, self.t_width, self.t_value = join(number, np.int64), join(place, np.int64), join(width, np.int64), join(value, np.uint64)
-        self.tokens = np.unique(self.t_value)
+        names = np.empty(len(start), dtype=[("a", np.uint64), ("b", np.uint64), ("n", np.int64)])
+        names["a"], names["b"], names["n"] = roll.span(start, start + size), words.rolling2().span(start, start + size), size
+        _, first, of = np.unique(names, return_index=True, return_inverse=True)
+        both = np.unique(np.stack([of.ravel(), np.asarray(items, np.int64)[text]], axis=1), axis=0)
+        self.items = both[:, 1]  # of window i, each once: items[at[i]:at[i + 1]]
+        self.at = np.r_[0, np.cumsum(np.bincount(both[:, 0], minlength=len(first)))].astype(np.int64)
+        self.start, self.size = start[first], size[first]
+        # the token at each word: a text under the n-gram's length is one token, at its first word
+        place = np.arange(len(words))
+        last = words.before[1:][words.doc]
+        self.width = np.minimum(per, gram)[words.doc]
+        self.whole = np.minimum(place + self.width, last) - place == self.width
+        self.value = roll.span(place, np.minimum(place + self.width, last))
+        self.tokens = np.unique(self.value[self.whole])
 
     def prefixes(self, counts: np.ndarray) -> None:
-        """Keep of each window its rarest token only (ties: the smaller value, then the earlier place)."""
-        count = counts[np.searchsorted(self.tokens, self.t_value)]
-        order = np.lexsort((self.t_place, self.t_value, count, self.t_window))
-        first = order[np.flatnonzero(np.r_[True, np.diff(self.t_window[order]) > 0])] if len(order) else order
-        order = first[np.argsort(self.t_value[first], kind="stable")]
-        self.p_window, self.p_place, self.p_value, self.p_width = self.t_window[order], self.t_place[order], self.t_value[order], self.t_width[order]
+        """Of each window its rarest token only (ties: the smaller value, then the earlier place)."""
+        order = np.empty(len(counts), dtype=np.int64)
+        order[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
+        rank = np.full(len(self.value), len(counts), dtype=np.int64)
+        rank[self.whole] = order[np.searchsorted(self.tokens, self.value[self.whole])]
+        place = np.zeros(len(self.start), dtype=np.int64)
+        for size in np.unique(self.size):
+            has = np.flatnonzero(self.size == size)
+            n = int(size) - min(int(size), self.gram) + 1
+            view = np.lib.stride_tricks.sliding_window_view(rank, n)
+            for s in range(0, len(has), 1 << 16):
+                part = has[s : s + (1 << 16)]
+                place[part] = view[self.start[part]].argmin(axis=1)
+        at = self.start + place
+        by = np.argsort(self.value[at], kind="stable")
+        self.p_window, self.p_place, self.p_value, self.p_width = by, place[by], self.value[at][by], self.width[at][by]
 
 
 def _mark(values: np.ndarray) -> np.ndarray:
@@ -97,7 +104,7 @@ def _index(name: str, block, window: int, gram: int) -> _Index:
     key = (name, window, gram)
     if key not in _built:
         _built.clear()
-        _built[key] = _Index(block.value, window, gram)
+        _built[key] = _Index(*block.value, window, gram)
     return _built[key]
 
 
@@ -105,7 +112,7 @@ def _count(name: str, block, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(name, block, window, gram)
         total = np.zeros(len(index.tokens), dtype=np.int64)
-        widths = [(int(w), v := np.unique(index.t_value[index.t_width == w]), _mark(v)) for w in np.unique(index.t_width)]
+        widths = [(int(w), v := np.unique(index.value[index.whole & (index.width == w)]), _mark(v)) for w in np.unique(index.width)]
         for batch in batches:
             for _, _, data, edges in pieces(batch.column(0)):
                 words = Words(LOWER[data], edges, ALNUM)
@@ -120,7 +127,20 @@ def _count(name: str, block, window: int, gram: int):
     return run
 
 
-def _hits(name: str, block, counts, window: int, gram: int):
+def _contained(words: Words, start: np.ndarray, index: _Index, win: np.ndarray) -> np.ndarray:
+    """Whether the words from start on are those of the window, word by word."""
+    out = np.ones(len(win), dtype=bool)
+    at = np.arange(len(win))
+    for k in range(int(index.size.max(initial=0))):
+        at = at[(index.size[win[at]] > k) & out[at]]
+        i, j = start[at] + k, index.start[win[at]] + k
+        equal = words.hash[i] == index.words.hash[j]
+        equal[equal] = same_words(words, i[equal], index.words, j[equal])
+        out[at[~equal]] = False
+    return out
+
+
+def _hits(name: str, block, counts, window: int, gram: int, n_items: int):
     """Of each document: words, merged spans of hit words (start, end, start, ...), item numbers; columns after the text are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +166,7 @@ def _hits(name: str, block, counts, window: int, gram: int):
                     win, start, end = win[fits], start[fits], end[fits]
                     fits = words.doc[start] == words.doc[end - 1]
                     win, start, end = win[fits], start[fits], end[fits]
-                    own = words.hash[np.minimum(start[:, None] + np.arange(window), max(len(words) - 1, 0))] if len(words) else np.zeros((0, window), np.uint64)
-                    same = ((own == index.words[win]) | ~index.used[win]).all(axis=1)
+                    same = _contained(words, start, index, win)
                     win, start, end = win[same], start[same], end[same]
                     np.add.at(cover, start, 1)
                     np.add.at(cover, end, -1)
@@ -166,14 +185,14 @@ def _hits(name: str, block, counts, window: int, gram: int):
                 d, win = pairs // max(len(index.size), 1), pairs % max(len(index.size), 1)
                 many = index.at[win + 1] - index.at[win]
                 at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.at[win], many)
-                both = np.unique(np.repeat(d, many) * len(block.value) + index.items[at])
-                items = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(both // len(block.value), minlength=k))].astype(np.int32)), pa.array((both % len(block.value)).astype(np.int64)))
+                both = np.unique(np.repeat(d, many) * n_items + index.items[at])
+                items = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(both // n_items, minlength=k))].astype(np.int32)), pa.array((both % n_items).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n_words.astype(np.int64)), spans, items, *(c.slice(lo, k) for c in batch.columns[2:])], names=["doc_id", "n_words", "spans", "items", *batch.schema.names[2:]])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, gram: int = 3, share: float = 0.05, block_bytes: int = 16 << 20, keep: tuple = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, gram: int = 3, share: float = 0.05, block_bytes: int = 4 << 20, keep: tuple = ()) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as strings, sorted), contaminated: a row per row of docs.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A word inside any
@@ -181,7 +200,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     its words, and at least one. A null or empty text has no words; an item without words
     (or null) hits nothing; a null item id is written as an empty string. Columns named in keep are
     passed on, other columns are ignored. Rows that repeat an id, or have none, are judged each on its
-    own text. Empty tables on either side give no hits.
+    own text; benchmark rows that repeat an item id are one item. Empty tables on either side give no hits.
     """
     sc = docs.sparkSession.sparkContext
     kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
@@ -197,13 +216,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         rows = own.collect()  # at most about block_bytes
-        name, names = uuid.uuid4().hex, sc.broadcast([r.item for r in rows])
-        block = sc.broadcast([r.text.encode() for r in rows] or [b""])
-        n_tokens = len(_Index(block.value, window, gram).tokens)
+        different = sorted({r.item for r in rows}) or [""]
+        number = {item: i for i, item in enumerate(different)}
+        name, names = uuid.uuid4().hex, sc.broadcast(different)
+        block = sc.broadcast(([r.text.encode() for r in rows] or [b""], [number[r.item] for r in rows] or [0]))
+        n_tokens = len(_Index(*block.value, window, gram).tokens)
         counts = np.zeros(n_tokens, dtype=np.int64)
         for r in d.select("text").mapInArrow(_count(name, block, window, gram), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).collect():
             counts[r.token] = r.c
-        steps = (_hits(name, block, sc.broadcast(counts), window, gram), _named(names))
+        steps = (_hits(name, block, sc.broadcast(counts), window, gram, len(different)), _named(names))
         if blocks == 1:
             parts.append(sent.mapInArrow(chained(*steps, _measure), _MEASURED + more))
         else:

@@ -74,7 +74,7 @@ def _sets(size: int, percent: int, agree: int):
             ids = batch.column(0)
             for lo, hi, data, cuts in pieces(batch.column(1)):
                 words = Words(LOWER[data], cuts, NOT_BLANK)
-                roll = words.rolling()
+                roll, roll2 = words.rolling(), words.rolling2()
                 k = hi - lo
                 num = np.zeros((6, k), dtype=np.uint64)
                 counts = np.zeros(k, dtype=np.int64)
@@ -84,9 +84,10 @@ def _sets(size: int, percent: int, agree: int):
                     if a == b:
                         continue
                     start = np.arange(a, max(b - size, a) + 1)
-                    tokens = np.unique(roll.span(start, np.minimum(start + size, b)))
+                    tokens, at = np.unique(roll.span(start, np.minimum(start + size, b)), return_index=True)
                     num[0, i] = len(tokens)
-                    num[1, i], num[2, i] = mix(tokens, 1).sum(), mix(tokens, 2).sum()
+                    # two digests of the set from hashes that are independent down to the words
+                    num[1, i], num[2, i] = mix(tokens, 1).sum(), mix(roll2.span(start[at], np.minimum(start[at] + size, b)), 2).sum()
                     odd = np.bincount((mix(tokens, 5) % np.uint64(128)).astype(np.int64), minlength=128) & 1
                     num[3:5, i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
                     own, num[5, i] = keys_of(tokens)

@@ -6,7 +6,7 @@ doc_id, or the same document and an earlier word) is struck out.
 Seed: of each window of ``min_words`` words, winnowing selects the word n-gram with
 the smallest hash. Equal windows select equal n-grams at equal offsets, so windows
 can only repeat among occurrences of one anchor. Extend: an occurrence carries a
-hash of the widest stretch covered by the windows that selected it, both ways
+pair of hashes, independent down to the words, of the widest stretch covered by the windows that selected it, both ways
 around the anchor. Occurrences with equal stretches repeat in full; of each such
 class all but the first are struck at once (those that repeat inside one document
 where it is read, so that a document made of one phrase takes one row). Where one anchor has several classes,
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, hot_join, keyed, real_id
+from ._spark import cut, hot_join, keyed, real_id, row_of
 from ._text import NOT_BLANK, Words, mix, pieces
 
 #: spans are packed as start * SPAN + (number of windows - 1)
@@ -40,12 +40,12 @@ def _anchors(n: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, hi, data, edges in pieces(batch.column(1)):
+            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, data, edges in pieces(batch.column(2)):
                 words = Words(data, edges, NOT_BLANK)
                 if len(words) < n:
                     continue
-                roll = words.rolling()
+                roll, roll2 = words.rolling(), words.rolling2()
                 i = np.arange(len(words) - k + 1)
                 grams = roll.span(i, i + k)
                 at = np.flatnonzero(words.doc[: len(words) - n + 1] == words.doc[n - 1 :])
@@ -60,15 +60,16 @@ def _anchors(n: int, k: int):
                 first, last, anchor = at[new], at[np.r_[new[1:], len(at)] - 1], best[new]
                 doc = words.doc[first]
                 around = roll.span(first, last + n) + (anchor - first).astype(np.uint64)
+                around2 = roll2.span(first, last + n)
                 name, span = grams[anchor], (first - words.before[doc]) * SPAN + last - first
                 # repeats of a stretch inside its document are struck in any case: they need no partner, so
                 # their span is stored below zero, under a name of their own that spreads them over the tasks
                 order = np.lexsort((span, around, name, doc))
-                same = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (name[order][1:] == name[order][:-1]) & (around[order][1:] == around[order][:-1])]
+                same = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (name[order][1:] == name[order][:-1]) & (around[order][1:] == around[order][:-1]) & (around2[order][1:] == around2[order][:-1])]
                 own = np.zeros(len(doc), dtype=bool)
                 own[order] = same
                 name = np.where(own, mix(span.astype(np.uint64) + (doc.astype(np.uint64) << np.uint64(40)), 9), name)
-                yield _longs(anchor=name, around=around, doc_id=ids[lo:hi][doc], span=np.where(own, -1 - span, span))
+                yield _longs(anchor=name, around=around, around2=around2, doc_id=ids[lo:hi][doc], row=rows[lo:hi][doc], span=np.where(own, -1 - span, span))
 
     return run
 
@@ -76,8 +77,8 @@ def _anchors(n: int, k: int):
 def _windows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = batch.column(0).to_numpy(), batch.column(2)
-            for lo, hi, data, edges in pieces(batch.column(1)):
+            ids, rows, spans = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for lo, hi, data, edges in pieces(batch.column(2)):
                 words = Words(data, edges, NOT_BLANK)
                 if len(words) < n:
                     continue
@@ -90,7 +91,7 @@ def _windows(n: int):
                 at = pos + words.before[doc]
                 fits = at + n <= words.before[doc + 1]
                 doc, pos, at = doc[fits], pos[fits], at[fits]
-                yield _longs(a=words.rolling().span(at, at + n), b=words.rolling2().span(at, at + n), doc_id=ids[lo:hi][doc], span=pos * SPAN)
+                yield _longs(a=words.rolling().span(at, at + n), b=words.rolling2().span(at, at + n), doc_id=ids[lo:hi][doc], row=rows[lo:hi][doc], span=pos * SPAN)
 
     return run
 
@@ -126,28 +127,29 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A null or empty text has no words; texts under
     min_words words are never changed. A null id counts as the smallest id. Rows that
-    repeat an id are the same document: if their texts are equal, neither counts as a
-    copy of the other; if not, what is struck in one is struck in all. Other columns
-    are ignored. An empty table gives an empty table.
+    repeat an id are told apart by their texts, each with its own verdict (in the order of
+    a hash of these); rows alike in both are one document, neither a copy of the other. Other
+    columns are ignored. An empty table gives an empty table.
     """
     if not 1 <= anchor_words <= min_words or min_words - anchor_words >= SPAN:
         raise ValueError("anchor_words must lie between 1 and min_words, less than 64 below it")
-    d = keyed(docs, id_col, text_col)
-    seeds = d.mapInArrow(_anchors(min_words, anchor_words), "anchor long, around long, doc_id long, span long")
-    again = seeds.filter("span >= 0").groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).filter("n > 1")
+    d = keyed(docs, id_col, text_col).select("doc_id", row_of(F.col("text")), "text")
+    seeds = d.mapInArrow(_anchors(min_words, anchor_words), "anchor long, around long, around2 long, doc_id long, row long, span long")
+    around = F.struct("around", "around2")
+    again = seeds.filter("span >= 0").groupBy("anchor").agg(F.count("*").alias("n"), F.min(around).alias("lo"), F.max(around).alias("hi")).filter("n > 1")
     again = cut(again.select("anchor", (F.col("lo") != F.col("hi")).alias("several")))
     seeds = cut(seeds.join(again, "anchor", "left").filter("several is not null or span < 0"))
-    place = F.struct("doc_id", "span")
-    inside = seeds.filter("span < 0").select("doc_id", (-1 - F.col("span")).alias("span"))
+    place = F.struct("doc_id", "row", "span")
+    inside = seeds.filter("span < 0").select("doc_id", "row", (-1 - F.col("span")).alias("span"))
     seeds = seeds.filter("span >= 0")
-    firsts = cut(seeds.groupBy("anchor", "around").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    seeds = cut(hot_join(seeds, firsts, ["anchor", "around"]).select("doc_id", "span", "several", (place == F.col("first")).alias("is_first")))
-    whole = seeds.filter("not is_first").select("doc_id", "span").unionByName(inside)
-    texts = d.repartition("doc_id")
-    todo = seeds.filter("is_first and several").groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    windows = cut(texts.join(todo, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(min_words), "a long, b long, doc_id long, span long"))
+    firsts = cut(seeds.groupBy("anchor", "around", "around2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    seeds = cut(hot_join(seeds, firsts, ["anchor", "around", "around2"]).select("doc_id", "row", "span", "several", (place == F.col("first")).alias("is_first")))
+    whole = seeds.filter("not is_first").select("doc_id", "row", "span").unionByName(inside)
+    texts = d.repartition("doc_id", "row")
+    todo = seeds.filter("is_first and several").groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans"))
+    windows = cut(texts.join(todo, ["doc_id", "row"]).select("doc_id", "row", "text", "spans").mapInArrow(_windows(min_words), "a long, b long, doc_id long, row long, span long"))
     first_window = cut(windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    single = hot_join(windows, first_window, ["a", "b"]).filter(place != F.col("first")).select("doc_id", "span")
-    marks = whole.unionByName(single).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    out = texts.join(marks, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_strike(min_words), "doc_id long, n_words long, n_removed long, text string")
+    single = hot_join(windows, first_window, ["a", "b"]).filter(place != F.col("first")).select("doc_id", "row", "span")
+    marks = whole.unionByName(single).groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans"))
+    out = texts.join(marks, ["doc_id", "row"], "left").select("doc_id", "text", "spans").mapInArrow(_strike(min_words), "doc_id long, n_words long, n_removed long, text string")
     return out.withColumn("doc_id", real_id())

@@ -126,8 +126,69 @@ def test_line_dedup_of_repeated_ids_and_a_very_long_text(spark):
     got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("site", F.lit("clash"))).collect()
     by = {(r.doc_id, r.n_lines): (r.n_removed, r.text) for r in got}
     assert by[1, 200_000][0] == 66_666 and by[1, 200_000][1].startswith("Menu | Home\nline 1\nline 2\nline 4")
-    # what is struck from one row of an id, by place, is struck from all its rows
-    assert by[7, 3] == (2, "y") and by[7, 1] == (1, "") and by[8, 2] == (1, "z") and by[9, 1] == (1, "")
+    # rows that share an id lose their own lines
+    assert by[7, 3] == (1, "x\ny") and by[7, 1] == (1, "") and by[8, 2] == (1, "z") and by[9, 1] == (1, "")
+
+
+def test_line_dedup_of_rows_without_an_id(spark):
+    rows = [(None, "menu\nkeep this", "s0"), (None, "own first line\nmenu", "s1"), *((i, f"menu\nown {i}", f"s{i}") for i in range(2, 7))]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    kept = [t for known, _, t in got if not known]
+    assert kept in (["menu\nkeep this", "own first line"], ["keep this", "own first line\nmenu"]) and [t for known, _, t in got if known] == [f"own {i}" for i in range(2, 7)]
+    same = line_dedup(spark.createDataFrame([(1, "menu\nx", f"s{i}") for i in range(6)], "doc_id long, text string, source string")).collect()
+    assert [r.n_removed for r in same] == [0] * 6  # rows alike in id and text are one document
+
+
+def test_substring_dedup_of_rows_without_an_id(spark):
+    passage, a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "pab")
+    rows = [(None, f"{passage} {a}"), (None, f"{b} {passage}"), (3, f"{a} x {b}")]
+    got = {(r.doc_id, r.text): r.n_removed for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3, "x"] == 60 and sorted(v for (i, _), v in got.items() if i is None) == [0, 30]
+    assert {t for i, t in got if i is None} in ({f"{passage} {a}", b}, {a, f"{b} {passage}"})
+
+
+def thue_morse(n):
+    """Words of n letters that differ everywhere, and have one polynomial hash modulo 2**64 for every odd base."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_a_polynomial_cannot_tell_apart(spark, n):
+    a, b = thue_morse(n)
+    tail = " ".join(f"t{i}" for i in range(25))
+    df = spark.createDataFrame([(1, f"{a} {a} {a} {tail}"), (2, f"{b} {b} {b} {tail[::-1]}"), (3, f"{a} {a} {a}"), (4, f"{b} {b} {b}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    words = spark.createDataFrame([(i, " ".join([w] * 20)) for i, w in ((1, a), (2, b), (3, a))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(words).collect()} == {1: 0, 2: 0, 3: 20}
+    items = spark.createDataFrame([("a", a), ("ab", f"{a} {b} {a}")], "item_id string, text string")
+    got = by_id(decontaminate(spark.createDataFrame([(1, f"{a} x"), (2, f"{b} x"), (3, f"{a} {b} {a}"), (4, f"{a} {a} {a}")], "doc_id long, text string"), items))
+    assert {i: (r.n_hit, r["items"]) for i, r in got.items()} == {1: (1, ["a"]), 2: (0, []), 3: (3, ["a", "ab"]), 4: (3, ["a"])}
+
+
+def test_long_words_by_byte():
+    import numpy as np
+
+    from lodestone.llm._text import NOT_BLANK, Words, same_words
+
+    said = ["a" * 64, "a" * 64, "a" * 65, "a" * 65, "a" * 64 + "b", "é" * 40, "é" * 40, "é" * 39 + "è", "x", "y", "", "abcdefgh", "abcdefgi", "abcdefgh"]
+    data = np.frombuffer(" ".join(said).encode(), np.uint8)
+    w = Words(data, np.array([0, len(data)]), NOT_BLANK)
+    real = [x for x in said if x]
+    i, j = (x.ravel() for x in np.indices((len(real), len(real))))
+    want = np.array([real[a] == real[b] for a, b in zip(i, j)])
+    assert (same_words(w, i, w, j) == want).all() and ((w.hash[i] == w.hash[j]) == want).all()
+
+
+def test_benchmark_rows_that_repeat_an_item(spark):
+    text = " ".join(f"w{i}" for i in range(16))
+    bench = spark.createDataFrame([("a", text), ("a", text), ("b", text), ("a", "other words"), (None, text), (None, text)], "item_id string, text string")
+    df = spark.createDataFrame([(1, f"so {text} it goes"), (2, "other words"), (3, "none")], "doc_id long, text string")
+    for block in (1 << 22, 150):
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate(df, bench, block_bytes=block).collect()}
+        assert got == {1: (16, ["", "a", "b"]), 2: (2, ["a"]), 3: (0, [])}, block
 
 
 def test_hot_join_is_an_inner_join(spark):
