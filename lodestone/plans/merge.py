@@ -11,6 +11,7 @@ from ..operators import merge as M
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..sources import views as V
+from .quality import resampled
 from .registry import exact_mean, query
 from .retrieval import CPOST, POST, channels, seeds
 
@@ -94,11 +95,15 @@ def metrics_long_form(spark, d):
     return wide.unpivot("dataset", ["metric", "questions"], "name", "value")
 
 
-@query()
+_OCCURRENCE = "SELECT dataset, metric, row_number() OVER (PARTITION BY dataset ORDER BY run_id) AS i FROM runs WHERE run_type = '{}'"
+
+
+@query(resampled(f"SELECT a.dataset, a.metric - b.metric AS v, a.dataset || '|' || a.i AS id FROM ({_OCCURRENCE.format('formal')}) a JOIN ({_OCCURRENCE.format('smoke')}) b USING (dataset, i)"), V.RUNS + ", ")
 def paired_delta_intervals(spark, d):
     r = V.runs(spark, d)
     pairs = L.pair_rows(r.filter("run_type = 'formal'"), r.filter("run_type = 'smoke'"), "dataset", "run_id", "metric")
-    return Q.bootstrap(pairs.select("dataset", "occurrence", (F.col("a_value") - F.col("b_value")).alias("delta")), ["dataset"], "delta")
+    out = Q.bootstrap(pairs.select("dataset", "occurrence", (F.col("a_value") - F.col("b_value")).alias("delta")), ["dataset"], "delta", ["dataset", "occurrence"])
+    return out.select("dataset", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
 @query("SELECT id, n FROM (SELECT doc_id AS id, len(list_distinct(regexp_extract_all(text, '\\b(?:19|20)\\d\\d(?:-\\d\\d(?:-\\d\\d)?)?\\b'))) AS n FROM documents)")

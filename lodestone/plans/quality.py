@@ -108,9 +108,22 @@ def leave_one_out(spark, d):
     return names.crossJoin(every).select("dataset", F.array_join(F.array_remove("all", F.col("dataset")), ",").alias("train"))
 
 
-@query()
+def resampled(rows: str) -> str:
+    """Intervals of the mean of v by dataset over rows (dataset, v, id), with 200 Poisson-weighted resamples: a weight is the number of Poisson steps up to
+    (h * 48271 ** r + k * 69621 ** r) mod (2 ** 31 - 1), h and k the first and second seven hex digits of sha256('7|id')."""
+    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+    return f"""reps(r, a, b) AS (SELECT 1, 48271::BIGINT, 69621::BIGINT UNION ALL SELECT r + 1, a * 48271 % 2147483647, b * 69621 % 2147483647 FROM reps WHERE r < 200),
+hashed AS (SELECT dataset, v, ('0x' || substr(sha256('7|' || id), 1, 7))::BIGINT AS h, ('0x' || substr(sha256('7|' || id), 8, 7))::BIGINT AS k FROM ({rows})),
+drawn AS (SELECT dataset, v, r, (h * a + k * b) % 2147483647 / 2147483647.0::DOUBLE AS u FROM hashed, reps),
+means AS (SELECT dataset, r, sum(v * w) / sum(w) AS m FROM (SELECT *, {" + ".join(f"(u >= {x}::DOUBLE)::INT" for x in steps)} AS w FROM drawn) GROUP BY 1, 2 HAVING sum(w) > 0),
+sorted AS (SELECT dataset, list_sort(list(m)) AS ms FROM means GROUP BY 1)
+SELECT dataset, round(n.mean, 6) AS mean, round(ms[5], 6) AS low, round(ms[least(196, len(ms))], 6) AS high FROM sorted JOIN (SELECT dataset, avg(v) AS mean FROM hashed GROUP BY 1) n USING (dataset)"""
+
+
+@query(resampled("SELECT dataset, metric AS v, run_id AS id FROM runs"), V.RUNS + ", ")
 def bootstrap_intervals(spark, d):
-    return Q.bootstrap(V.runs(spark, d).select("run_id", "dataset", "metric"), ["dataset"], "metric")
+    out = Q.bootstrap(V.runs(spark, d).select("run_id", "dataset", "metric"), ["dataset"], "metric", ["run_id"])
+    return out.select("dataset", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
 SHARDS = "SELECT run_id, (('0x' || substr(sha256(dataset || '|' || run_id), 1, 12))::BIGINT % 4) AS shard, (row_number() OVER (ORDER BY run_id) - 1) % 3 AS part FROM runs"

@@ -65,16 +65,23 @@ def carried_contradictions(events: DataFrame, late: str = "1 hour") -> DataFrame
     return events.withWatermark("at", late).groupBy("project", "k").applyInPandasWithState(step, "project long, k long, event_id long, was string, now string", "kind string, at long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
-    """Run a stream over what is there now, into files of the shared folder, and read them."""
+def drain(stream: DataFrame, mode: str = "complete", folder: str | None = None, name: str | None = None) -> DataFrame:
+    """Run a stream over what is there now, into files of the shared folder, and read them.
+
+    A batch is written once for its number: a batch that is tried again, after a loss between its write and its
+    commit, overwrites what the first try left. With a ``name`` a later call goes on where the last one ended.
+    """
     spark = stream.sparkSession
     base = folder or shared_folder(spark)
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{base.rstrip('/')}/stream-{name or uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
     handler: Callable = write
     q = stream.writeStream.outputMode(mode).foreachBatch(handler).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    rows = spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    if mode == "complete":  # each batch holds the whole result
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")

@@ -90,8 +90,15 @@ def test_ndcg_and_recall(spark):
 
 def test_bootstrap_covers_the_mean(spark):
     df = spark.createDataFrame([(i, "a", float(i % 10)) for i in range(400)], "id long, g string, x double")
-    r = Q.bootstrap(df, ["g"], "x").first()
-    assert r.low < r.mean < r.high and r.high - r.low < 1.0
+    r = Q.bootstrap(df, ["g"], "x", ["id"]).first()
+    assert r.low < r.mean < r.high and 0.4 < r.high - r.low < 0.72  # the mean's standard error is 0.144
+
+
+def test_bootstrap_of_equal_values_and_nulls(spark):
+    """Equal rows are weighted each by its own identity, so the interval of a half-and-half sample is that of the draws; nulls take no part."""
+    df = spark.createDataFrame([(i, None if i % 2 else "a", float(i % 4 < 2)) for i in range(2000)] + [(5000, "a", None), (5001, "none", None)], "id long, g string, x double").repartition(3)
+    got = {r.g: r for r in Q.bootstrap(df, ["g"], "x", ["id"]).collect()}
+    assert got["a"].low < 0.5 < got["a"].high and 0.04 < got["a"].high - got["a"].low < 0.085 and set(got) == {"a"}
 
 
 def test_packing_skips_and_goes_on(spark):
