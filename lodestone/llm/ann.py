@@ -43,10 +43,12 @@ def rotated(x: np.ndarray, table: int) -> np.ndarray:
 
 
 def _unit(v: np.ndarray, top: float, extra: bool, query: bool) -> np.ndarray:
-    norms = np.linalg.norm(v, axis=1)
+    # by their largest component first: squares of very small or large ones would be 0 or infinite
+    most = np.abs(v).max(axis=1)
+    norms = most * np.linalg.norm(v / most[:, None], axis=1)
     if extra:
-        rest = np.zeros(len(v)) if query else np.sqrt(np.maximum(top**2 - norms**2, 0))
-        v = np.column_stack([v / (norms if query else top)[:, None] if query else v / top, rest if query else rest / top])
+        rest = np.zeros(len(v)) if query else np.sqrt(np.maximum(1 - (norms / top) ** 2, 0))
+        v = np.column_stack([v / norms[:, None] if query else v / top, rest])
     else:
         v = v / norms[:, None]
     wide = 1 << max(v.shape[1] - 1, 1).bit_length()
@@ -147,7 +149,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
 
     rows, asks = sound(vectors), sound(queries)
-    norm = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    most = F.array_max(F.transform(F.col("v").cast("array<double>"), F.abs))
+    norm = most * F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
     sizes = rows.groupBy(F.size("v").alias("wide")).agg(F.count("*").alias("n"), F.min(norm).alias("lo"), F.max(norm).alias("top"))
     main = sizes.orderBy(F.desc("n"), F.desc("wide")).first()
     empty = "query_id long, found array<struct<low: double, vec_id: long>>"

@@ -127,7 +127,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", f
     fold: word beginnings of 4 to ``longest`` letters that at least min_toxic toxic rows hold and whose
     log-likelihood ratio is min_gain or more (the max_terms best); shorter words only whole. Of rows that
     repeat an id and a label one text (of the smallest hash) is learnt. Without labelled rows of
-    both kinds the lexicon is empty and all texts score the share of toxic rows (0.5 without rows)."""
+    both kinds the lexicon is empty and all texts score alike: 0.01 with clean rows only, 0.99 with toxic rows only, 0.5 without rows."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(bucket_of(F.col("doc_id"), folds) != held)
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     texts = cut(one_text(keyed(docs).filter("text is not null").join(F.broadcast(chosen), "doc_id"), "doc_id", "label").select("doc_id", "text", "label"))

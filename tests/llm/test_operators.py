@@ -451,6 +451,19 @@ def test_nearest(spark):
     assert [i for _, i in got] == [i for _, i in want]
 
 
+def test_vectors_of_any_size_have_a_direction():
+    import numpy as np
+
+    from lodestone.llm.ann import _unit
+
+    v = np.array([[3.0, 4.0, 0.0], [3e-200, 4e-200, 0.0], [3e200, 4e200, 0.0], [3e-320, 4e-320, 0.0]])
+    for extra in (False, True):
+        x = _unit(v, 5e200, extra, True)
+        assert np.isfinite(x).all() and np.allclose(np.linalg.norm(x, axis=1), 1) and np.allclose(x[0], x[1]) and np.allclose(x[0], x[2])
+    x = _unit(v, 5e200, True, False)
+    assert np.isfinite(x).all() and np.allclose(np.linalg.norm(x, axis=1), 1) and np.allclose(x[2, :2], [0.6, 0.8])
+
+
 def test_nearest_keeps_the_main_length(spark):
     rows = [(i, [float(i + 1), 1.0]) for i in range(6)] + [(9, [1.0] * 40), (3, [4.0, 1.0]), (4, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
