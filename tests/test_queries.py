@@ -40,7 +40,8 @@ def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
     got = rows(df.columns, df.collect())
     sql = registry.ORACLE_SQL.get(name)
-    if sql is None:
+    if sql is None:  # tested against plain versions elsewhere; here: rows, and none twice
+        assert got and len(set(got)) == len(got)
         return
     rel = duck.sql(sql)
     assert sorted(df.columns) == sorted(rel.columns)
