@@ -5,6 +5,8 @@ All patterns run in the JVM over exploded sentences; a kind's groups name its pa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,24 @@ PATTERNS = (
     ("email", r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b", ("value",)),
     ("license", r"(?i)\blicensed under the ([A-Za-z0-9 .]{3,40})", ("value",)),
 )
+#: lower-case text without which a kind has no match: a cheap look before its pattern runs
+CUES = {
+    "preference": ("prefer", "like", "love", "hate", "avoid"),
+    "state_change": (" from ",),
+    "personal": ("my ",),
+    "persona": ("i am a", "i'm a"),
+    "constraint": ("must", "never", "always", "should", "cannot", "at most", "at least"),
+    "relation": ("uses", "depends on", "calls", "replaces", "owns", "reports to", "blocks"),
+    "fact": (" is ", " was ", " are ", " were "),
+    "goal": ("goal", "aim", "objective"),
+    "decision": ("decided", "chose", "agreed", "settled"),
+    "project": ("project ",),
+    "pattern": ("usually", "typically", "every time", "whenever"),
+    "open_loop": ("todo", "fixme", "follow up", "pending", "remind me"),
+    "solution": ("fixed", "solved", "resolved"),
+    "email": ("@",),
+    "license": ("licensed under the",),
+}
 PARTS = ("key", "verb", "degree", "old_value", "new_value", "value")
 
 
@@ -37,13 +57,15 @@ def sentences(text: Column) -> Column:
 
 def extract(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, sentence number, kind and parts of every match of every pattern."""
-    s = rows.select(F.col(id_col).alias("id"), F.posexplode(sentences(F.col(text_col))).alias("sentence", "unit"))
+    s = rows.select(F.col(id_col).alias("id"), F.posexplode(sentences(F.col(text_col))).alias("sentence", "unit")).withColumn("low", F.lower("unit"))
     found = []
     for kind, pattern, names in PATTERNS:
         # groups of all matches, side by side
         groups = F.arrays_zip(*(F.regexp_extract_all("unit", F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
         part = lambda m, p, names=names: F.nullif(F.trim(m[p]), F.lit("")) if p in names else F.lit(None).cast("string")
-        found.append(F.transform(groups, lambda m: F.struct(F.lit(kind).alias("kind"), *(part(m, p).alias(p) for p in PARTS))))  # noqa: B023
+        all_of = F.transform(groups, lambda m: F.struct(F.lit(kind).alias("kind"), *(part(m, p).alias(p) for p in PARTS)))  # noqa: B023
+        cues = reduce(Column.__or__, (F.contains("low", F.lit(c)) for c in CUES.get(kind, ())), F.lit(False)) if kind in CUES else F.lit(True)
+        found.append(F.when(cues & F.col("unit").rlike(pattern), all_of).otherwise(F.array()))
     one = s.select("id", "sentence", F.explode(F.concat(*found)).alias("o"))
     return one.select("id", "sentence", "o.*")
 

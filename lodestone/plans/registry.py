@@ -33,5 +33,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rrf_retrieval"](spark, sf_dir)
 
 
-for _name in ("lifecycle", "ledger", "retrieval", "channels", "surface", "store", "activation", "ranking", "tokens", "quality", "graph", "text", "select", "objects", "merge", "reports", "answers", "streams", "beam", "traces", "bundles"):
+for _name in ("lifecycle", "ledger", "retrieval", "channels", "surface", "store", "activation", "ranking", "tokens", "quality", "graph", "text", "select", "objects", "merge", "reports", "answers", "streams", "beam", "traces", "bundles", "index"):
     importlib.import_module(f"lodestone.plans.{_name}")
