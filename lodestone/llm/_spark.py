@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -31,10 +30,29 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_to(df)[0]
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_to(df: DataFrame) -> tuple[DataFrame, str]:
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """The table, and its path. The job's shuffle files go as soon as it is written, as nothing reads them again."""
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a written table. No table that is still to be read may depend on it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(conf).delete(path, True)
 
 
 class Scratch:
@@ -46,18 +64,12 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         out, path = cut_to(df)
         self.paths.append(path)
-        self.spark.sparkContext._jvm.System.gc()  # else the job's shuffle files stay until the driver happens to collect
         return out
 
     def clear(self) -> None:
-        """Delete all tables written so far. No table that is still to be read may depend on them. The driver's garbage is
-        collected too, as Spark keeps the shuffle files of finished jobs until then."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Delete all tables written so far."""
         for p in self.paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+            drop(self.spark, p)
         self.paths = []
 
 

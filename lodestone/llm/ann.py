@@ -139,7 +139,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     Vectors that are null, all zero, hold null or non-finite components, have a null id or another
     length than most of the vectors (ties: the longer) take no part. Rows that repeat an id count as
-    one by their best score. ``probes`` buckets of 2 * width are searched in each table, alike at every
+    one by their best score. Components of any size are fine for the search, as directions are taken after scaling; scores are plain
+    double-precision products. Vectors of any width work, which is padded to a power of two. ``probes`` buckets of 2 * width are searched in each table, alike at every
     size. Other columns are ignored. An empty table gives an empty table.
     """
 

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ._spark import Scratch, cut, keyed, real_id, salts
 from ._text import LOWER, NOT_BLANK, Words, mix, pieces
 
+#: ids (8 bytes each) that are sent to all tasks at most
+SENT = 1_000_000
 _SETS = "doc_id long, n long, h1 long, h2 long, s1 long, s2 long, blank long, keys array<long>"
 
 
@@ -154,63 +156,72 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their sets of word n-grams have a Jaccard similarity of percent / 100 or more; a text
     with fewer words has its whole sequence as one n-gram; without words (or null) it
     has none and links with nothing. A null id counts as the smallest id. Rows that
-    repeat an id are one node. Other columns are ignored. An empty table gives an empty table.
+    repeat an id are one node. A text of any length is read whole, in pieces of about a megabyte where texts are short; a candidate's
+    text is held twice while it is compared. Other columns are ignored. An empty table gives an empty table.
     """
     d = keyed(docs, id_col, text_col)
-    sets = cut(d.mapInArrow(_sets(size, percent, agree), _SETS))
+    scratch, early = Scratch(d.sparkSession), Scratch(d.sparkSession)
+    full = early.cut(d.mapInArrow(_sets(size, percent, agree), _SETS))
     # equal sets: first within salts, so that a large group of copies is dealt to many tasks
     same = ["n", "h1", "h2"]
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts(d.sparkSession)))
+    sets = cut(full.select("doc_id", *same))
     part = cut(sets.filter("n > 0").groupBy(*same, salt.alias("salt")).agg(F.min("doc_id").alias("id")))
     equal = part.groupBy(*same).agg(F.min("id").alias("id"))
-    scratch = Scratch(d.sparkSession)
     ids = scratch.cut(equal.select("id").distinct())
     # one row per different set of an id; ids may repeat with other texts
-    sets1 = sets.filter("n > 0").withColumnRenamed("doc_id", "id").dropDuplicates(["id", *same])
-    sets1 = scratch.cut(sets1.join(ids, "id").select("id", "n", "h1", "s1", "s2", "blank", "keys"))
-    keys = sets1.select("h1", F.explode("keys").alias("key"))
+    sets1 = full.filter("n > 0").withColumnRenamed("doc_id", "id").dropDuplicates(["id", *same])
+    sets1 = scratch.cut(sets1.join(ids, "id").select("id", "n", "s1", "s2", "blank", "keys"))
+    early.clear()
+    keys = sets1.select("id", F.explode("keys").alias("key"))
     shared = scratch.cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
-    posts = scratch.cut(keys.join(shared, "key").join(sets1.select("h1", "id", "n", "s1", "s2"), "h1").drop("h1"))
-    met = posts.select("id").distinct()
-    texts = scratch.cut(d.join(met.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text"))
-    orders = scratch.cut(sets1.join(met, "id").select("id", "blank", "keys"))
+    # a posting is a key and an id; what else a pair needs is joined to different pairs only
+    posts = scratch.cut(keys.join(shared, "key"))
+    met = scratch.cut(posts.select("id").distinct())
+    few = met.withColumnRenamed("id", "doc_id")
+    # the texts of candidates only; ids that fit a broadcast spare the shuffle of all texts
+    few = F.broadcast(few) if met.count() <= SENT else few
+    texts = scratch.cut(d.join(few, "doc_id").select(F.col("doc_id").alias("id"), "text"))
 
     def close(a: str, b: str):
         total = F.col(f"{a}.n") + F.col(f"{b}.n")
         fits = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
         odd = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-        return fits & (odd * (100 + percent) <= total * (100 - percent)) & (F.col(f"{a}.comp") != F.col(f"{b}.comp"))
+        return fits & (odd * (100 + percent) <= total * (100 - percent))
 
     def intersected(pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) that share prefixes under enough orders; an order with empty prefixes on both sides counts."""
-        one = lambda n, m: orders.select(F.col("id").alias(n), F.col("blank").alias(f"b{m}"), F.col("keys").alias(f"k{m}"))
+        one = lambda n, m: sets1.select(F.col("id").alias(n), F.col("blank").alias(f"b{m}"), F.col("keys").alias(f"k{m}"))
         both = pairs.distinct().join(one("u", 1), "u").join(one("v", 2), "v")
         return both.filter(F.size(F.array_intersect("k1", "k2")) >= F.greatest(F.lit(1), agree - F.least("b1", "b2"))).select("u", "v").distinct()
 
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of different pairs (u, v) those that the size bound and the sketch leave."""
+        one = lambda n: sets1.select(F.col("id").alias(n), F.struct("n", "s1", "s2").alias(f"of_{n}"))
+        return pairs.join(one("u"), "u").join(one("v"), "v").filter(close("of_u", "of_v")).select("u", "v")
+
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
         return scratch.cut(both.select("u", "v", "a", "b").mapInArrow(_verify(size, percent), "u long, v long"))
 
-    def labelled(found: DataFrame | None) -> DataFrame:
-        if found is None:
-            return posts.withColumn("comp", F.col("id"))
-        return posts.join(components(found, 2, scratch).withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-    found = None
-    for turn in range(2):
-        now = labelled(found)
-        order = F.struct(*([F.xxhash64("id", "key", F.lit(turn))] if turn else []), "id")
-        centre = now.groupBy("key").agg(F.min_by(F.struct("id", "n", "s1", "s2", "comp"), order).alias("c")).select("key", "c.*")
-        pairs = now.alias("a").join(centre.alias("b"), F.col("a.key") == F.col("b.key")).filter(close("a", "b"))
-        pairs = intersected(pairs.select(F.col("a.id").alias("v"), F.col("b.id").alias("u"))).groupBy("v").agg(F.min("u").alias("u"))
+    found = comp = None
+    for pick in (F.min, F.max):  # each set against the first, then the last of each posting list
+        centre = posts.groupBy("key").agg(pick("id").alias("u"))
+        pairs = posts.withColumnRenamed("id", "v").join(centre, "key").filter("u <> v").select("u", "v").distinct()
+        if comp is not None:
+            known = lambda n: comp.select(F.col("v").alias(n), F.col("comp").alias(f"comp_{n}"))
+            pairs = pairs.join(known("u"), "u", "left").join(known("v"), "v", "left").filter(F.coalesce("comp_u", "u") != F.coalesce("comp_v", "v")).select("u", "v")
+        # a table a step, so that a step's shuffle files go before the next one's come
+        pairs = scratch.cut(intersected(scratch.cut(near(pairs))).groupBy("v").agg(F.min("u").alias("u")))
         more = verified(pairs)
         found = more if found is None else found.unionByName(more)
-    now = scratch.cut(labelled(found))
-    main = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main")
-    rest = scratch.cut(now.join(main, "key").filter("comp <> main").drop("main"))
-    pairs = now.alias("a").join(rest.alias("b"), F.col("a.key") == F.col("b.key")).filter(close("a", "b"))
-    pairs = intersected(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")))
-    found = found.unionByName(verified(pairs))
+        comp = scratch.cut(components(found, 2, scratch))
+    now = posts.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    main = scratch.cut(now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main"))
+    left = scratch.cut(now.join(main, "key").join(sets1.select("id", "n", "s1", "s2"), "id"))
+    pairs = left.alias("a").join(left.filter("comp <> main").alias("b"), F.col("a.key") == F.col("b.key")).filter(close("a", "b") & (F.col("a.comp") != F.col("b.comp")))
+    pairs = scratch.cut(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct())
+    found = found.unionByName(verified(scratch.cut(intersected(pairs))))
     comp = cut(components(found, scratch=scratch).withColumnRenamed("v", "id"))
     scratch.clear()
 
