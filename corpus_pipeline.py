@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._spark import Scratch, cut, small_batches
+from lodestone.llm._spark import Scratch, cut, cut_to, drop, small_batches
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.jaccard_join import components, jaccard_join
@@ -36,26 +36,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents link by their texts, and by what they were in the documents table, before lines went: copies of a
     document lose all lines but the first one's, so what is left of them no longer shows what they were. Rows
     without words link with nothing by that text. Rows with a null or repeated id go by their own text alone.
+
+    Both kinds of text are nodes of one join: an even number for a row as it is, the next odd one for what it was, where that differs.
     """
-    docs = docs.select(*COLUMNS)
+    docs, scratch = docs.select(*COLUMNS), Scratch(spark)
     many = docs.groupBy("doc_id").agg(F.count("*").alias("m"))
-    if many.filter("m > 1 or doc_id is null").isEmpty():
+    if many.filter(f"m > 1 or doc_id is null or abs(doc_id) >= {2**61}").isEmpty():
         docs = docs.withColumn("row", F.col("doc_id"))
     else:  # rows get a number of their own, written once so that it stays
         docs = cut(docs.withColumn("row", F.monotonically_increasing_id()))
-    now = cut(jaccard_join(docs, id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), F.col("component_id").alias("now")))
-    scratch = Scratch(spark)
-    scratch.clear()
     was = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    once = was.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
-    kept = docs.select("doc_id", "row").join(many.filter("m = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi").join(once, "doc_id", "left_semi")
-    before = scratch.cut(was.join(kept, "doc_id").select("row", "text"))
-    was = cut(jaccard_join(before, id_col="row", size=3, percent=90).select(F.col("doc_id").alias("row"), F.col("component_id").alias("was")))
-    scratch.clear()
+    # the rows whose text differs from the only one of their id before; hashes meet, not texts
+    once = was.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("before")).filter("n = 1 and doc_id is not null")
+    own = docs.join(many.filter("m = 1"), "doc_id").select("doc_id", "row", F.xxhash64("text").alias("now"))
+    changed = scratch.cut(own.join(once, "doc_id").filter("now <> before").select("doc_id", "row"))
+    before = was.join(F.broadcast(changed) if changed.count() <= 1_000_000 else changed, "doc_id")
+    nodes = docs.select((F.col("row") * 2).alias("node"), "text").unionByName(scratch.cut(before.select((F.col("row") * 2 + 1).alias("node"), "text")))
+    found = scratch.cut(jaccard_join(nodes, id_col="node", size=3, percent=90).select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")))
     # groups by either text that share a document are one
-    joined = components(now.join(was, "row").select(F.col("now").alias("u"), F.col("was").alias("v"))).select(F.col("v").alias("now"), "comp")
-    group = now.join(joined, "now", "left").select("row", F.coalesce("comp", "now").alias("group"))
-    first = docs.select("row", "doc_id").join(group, "row").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    now, past = (found.filter(F.col("node").bitwiseAND(1) == k).select(F.shiftright("node", 1).alias("row"), "group") for k in (0, 1))
+    joined = components(now.join(past.withColumnRenamed("group", "other"), "row").select(F.col("group").alias("u"), F.col("other").alias("v")), scratch=scratch).select(F.col("v").alias("group"), "comp")
+    group = now.join(joined, "group", "left").select("row", F.coalesce("comp", "group").alias("group"))
+    first = cut(docs.select("row", "doc_id").join(group, "row").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"))
+    scratch.clear()
     return docs.join(first, "row", "left_semi").select(*COLUMNS)
 
 
@@ -89,7 +92,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs, path = cut_to(stage(spark, docs, sf_dir))
+        if last:
+            drop(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
