@@ -51,3 +51,9 @@ def test_similarity_keeps_texts_without_direction(spark):
     got = {(r.id, r.other): r.s for r in x.crossJoin(y).select("id", "other", U.memory_similarity(F.col("ts"), F.col("us"), F.col("v"), F.col("w")).alias("s")).collect()}
     assert len(got) == 9
     assert got[1, 2] == 0.0 and math.isnan(got[1, 3]) and round(got[3, 3], 9) == 1.0
+
+
+def test_records_without_terms_meet_no_query(spark):
+    asks = spark.createDataFrame([(1, "what happened in 2024 with apples")], "query_id long, query string")
+    records = spark.createDataFrame([(1, "a b c", 1704067200), (2, "apples", 1704067200)], "id long, text string, t long")
+    assert [r.id for r in X.overlaps(asks, records).collect()] == [2]
