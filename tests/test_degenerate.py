@@ -57,3 +57,17 @@ def test_records_without_terms_meet_no_query(spark):
     asks = spark.createDataFrame([(1, "what happened in 2024 with apples")], "query_id long, query string")
     records = spark.createDataFrame([(1, "a b c", 1704067200), (2, "apples", 1704067200)], "id long, text string, t long")
     assert [r.id for r in X.overlaps(asks, records).collect()] == [2]
+
+
+def test_a_frequent_term_is_not_dealt_to_one_task(spark):
+    asks = spark.createDataFrame([(i, "apples and pears") for i in range(3)], "query_id long, query string")
+    records = spark.createDataFrame([(i, f"apples record{i}", 1704067200) for i in range(40)], "id long, text string, t long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        post = R.postings(records, "id", "text")
+        # the one sort-merge join left is of query terms with their frequencies
+        for pairs, merges in ((X.overlaps(asks, records), 1), (R.term_hits(asks, post), 0), (R.bm25(asks, post), 1)):
+            plan = pairs._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == merges
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
