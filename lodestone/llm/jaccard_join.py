@@ -8,7 +8,8 @@ one order; with D + ``agree`` orders, linked sets share their whole prefix under
 ``agree`` orders at least. Posting whole prefixes under all orders, not single
 tokens, keeps frequent n-grams from gathering unrelated documents. Pairs that meet
 under one order must pass the size bound and a parity sketch (it can't exceed the
-number of differing tokens); then the filters of all orders are intersected: a
+number of differing tokens; all pairs of a posting list also one of four bits a token, as
+128 bits tell sets of some hundred tokens that just miss the threshold from no linked ones); then the filters of all orders are intersected: a
 candidate shares its prefixes under ``agree`` orders or more. Only candidates are
 verified, exactly, on their texts.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, cut, keyed, real_id, salts
@@ -34,7 +35,9 @@ from ._text import LOWER, NOT_BLANK, Words, mix, pieces
 
 #: ids (8 bytes each) that are sent to all tasks at most
 SENT = 1_000_000
-_SETS = "doc_id long, n long, h1 long, h2 long, s1 long, s2 long, blank long, keys array<long>"
+#: bits of the largest parity sketch
+WIDEST = 2048
+_SETS = "doc_id long, n long, h1 long, h2 long, s1 long, s2 long, blank long, keys array<long>, wide array<long>"
 
 
 def _bands(most: int) -> list[int]:
@@ -81,6 +84,7 @@ def _sets(size: int, percent: int, agree: int):
                 num = np.zeros((6, k), dtype=np.uint64)
                 counts = np.zeros(k, dtype=np.int64)
                 values: list[np.ndarray] = []
+                sketches = [np.zeros(2, np.int64)] * k
                 for i in range(k):
                     a, b = int(words.before[i]), int(words.before[i + 1])
                     if a == b:
@@ -90,14 +94,18 @@ def _sets(size: int, percent: int, agree: int):
                     num[0, i] = len(tokens)
                     # two digests of the set from hashes that are independent down to the words
                     num[1, i], num[2, i] = mix(tokens, 1).sum(), mix(roll2.span(start[at], np.minimum(start[at] + size, b)), 2).sum()
-                    odd = np.bincount((mix(tokens, 5) % np.uint64(128)).astype(np.int64), minlength=128) & 1
-                    num[3:5, i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                    # four bits a token; halves of a sketch fold onto each other, down to the 128 bits of s1 and s2
+                    width = min(WIDEST, max(128, 1 << (4 * len(tokens) - 1).bit_length()))
+                    odd = np.bincount((mix(tokens, 5) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+                    sketches[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                    num[3:5, i] = np.bitwise_xor.reduce(sketches[i].reshape(-1, 2), axis=0).view(np.uint64)
                     own, num[5, i] = keys_of(tokens)
                     counts[i] = sum(map(len, own))
                     values += own
                 flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, k), *(pa.array(x.view(np.int64)) for x in num), keys], names=["doc_id", "n", "h1", "h2", "s1", "s2", "blank", "keys"])
+                wide = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sketches])].astype(np.int32)), pa.array(np.concatenate(sketches)))
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, k), *(pa.array(x.view(np.int64)) for x in num), keys, wide], names=["doc_id", "n", "h1", "h2", "s1", "s2", "blank", "keys", "wide"])
 
     return run
 
@@ -126,6 +134,16 @@ def _verify(size: int, percent: int):
     return run
 
 
+def odd_bits(x: Column, y: Column) -> Column:
+    """Places where two parity sketches differ: no more than tokens that differ. A sketch of twice the width is folded first."""
+
+    def narrow(a: Column, b: Column) -> Column:
+        half = F.floor(F.size(a) / 2).cast("int")
+        return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+
+    return F.aggregate(F.zip_with(narrow(x, y), narrow(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
 def components(edges: DataFrame, rounds: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """v, comp: the smallest node reachable from v, over edges (u, v), for all but the smallest
     nodes of components. By alternating large-star and small-star steps, each a table; with
@@ -171,7 +189,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = scratch.cut(equal.select("id").distinct())
     # one row per different set of an id; ids may repeat with other texts
     sets1 = full.filter("n > 0").withColumnRenamed("doc_id", "id").dropDuplicates(["id", *same])
-    sets1 = scratch.cut(sets1.join(ids, "id").select("id", "n", "s1", "s2", "blank", "keys"))
+    sets1 = scratch.cut(sets1.join(ids, "id").select("id", "n", "s1", "s2", "blank", "keys", "wide"))
     early.clear()
     keys = sets1.select("id", F.explode("keys").alias("key"))
     shared = scratch.cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
@@ -218,8 +236,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         comp = scratch.cut(components(found, 2, scratch))
     now = posts.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     main = scratch.cut(now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main"))
-    left = scratch.cut(now.join(main, "key").join(sets1.select("id", "n", "s1", "s2"), "id"))
-    pairs = left.alias("a").join(left.filter("comp <> main").alias("b"), F.col("a.key") == F.col("b.key")).filter(close("a", "b") & (F.col("a.comp") != F.col("b.comp")))
+    left = scratch.cut(now.join(main, "key").join(sets1.select("id", "n", "s1", "s2", "wide"), "id"))
+    # a pair outside the largest component is met once; the wide sketches are compared where the narrow ones let a pair pass
+    once = (F.col("a.comp") == F.col("a.main")) | (F.col("a.id") < F.col("b.id"))
+    differ = odd_bits(F.col("a.wide"), F.col("b.wide")) * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
+    pairs = left.alias("a").join(left.filter("comp <> main").alias("b"), F.col("a.key") == F.col("b.key")).filter(close("a", "b") & (F.col("a.comp") != F.col("b.comp")) & once & differ)
     pairs = scratch.cut(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct())
     found = found.unionByName(verified(scratch.cut(intersected(pairs))))
     comp = cut(components(found, scratch=scratch).withColumnRenamed("v", "id"))
