@@ -237,7 +237,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     now = posts.join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     main = scratch.cut(now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main"))
     left = scratch.cut(now.join(main, "key").join(sets1.select("id", "n", "s1", "s2", "wide"), "id"))
-    # a pair outside the largest component is met once; the wide sketches are compared where the narrow ones let a pair pass
+    # a pair outside the largest component is met in one order only (but once a posting list that it shares); the wide sketches are compared where the narrow ones let a pair pass
     once = (F.col("a.comp") == F.col("a.main")) | (F.col("a.id") < F.col("b.id"))
     differ = odd_bits(F.col("a.wide"), F.col("b.wide")) * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
     pairs = left.alias("a").join(left.filter("comp <> main").alias("b"), F.col("a.key") == F.col("b.key")).filter(close("a", "b") & (F.col("a.comp") != F.col("b.comp")) & once & differ)
