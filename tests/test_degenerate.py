@@ -3,11 +3,14 @@
 import hashlib
 import math
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import surface as U
 from lodestone.operators import candidates as X
 from lodestone.operators import retrieval as R
+from lodestone.plans import registry
 
 
 def _place(term):
@@ -71,3 +74,14 @@ def test_a_frequent_term_is_not_dealt_to_one_task(spark):
             assert plan.count("SortMergeJoin") == merges
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["chunk_ranking", "core_evidence", "consensus_admission"])
+def test_rankings_keep_a_record_without_direction(spark, tmp_path, name):
+    a, b, _ = _cancelling()
+    c = duckdb.connect()
+    c.sql(f"copy (select 1000001::BIGINT as doc_id, '{a} {b}' as text, 'en' as lang, 's' as source, 16::BIGINT as n_chars union all select 1000002, '{a} apples', 'en', 's', 16) to '{tmp_path}/documents.parquet'")
+    c.sql(f"copy (select 1::BIGINT as doc_id, 1::INT as quality, 0::INT as toxic) to '{tmp_path}/labels.parquet'")
+    c.sql(f"copy (select 1::BIGINT as item_id, 'about {a}' as text) to '{tmp_path}/benchmark.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.id) for r in got} == {(1, 1000001), (1, 1000002)}
