@@ -9,7 +9,7 @@ from ..operators import select as P
 from ..sources import views as V
 from .ranking import WRITES
 from .registry import query
-from .retrieval import POST, channels
+from .retrieval import POST, WHOLE_POST, channels
 
 SETS = ", sets AS (SELECT id, list(term) AS ts FROM spost GROUP BY 1), pool AS (SELECT p.query_id, p.id, p.rank, p.score, s.ts, e.project, sha256(e.summary) AS digest FROM proxy p JOIN sets s USING (id) JOIN evidence e USING (id) WHERE p.rank <= 30)"
 
@@ -35,9 +35,9 @@ def inhibition(spark, d):
 
 
 @query("""SELECT query_id, id, place::INT AS place FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY p, id) AS place FROM (
-  SELECT query_id, id, min((rank, c)) AS p FROM (SELECT query_id, id, rank, 0 AS c FROM bm25 WHERE rank <= 30 UNION ALL SELECT query_id, id, rank, 1 FROM proxy WHERE rank <= 30) GROUP BY 1, 2)) WHERE place <= 20""", V.EVIDENCE, V.ASKS + POST)
+  SELECT query_id, id, min((rank, c)) AS p FROM (SELECT query_id, id, rank, 0 AS c FROM bm25 WHERE rank <= 30 UNION ALL SELECT query_id, id, rank, 1 FROM proxy WHERE rank <= 30) GROUP BY 1, 2)) WHERE place <= 20""", V.EVIDENCE, V.ASKS + WHOLE_POST)
 def broad_pool(spark, d):
-    c = channels(spark, d, "bm25", "proxy")
+    c = channels(spark, d, "bm25", "proxy", cap=None)
     return P.interleave([c["bm25"].filter("rank <= 30"), c["proxy"].filter("rank <= 30")], 20)
 
 
