@@ -105,8 +105,9 @@ SETS = ", src AS (SELECT id, kind, summary FROM evidence), " + sql_terms("st", "
 @query("""SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))), 6) AS score FROM rep x JOIN rep y ON x.kind = y.kind AND x.id < y.id WHERE x.id = x.rep AND y.id = y.rep AND len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))) >= 0.8
 UNION ALL SELECT rep, id, 1.0 FROM rep WHERE id <> rep""", V.EVIDENCE + SETS + ", rep AS (SELECT id, kind, ts, min(id) OVER (PARTITION BY kind, list_sort(ts)) AS rep FROM src JOIN sets USING (id))")
 def compaction_pairs(spark, d):
-    rows = V.evidence(spark, d).select("id", "kind", T.terms(F.col("summary"), 40).alias("ts"))
-    return C.near_pairs(rows, 0.8, ["kind"]).withColumn("score", F.round("score", 6))
+    i = F.col("doc_id")
+    rows = V.table(spark, d, "documents").select(i.alias("id"), V.chosen(V.KINDS, i % 6).alias("kind"), T.terms(F.substring("text", 1, 320), 40).alias("ts"))
+    return C.near_pairs(V.as_evidence(spark, d, rows), 0.8, ["kind"]).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT session_id, left(string_agg(part, chr(10) ORDER BY t, id), 1200) AS summary, any_value(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY session_id, part ORDER BY t, id) AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM (SELECT session_id, t, id, text AS part FROM evidence)) WHERE rn = 1 GROUP BY 1", V.EVIDENCE)
