@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import compaction as C
 from lodestone.operators import pairs as P
+from lodestone.operators import quality as Q
 from lodestone.operators import retrieval as R
 from lodestone.plans import registry
 
@@ -118,3 +119,22 @@ def test_compaction_pairs_of_repeated_texts(spark, tmp_path):
     texts = [(i, " ".join(f"word{k + (i % 18 == 0) * (k > 20)}" for k in range(30))) for i in range(1, 60)] + [(70, None), (71, "")]
     duck, folder = _tables(tmp_path, texts, labels=[(4, 1, 0), (9, 1, 1)])
     assert _same(spark, duck, folder, "compaction_pairs")
+
+
+def test_run_conflicts_of_a_large_group_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 16)
+    monkeypatch.setattr(P, "SHARE", 500)
+    r = random.Random(5)
+    runs = [(i, "d" if i < 100 else "e", None if i % 19 == 0 else i % 7 == 0, "formal" if i % 3 else None, i % 5, r.choice([0.0, 60.0, float("nan"), None])) for i in range(110)]
+    df = spark.createDataFrame(runs, "run_id long, dataset string, fallback boolean, run_type string, questions long, metric double")
+    differ = lambda x, y: x is not None and y is not None and x != y
+    # NaN is larger than any number
+    far = lambda x, y: x is not None and y is not None and (math.isnan(x) or math.isnan(y) or abs(x - y) > 50)
+    want = []
+    for a, b in itertools.combinations(runs, 2):
+        if a[1] == b[1]:
+            want += [(a[0], b[0], a[1], c) for c, k in (("fallback", 2), ("run_type", 3), ("questions", 4)) if differ(a[k], b[k])] + [(a[0], b[0], a[1], "metric")] * far(a[5], b[5])
+    found = Q.conflicts(df, ["dataset"], 50.0)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    spread = [x["count"] for x in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(spread) < len(want) * 2 // 3
